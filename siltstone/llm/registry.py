@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import read_table
 from siltstone.llm.packing import pack
+from siltstone.llm.simhash import near_duplicates
 from siltstone.llm.token_counts import count_tokens
 
 
@@ -21,6 +22,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, _file("byte_bpe_50k.tiktoken")).drop("text")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(read_table(spark, sf_dir, "documents"), _file("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -29,6 +35,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_simhash": op2_simhash,
         "op8_packing": op8_packing,
     }
 
