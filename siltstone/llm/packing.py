@@ -44,8 +44,9 @@ class PieceIds(dict):
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes_as = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))}
         self.special = [t["content"].lower() for t in json.loads(tokenizer_json).get("added_tokens", [])]
+        marked = all("<" in x for x in self.special)
         probe = "it's l'été 42!? naïve-straße's 'll x''s a1b2 <|x|> ÀÉ"
-        self.plain = all(self._split(w) == self._whole(w) for w in probe.split())
+        self.plain = marked and all(self._split(w) == self._whole(w) for w in probe.split())
 
     def _whole(self, run: str) -> bytes:
         return np.asarray(self.tokenizer.encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -63,7 +64,7 @@ class PieceIds(dict):
 
     def __missing__(self, run: bytes) -> bytes:
         word = run.decode()
-        plain = self.plain and len(word) <= 256 and _PLAIN.fullmatch(word) and not any(x in word.lower() for x in self.special)
+        plain = self.plain and len(word) <= 256 and _PLAIN.fullmatch(word) and not (b"<" in run and any(x in word.lower() for x in self.special))
         ids = self._split(word) if plain else self._whole(word)
         if len(run) <= 64:
             if len(self) >= self.limit:
@@ -130,7 +131,7 @@ def pack(
     linear: float = 1.0,
     quadratic: float = 1 / 4096,
     block_tokens: int = 4 << 20,
-    cache_runs: int = 400_000,
+    cache_runs: int = 1_000_000,
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids`` (little-endian unsigned 32-bit), ``doc_tokens,
     sequence_id, offset``.
