@@ -53,7 +53,7 @@ class Scratch:
 
 def words_of(text: Column) -> Column:
     """Array of the words of a text; null and blank texts have none."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{WORD_GAP}|{WORD_GAP}$", "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     return F.array_remove(F.split(trimmed, WORD_GAP), "")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import read_table
 from siltstone.llm.packing import pack
+from siltstone.llm.quality import quality
 from siltstone.llm.simhash import near_duplicates
 from siltstone.llm.token_counts import count_tokens
 
@@ -27,6 +28,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(read_table(spark, sf_dir, "documents"), _file("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -36,6 +41,7 @@ def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_simhash": op2_simhash,
+        "op5_quality_rules": op5_quality_rules,
         "op8_packing": op8_packing,
     }
 
