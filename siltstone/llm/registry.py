@@ -6,21 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import read_table
+from siltstone.llm.common import held_out, read_table
+from siltstone.llm.decontamination import find_overlaps
+from siltstone.llm.line_dedup import dedup_lines
 from siltstone.llm.packing import pack
 from siltstone.llm.quality import quality
 from siltstone.llm.simhash import near_duplicates
 from siltstone.llm.token_counts import count_tokens
+from siltstone.llm.toxicity import learn_from, toxicity
 
+#: Scores from which a document counts as toxic.
+TOXIC_FROM = 0.7
 
-def _file(name: str) -> str:
+
+def tokenizer_file(name: str) -> str:
     with open(public_tokenizers.path(name), encoding="utf-8") as f:
         return f.read()
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return count_tokens(docs, _file("byte_bpe_50k.tiktoken")).drop("text")
+    return count_tokens(docs, tokenizer_file("byte_bpe_50k.tiktoken")).drop("text")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,21 +34,51 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = learn_from(docs, read_table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity(docs, lexicon).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= TOXIC_FROM, 1).otherwise(0))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read_table(spark, sf_dir, "documents"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(read_table(spark, sf_dir, "documents"), _file("word_bpe_49k.json"))
+    pieces = pack(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line counts and the hash of what is left, one row for each document."""
+    out = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline; its last table without the token ids themselves."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
+    import corpus_pipeline  # noqa: F401  without it none of these is offered
+
     return {
         "op1_token_counts": op1_token_counts,
         "op2_simhash": op2_simhash,
+        "op4_toxicity": op4_toxicity,
         "op5_quality_rules": op5_quality_rules,
         "op8_packing": op8_packing,
+        "op9_decontamination": op9_decontamination,
+        "op10_line_dedup": op10_line_dedup,
+        "pipeline": pipeline,
     }
 
 
