@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import Scratch
+
 #: Positions that a mask looks at. Every pair of replaced tokens among 13 leaves a hit of one of them.
 MASKS = ((0, 1, 2, 5, 7, 8), (0, 2, 3, 5, 6, 7))
 _SPAN = 9
@@ -29,20 +31,11 @@ def _seeds(tokens: str) -> Column:
     return F.flatten(each)
 
 
-def _hit_before(mask: tuple[int, ...]) -> Column:
-    """Whether the mask also hits one token earlier on the same alignment."""
-    same = lambda k: F.get("own", F.col("item_at") + (k - 1)) == F.get("tokens", F.col("item_at") + F.col("shift") + (k - 1))
-    out = same(mask[0])
-    for k in mask[1:]:
-        out = out & same(k)
-    return F.coalesce(out, F.lit(False))
-
-
 def _bounded(df: DataFrame, bound: int) -> bool:
     return df.limit(bound + 1).count() <= bound
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_overlap: float = 0.8, broadcast_seeds: int = 500_000) -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_overlap: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
     """``doc_id, item_id, matched, item_tokens, overlap`` of each document and item that overlap.
 
     ``overlap`` is the largest share of equal tokens among 13 consecutive item tokens (all of an item that has
@@ -51,31 +44,32 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     match nothing, as do null and empty texts. Repeated rows and ids merge into one pair; null ids are kept as
     null. Columns of other names are ignored; an empty table on either side gives no rows.
 
-    Benchmark seeds are counted: up to ``broadcast_seeds`` of them (about 8 MB) are broadcast and documents are
-    never shuffled; beyond it both sides are shuffled by seed, which a text's tokens do not travel with.
+    Benchmark seeds are counted and up to ``broadcast_rows`` of them (24 bytes each) broadcast, so that documents'
+    seeds are probed where they are made; beyond that both sides are shuffled by seed. The alignments found, one row
+    for each however often a seed hits, go to the shared folder; the texts are read again and those that have one
+    are compared, by a broadcast of the alignments up to ``broadcast_rows`` and by a shuffled join beyond.
     """
-    items = benchmark.select(F.col(item_id).alias("item"), _tokens(F.col(item_text)).alias("own"))
-    seeds = items.select("item", "own", F.posexplode_outer(_seeds("own")).alias("seed_at", "seed"))
-    # The outer form, since of the other Spark infers a filter that works the arrays out anew for each element.
-    seeds = seeds.where("seed is not null").select("seed", "item", "own", F.expr(f"seed_at div {len(MASKS)}").cast("int").alias("item_at"))
-    near = _bounded(seeds.select("seed"), broadcast_seeds)
-    rows = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("text_hash"), _tokens(F.col(text)).alias("tokens"))
-    carried = ["doc", "text_hash", *(["tokens"] if near else [])]
-    placed = rows.select("doc", "text_hash", "tokens", _seeds("tokens").alias("seeds"))
-    placed = placed.select(*carried, F.posexplode_outer("seeds").alias("doc_at", "doc_seed"))
-    hits = placed.join(F.broadcast(seeds) if near else seeds, F.col("doc_seed") == F.col("seed"))
-    hits = hits.select(*carried, "item", "own", (F.expr(f"doc_at div {len(MASKS)}") - F.col("item_at")).cast("int").alias("shift"), "item_at", (F.col("doc_at") % len(MASKS)).alias("mask"))
-    if near:  # one comparison for each run of hits of a mask: its first
-        hits = hits.where(~F.when(F.col("mask") == 0, _hit_before(MASKS[0])).otherwise(_hit_before(MASKS[1])))
-    else:
-        pairs = hits.select("doc", "text_hash", "item", "shift", "own").distinct()
-        texts = rows.select(F.col("doc").alias("of"), F.col("text_hash").alias("of_hash"), "tokens").distinct()
-        hits = pairs.join(texts, F.col("doc").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash")))
+    scratch = Scratch(docs.sparkSession, "overlaps")
+    items = scratch.keep(benchmark.select(F.col(item_id).alias("item"), _tokens(F.col(item_text)).alias("own")))
+    # The outer form of explode: of the other Spark infers a filter that works the arrays out anew for each element.
+    seeds = items.select("item", F.posexplode_outer(_seeds("own")).alias("seed_at", "seed")).where("seed is not null")
+    seeds = seeds.select("seed", "item", F.expr(f"seed_at div {len(MASKS)}").cast("int").alias("item_at"))
+    few = _bounded(seeds, broadcast_rows)
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(body).alias("text_hash"), body.alias("body"))
+    placed = rows.select("doc", "text_hash", _tokens(F.col("body")).alias("tokens")).select("doc", "text_hash", _seeds("tokens").alias("seeds"))
+    placed = placed.select("doc", "text_hash", F.posexplode_outer("seeds").alias("doc_at", "doc_seed"))
+    hits = placed.join(F.broadcast(seeds) if few else seeds, F.col("doc_seed") == F.col("seed"))
+    hits = hits.select("doc", "text_hash", "item", (F.expr(f"doc_at div {len(MASKS)}") - F.col("item_at")).cast("int").alias("shift"))
+    aligned = scratch.keep(hits.distinct()).withColumnsRenamed({"doc": "of", "text_hash": "of_hash", "item": "of_item"})
+    here = F.broadcast(aligned) if _bounded(aligned, broadcast_rows) else aligned
+    met = rows.join(here, F.col("doc").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash"))).select("doc", "of_item", "shift", _tokens(F.col("body")).alias("tokens"))
+    own = F.broadcast(items) if few else items  # few seeds are few item tokens
+    met = met.join(own, F.col("of_item").eqNullSafe(F.col("item"))).select("doc", "item", "shift", "tokens", "own")
     compared = F.transform("own", lambda x, j: F.when(F.get("tokens", j + F.col("shift")) == x, 1).otherwise(0))
-    hits = hits.select("doc", "item", compared.alias("equal"))
-    width = F.least(F.lit(_WINDOW), F.size("equal"))
+    met = met.select("doc", "item", compared.alias("equal"))
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-    hits = hits.select("doc", "item", total(F.col("equal")).alias("matched"), F.size("equal").alias("item_tokens"), width.alias("width"), "equal")
+    met = met.select("doc", "item", total(F.col("equal")).alias("matched"), F.size("equal").alias("item_tokens"), F.least(F.lit(_WINDOW), F.size("equal")).alias("width"), "equal")
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("item_tokens") - F.col("width") + 1), lambda s: total(F.slice("equal", s, F.col("width")))))
-    hits = hits.select("doc", "item", "matched", "item_tokens", (best / F.col("width")).alias("overlap")).where(F.col("overlap") >= min_overlap)
-    return hits.groupBy(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).agg(F.max("matched").cast("long").alias("matched"), F.max("item_tokens").cast("long").alias("item_tokens"), F.max("overlap").alias("overlap"))
+    met = met.select("doc", "item", "matched", "item_tokens", (best / F.col("width")).alias("overlap")).where(F.col("overlap") >= min_overlap)
+    return met.groupBy(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).agg(F.max("matched").cast("long").alias("matched"), F.max("item_tokens").cast("long").alias("item_tokens"), F.max("overlap").alias("overlap"))
