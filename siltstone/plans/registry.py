@@ -2,10 +2,587 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from siltstone.functions import analysis, text
+from siltstone.functions.text import strings
+from siltstone.operators import conversation, ranking, store
+from siltstone.plans import cases
+from siltstone.plans.cases import spark_frame, sql_values
+from siltstone.streaming.ingest import stream_ingest
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _query(oracle: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.chunk_table(store.corpus_files(_table(spark, sf_dir, "documents")))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.corpus_files(_table(spark, sf_dir, "documents"))
+
+
+_FILES = """files AS (SELECT doc_id, '/'||source||'/'||lang||'/doc_'||doc_id||'.txt' AS path, source AS carpeta_top,
+ 'doc_'||doc_id||'.txt' AS filename, text, 1.7e9 + doc_id AS mtime, length(text) AS size FROM documents)"""
+_CHUNKS = (
+    _FILES
+    + """, split AS (SELECT *, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS w FROM files),
+chunks0 AS (SELECT path, carpeta_top, filename, mtime, size, unnest(range(1, CAST(ceil(len(w) / 500.0) AS BIGINT) + 1)) AS page, w FROM split),
+chunks1 AS (SELECT path, carpeta_top, filename, mtime, size, CAST(page AS INT) AS page, 0 AS chunk_idx, array_to_string(w[(page-1)*500+1 : page*500], ' ') AS text,
+ sha1(unhex('6f9619ff8b86d011b42d00c04fc964ff') || encode(path||'|'||page||'|0')) AS h FROM chunks0),
+chunks AS (SELECT *, left(text, 800) AS snippet, substr(h,1,8)||'-'||substr(h,9,4)||'-5'||substr(h,14,3)||'-'||substr('89ab89ab89ab89ab', instr('0123456789abcdef', substr(h,17,1)), 1)||substr(h,18,3)||'-'||substr(h,21,12) AS point_id FROM chunks1)"""
+)
+
+
+def _with(*ctes: str) -> str:
+    return "WITH " + ", ".join(ctes) + " "
+
+
+_NORM = "trim(regexp_replace(strip_accents(lower({})), '\\s+', ' ', 'g'))"
+_TOKENS = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: length(t) BETWEEN 2 AND 30)"
+_Q = "q(qid, t) AS (" + sql_values(cases.QUERIES) + ")"
+
+
+def _cases(spark: SparkSession) -> DataFrame:
+    return spark_frame(spark, cases.QUERIES, "qid int, t string")
+
+
+# --- chunks, keys, previews ------------------------------------------------------------------------------------
+
+
+@_query(_with(_CHUNKS) + "SELECT path, page, text FROM chunks")
+def chunk_by_words(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("path", "page", "text")
+
+
+@_query(_with(_FILES) + "SELECT doc_id, left(trim(text), 750) AS preview FROM files")
+def preview_750(spark, sf_dir):
+    return _files(spark, sf_dir).select("doc_id", text.preview(F.col("text")).alias("preview"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, split_part(ltrim(replace(p, '\\', '/'), '/'), '/', 1) AS folder FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 'solo.txt' WHEN l_linenumber % 2 = 0 THEN '/dir'||l_suppkey||'/x/'||l_orderkey||'.txt' ELSE '\\dir'||l_suppkey||'\\y.txt' END AS p FROM lineitem)")
+def folder_top(spark, sf_dir):
+    p = F.when(F.col("l_linenumber") == 1, "solo.txt").when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("/dir"), "l_suppkey", F.lit("/x/"), "l_orderkey", F.lit(".txt"))).otherwise(F.concat(F.lit("\\dir"), "l_suppkey", F.lit("\\y.txt")))
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.folder_top(p).alias("folder"))
+
+
+@_query(_with(_CHUNKS) + "SELECT path, page, point_id FROM chunks")
+def point_id(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("path", "page", "point_id")
+
+
+@_query("SELECT page_id, path, split_part(path, '/', 2) AS root FROM (SELECT page_id, '/vol/' || replace(replace(url, '://', '/'), '\\', '/') AS path FROM pages)")
+def virtual_path(spark, sf_dir):
+    path = text.virtual_path(F.replace("url", F.lit("://"), F.lit("/")), "/vol")
+    return _table(spark, sf_dir, "pages").select("page_id", path.alias("path"), F.split_part(path, F.lit("/"), F.lit(2)).alias("root"))
+
+
+@_query("SELECT event_id, round(epoch_ms(date_trunc('second', ts)) / 1000.0, 3) AS mtime FROM events UNION ALL SELECT -1, 0.0")
+def mtime_epoch(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("s"))
+    e = e.unionAll(spark_frame(spark, [(-1, "no date")], "event_id long, s string"))
+    return e.select("event_id", text.epoch_seconds(F.col("s")).alias("mtime"))
+
+
+# --- text functions --------------------------------------------------------------------------------------------
+
+
+@_query("SELECT doc_id, " + _NORM.format("text") + " AS norm FROM documents")
+def normalize_text(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("norm"))
+
+
+@_query("SELECT doc_id, array_to_string(regexp_extract_all(text, '[A-Za-zÁÉÍÓÚÜÑáéíóúüñ0-9]{2,}'), ' ') AS clean FROM documents")
+def sanitize_query(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", text.sanitize(F.col("text")).alias("clean"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in text.KEYWORD_STOP)
+
+
+@_query(
+    "SELECT conv_id, turn, array_to_string(list_filter(list_transform(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), lambda w: lower(trim(w, '.,;:¿?¡!\"''()'))), lambda w: length(w) >= 2 AND w NOT IN ("
+    + _STOP
+    + ") AND NOT regexp_full_match(w, '[0-9]+')), ' ') AS kws FROM conversations"
+)
+def keywords(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(text.keywords(F.col("text")), " ").alias("kws"))
+
+
+_COUNTS = "list_transform(string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z 0 1 2 3 4 5 6 7 8 9', ' '), lambda c: CAST(length(lower({0})) - length(replace(lower({0}), c, '')) AS DOUBLE))"
+_UNIT = "list_transform({0}, lambda x: x / CASE WHEN list_dot_product({0}, {0}) > 0 THEN sqrt(list_dot_product({0}, {0})) ELSE 1 END)"
+
+
+@_query(_with(_CHUNKS, "counted AS (SELECT path, page, " + _COUNTS.format("text") + " AS c FROM chunks)", "u AS (SELECT path, page, " + _UNIT.format("c") + " AS v FROM counted)") + "SELECT path, page, len(v) AS dim, round(v[1], 6) AS v_a, round(v[5], 6) AS v_e, round(v[20], 6) AS v_t, round(list_dot_product(v, v), 6) AS norm FROM u")
+def char_encoder(spark, sf_dir):
+    counted = _chunks(spark, sf_dir).select("path", "page", text.char_counts(F.col("text")).alias("c"))
+    u = counted.select("path", "page", text.unit(F.col("c")).alias("v"))
+    at = lambda i: F.round(F.get("v", F.lit(i)), 6)
+    return u.select("path", "page", F.size("v").cast("long").alias("dim"), at(0).alias("v_a"), at(4).alias("v_e"), at(19).alias("v_t"), F.round(text.dot(F.col("v"), F.col("v")), 6).alias("norm"))
+
+
+# --- vector search ---------------------------------------------------------------------------------------------
+
+_SCORED = "s AS (SELECT q.vec_id AS qid, e.vec_id AS id, e.label, q.label AS q_label, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5)"
+
+
+def _embedded(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
+    return asked, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+_TOP = "SELECT qid, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM s {}) WHERE rank <= 20"
+
+
+@_query(_with(_SCORED) + _TOP.format(""))
+def vector_topk(spark, sf_dir):
+    return ranking.top_k(*_embedded(spark, sf_dir), 20)
+
+
+@_query(_with(_SCORED) + _TOP.format("WHERE label = q_label"))
+def vector_topk_scoped(spark, sf_dir):
+    return ranking.top_k(*_embedded(spark, sf_dir), 20, F.col("label") == F.col("q_label"))
+
+
+@_query(_with(_SCORED) + "SELECT label, id, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS rank FROM s WHERE qid = 0) WHERE rank <= 3")
+def topk_per_label(spark, sf_dir):
+    from pyspark.sql import Window
+
+    asked, vectors = _embedded(spark, sf_dir)
+    met = vectors.join(F.broadcast(asked.where("qid = 0")))
+    scored = met.select("label", "id", F.round(text.dot(F.col("q"), F.col("vector")), 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("rank", rank).where("rank <= 3").drop("rank")
+
+
+@_query(
+    _with(_SCORED)
+    + "SELECT p.pos, p.id, s.score, CAST(row_number() OVER (ORDER BY s.score DESC NULLS LAST, p.pos) AS INT) AS rank FROM (SELECT vec_id AS id, vec_id + 1 AS pos FROM embeddings WHERE vec_id < 40) p LEFT JOIN (SELECT id, score FROM s WHERE qid = 0 AND id % 3 <> 0) s USING (id)"
+)
+def rerank_pool_left(spark, sf_dir):
+    """A full-text pool with vectors for part of it: by similarity, the rest behind in the pool's order."""
+    from pyspark.sql import Window
+
+    asked, vectors = _embedded(spark, sf_dir)
+    pool = vectors.where("id < 40").select("id", (F.col("id") + 1).alias("pos"))
+    scored = vectors.where("id % 3 <> 0").join(F.broadcast(asked.where("qid = 0"))).select("id", F.round(text.dot(F.col("q"), F.col("vector")), 6).alias("score"))
+    out = pool.join(scored, "id", "left")
+    return out.select("pos", "id", "score", F.row_number().over(Window.orderBy(F.col("score").desc_nulls_last(), "pos")).alias("rank"))
+
+
+# --- full text -------------------------------------------------------------------------------------------------
+
+_TERMS = "string_split_regex(" + _NORM.format("{}") + ", '[^\\p{{L}}\\p{{N}}]+')"
+_INDEX = (
+    "post AS (SELECT term, doc_id AS id, count(*) AS tf FROM (SELECT doc_id, unnest(" + _TERMS.format("text") + ") AS term FROM documents) WHERE term <> '' GROUP BY 1, 2), "
+    "asked AS (SELECT DISTINCT item_id AS qid, unnest(list_slice(list_filter(" + _TERMS.format("text") + ", lambda t: length(t) > 3), 1, 3)) AS term FROM benchmark)"
+)
+
+
+def _asked_terms(spark, sf_dir):
+    terms = F.filter(F.split(text.normalize(F.col("text")), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 3)
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.slice(terms, 1, 3)).alias("term")).distinct()
+
+
+def _index(spark, sf_dir):
+    return ranking.postings(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+@_query(
+    _with(
+        _INDEX,
+        "len AS (SELECT id, sum(tf) AS dl FROM post GROUP BY 1)",
+        "corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len)",
+        "df AS (SELECT term, count(*) AS df FROM post GROUP BY 1)",
+        "scored AS (SELECT qid, id, round(sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM asked JOIN post USING (term) JOIN df USING (term) JOIN len USING (id), corpus GROUP BY 1, 2)",
+    )
+    + "SELECT * FROM (SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM scored) WHERE rank <= 5"
+)
+def fts_bm25(spark, sf_dir):
+    return ranking.bm25(_index(spark, sf_dir), _asked_terms(spark, sf_dir), 5, all_terms=False)
+
+
+@_query(_with(_INDEX) + "SELECT qid, id FROM asked JOIN post USING (term) GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM asked a WHERE a.qid = asked.qid)")
+def fts_and_match(spark, sf_dir):
+    asked = _asked_terms(spark, sf_dir)
+    need = asked.groupBy("qid").agg(F.count("*").alias("need"))
+    hits = _index(spark, sf_dir).join(F.broadcast(asked), "term").groupBy("qid", "id").agg(F.count("*").alias("n"))
+    return hits.join(F.broadcast(need), "qid").where("n = need").select("qid", "id")
+
+
+@_query(_with(_FILES) + "SELECT path FROM files WHERE list_contains(" + _TOKENS.format("path") + ", 'src1') AND list_contains(" + _TOKENS.format("path") + ", 'de')")
+def token_match(spark, sf_dir):
+    return _files(spark, sf_dir).where(text.matches_all(text.file_tokens(F.col("path")), strings(["src1", "de"]))).select("path")
+
+
+_KWS = ["the", "que", "die", "thing", "doc"]
+_KW_LIST = "['" + "', '".join(_KWS) + "']"
+
+
+@_query(_with(_CHUNKS) + f"SELECT path, page, CAST(len(list_filter({_KW_LIST}, lambda k: contains(lower(filename || ' ' || snippet), k))) AS INT) AS n, round(CAST(0.08 AS DOUBLE) * len(list_filter({_KW_LIST}, lambda k: contains(lower(filename || ' ' || snippet), k))), 6) AS boost FROM chunks")
+def keyword_boost(spark, sf_dir):
+    hay = F.lower(F.concat_ws(" ", "filename", "snippet"))
+    n = F.size(F.filter(strings(_KWS), lambda k: F.contains(hay, k)))
+    return _chunks(spark, sf_dir).select("path", "page", n.alias("n"), F.round(0.08 * n, 6).alias("boost"))
+
+
+_NAME_KW = "kw(kw, ord) AS (VALUES ('doc', 0), ('12', 1), ('doc 7', 2), ('txt', 3), ('zzz', 4))"
+_NAME_ROWS = [("doc", 0), ("12", 1), ("doc 7", 2), ("txt", 3), ("zzz", 4)]
+_NAME_MET = "met AS (SELECT c.*, kw, ord, row_number() OVER (PARTITION BY kw ORDER BY point_id) AS place FROM chunks c, kw WHERE len(" + _TOKENS.format("kw") + ") > 0 AND list_has_all(" + _TOKENS.format("filename") + ", " + _TOKENS.format("kw") + "))"
+
+
+@_query(_with(_CHUNKS, _NAME_KW, _NAME_MET) + "SELECT path, page, count(*) AS kw_matches, 1 + CAST(0.1 AS DOUBLE) * count(*) AS score FROM met WHERE place <= 25 GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 25")
+def filename_hits(spark, sf_dir):
+    return ranking.name_hits(_chunks(spark, sf_dir), spark_frame(spark, _NAME_ROWS, "kw string, ord int"))
+
+
+@_query(_with(_CHUNKS, _NAME_KW, _NAME_MET) + "SELECT path, CAST(s.ord AS INT) AS ord FROM (SELECT path, min({'ord': ord, 'place': place}) AS s FROM met WHERE place <= 15 AND length(kw) >= 3 GROUP BY 1) ORDER BY s, path LIMIT 5")
+def files_similar(spark, sf_dir):
+    return ranking.similar_names(_chunks(spark, sf_dir), spark_frame(spark, _NAME_ROWS, "term string, ord int"))
+
+
+# --- fusion ----------------------------------------------------------------------------------------------------
+
+_QTEXT = "the thing that was on"
+_VECS = (
+    "vecs AS (SELECT point_id, path, page, filename, " + _COUNTS.format("text") + " AS c FROM chunks), unit AS (SELECT point_id, path, page, filename, " + _UNIT.format("c") + " AS v FROM vecs), "
+    f"qc AS (SELECT {_COUNTS.format(repr(_QTEXT))} AS c), qv AS (SELECT {_UNIT.format('c')} AS q FROM qc), "
+    "sem AS (SELECT point_id, path, page, filename, round(list_dot_product(q, v), 6) AS score FROM unit, qv)"
+)
+
+
+def _semantic(spark, sf_dir, k):
+    counted = _chunks(spark, sf_dir).select("point_id", "path", "page", text.char_counts(F.col("text")).alias("c"))
+    u = counted.select(F.col("point_id").alias("id"), text.unit(F.col("c")).alias("vector"))
+    asked = spark_frame(spark, [(0, _QTEXT)], "qid long, t string").select("qid", text.char_counts(F.col("t")).alias("c"))
+    return ranking.top_k(asked.select("qid", text.unit(F.col("c")).alias("q")), u, k)
+
+
+_HYBRID_NAMES = [("12", 1, 1.5), ("doc 7", 2, 1.5)]
+_HYBRID_PATHS = [("src3", 3, 1.8)]
+
+
+@_query(
+    _with(
+        _CHUNKS,
+        _VECS,
+        "h1 AS (SELECT point_id, 'semantic' AS channel, 0 AS ord, row_number() OVER (ORDER BY score DESC, point_id) AS r, score, 1.0 AS weight FROM sem), "
+        "terms(t, ord, w) AS (VALUES ('12', 1, 1.5), ('doc 7', 2, 1.5)), "
+        "h2 AS (SELECT point_id, 'filename:'||t AS channel, ord, row_number() OVER (PARTITION BY t ORDER BY point_id) AS r, 1.0 AS score, w AS weight FROM chunks, terms WHERE list_has_all(" + _TOKENS.format("filename") + ", " + _TOKENS.format("t") + ")), "
+        "h3 AS (SELECT point_id, 'expte:src3' AS channel, 3 AS ord, row_number() OVER (ORDER BY point_id) AS r, 1.0 AS score, 1.8 AS weight FROM chunks WHERE list_contains(" + _TOKENS.format("path") + ", 'src3')), "
+        "h AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3), "
+        "b AS (SELECT point_id, channel, round(score * weight, 6) AS final, ord * 1000000 + r AS place FROM h WHERE r <= 20), "
+        "best AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY final DESC, place) AS rn, min(place) OVER (PARTITION BY point_id) AS first FROM b)",
+    )
+    + "SELECT 0 AS qid, point_id AS key, final, channel, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (ORDER BY final DESC, first) AS rank FROM best WHERE rn = 1) WHERE rank <= 30"
+)
+def hybrid_3channel(spark, sf_dir):
+    """Semantic, file-name and case-number channels with their weights, one list."""
+    from pyspark.sql import Window
+
+    chunks = _chunks(spark, sf_dir).select("point_id", "path", "filename")
+    sem = _semantic(spark, sf_dir, 20).select("qid", F.col("id").alias("key"), F.lit("semantic").alias("channel"), F.lit(0).alias("channel_ord"), F.col("rank").alias("rank_in"), "score", F.lit(1.0).alias("weight"))
+    parts = [sem]
+    for field, prefix, terms in (("filename", "filename:", _HYBRID_NAMES), ("path", "expte:", _HYBRID_PATHS)):
+        for term, order, weight in terms:
+            met = chunks.where(text.matches_all(text.file_tokens(F.col(field)), text.file_tokens(F.lit(term))))
+            first = met.orderBy("point_id").limit(20).withColumn("rank_in", F.row_number().over(Window.orderBy("point_id")))
+            parts.append(first.select(F.lit(0).cast("long").alias("qid"), F.col("point_id").alias("key"), F.lit(prefix + term).alias("channel"), F.lit(order).alias("channel_ord"), "rank_in", F.lit(1.0).alias("score"), F.lit(weight).alias("weight")))
+    hits = parts[0]
+    for p in parts[1:]:
+        hits = hits.unionAll(p)
+    return ranking.fuse_channels(hits).where("rank <= 30")
+
+
+_BAG = (
+    "bag AS (SELECT path, page, 'vector' AS source, score, row_number() OVER (ORDER BY score DESC, point_id) AS ordinal, 0 AS kw_matches FROM sem QUALIFY row_number() OVER (ORDER BY score DESC, point_id) <= 60 "
+    "UNION ALL SELECT path, page, 'filename', 1 + 0.1 * n, 1000 + row_number() OVER (ORDER BY n DESC, path, page), n FROM (SELECT path, page, count(*) AS n FROM met WHERE place <= 25 GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 25)), "
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY path, page ORDER BY (source = 'filename') DESC, score DESC, ordinal) AS rn, min(ordinal) OVER (PARTITION BY path, page) AS first_ord FROM bag), "
+    "fused AS (SELECT path, page, source, score, kw_matches, first_ord FROM ranked WHERE rn = 1)"
+)
+
+
+def _fused(spark, sf_dir):
+    from pyspark.sql import Window
+
+    chunks = _chunks(spark, sf_dir)
+    sem = _semantic(spark, sf_dir, 60).join(chunks.select(F.col("point_id").alias("id"), "path", "page"), "id")
+    vector = sem.select("path", "page", F.lit("vector").alias("source"), "score", F.col("rank").cast("long").alias("ordinal"), F.lit(0).cast("long").alias("kw_matches"))
+    names = ranking.name_hits(chunks, spark_frame(spark, _NAME_ROWS, "kw string, ord int"))
+    place = F.row_number().over(Window.orderBy(F.desc("kw_matches"), "path", "page")) + 1000
+    return ranking.fuse_sources(vector.unionAll(names.select("path", "page", F.lit("filename").alias("source"), "score", place.cast("long").alias("ordinal"), "kw_matches")))
+
+
+@_query(_with(_CHUNKS, _VECS, _NAME_KW, _NAME_MET, _BAG) + "SELECT path, page, source, round(score, 6) AS score, CAST(kw_matches AS BIGINT) AS kw_matches, first_ord FROM fused")
+def rag_fuse_dedup(spark, sf_dir):
+    return _fused(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+@_query(
+    _with(
+        _CHUNKS,
+        _VECS,
+        _NAME_KW,
+        _NAME_MET,
+        _BAG,
+        "fn AS (SELECT path, page, source, row_number() OVER (ORDER BY kw_matches DESC, score DESC, first_ord) AS slot FROM fused WHERE source = 'filename' QUALIFY slot <= 5)",
+        "vx AS (SELECT path, page, source, row_number() OVER (ORDER BY score DESC, first_ord) AS place FROM fused WHERE source = 'vector')",
+    )
+    + "SELECT path, page, source, CAST(slot AS INT) AS slot FROM fn UNION ALL SELECT path, page, source, CAST(place + (SELECT count(*) FROM fn) AS INT) FROM vx WHERE place <= 10 - (SELECT count(*) FROM fn)"
+)
+def slot_merge(spark, sf_dir):
+    return ranking.slots(_fused(spark, sf_dir))
+
+
+# --- context and reading ---------------------------------------------------------------------------------------
+
+_BLOCK = "'--- Pag. '||c.page||CASE WHEN c.page = h.page THEN ' [PAG ACTUAL]' ELSE '' END||' ---'||chr(10)||left(trim(c.snippet), 1800)"
+
+
+@_query(_with(_CHUNKS) + f"SELECT h.path, h.page, string_agg({_BLOCK}, chr(10)||chr(10) ORDER BY c.page) AS context FROM chunks h JOIN chunks c ON h.path = c.path AND c.page BETWEEN h.page - 1 AND h.page + 1 WHERE h.page = 2 AND trim(c.snippet) <> '' GROUP BY 1, 2")
+def context_window(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    hits = chunks.where("page = 2").select(F.col("point_id").alias("hid"), "path", "page")
+    return ranking.context(hits, chunks).join(hits, "hid").select("path", "page", "context")
+
+
+@_query(_with(_CHUNKS) + "SELECT page, snippet AS text FROM chunks WHERE path = (SELECT path FROM files ORDER BY size DESC, path LIMIT 1) AND page = 2")
+def read_page(spark, sf_dir):
+    path = _files(spark, sf_dir).orderBy(F.desc("size"), "path").select("path").first()[0]
+    return store.read_pages(_chunks(spark, sf_dir), path, 2, 2)
+
+
+@_query(_with(_CHUNKS) + "SELECT page, snippet AS text FROM chunks WHERE path = (SELECT path FROM files ORDER BY size DESC, path LIMIT 1) AND page BETWEEN 2 AND 21")
+def read_range(spark, sf_dir):
+    path = _files(spark, sf_dir).orderBy(F.desc("size"), "path").select("path").first()[0]
+    return store.read_pages(_chunks(spark, sf_dir), path, 2, 60)
+
+
+# --- the store -------------------------------------------------------------------------------------------------
+
+
+@_query("SELECT DISTINCT source AS carpeta_top FROM documents")
+def distinct_folders(spark, sf_dir):
+    return _chunks_folders(spark, sf_dir)
+
+
+def _chunks_folders(spark, sf_dir):
+    return _files(spark, sf_dir).select(text.folder_top(F.col("path")).alias("carpeta_top")).distinct()
+
+
+@_query(_with(_FILES, "known AS (SELECT path, CASE WHEN doc_id % 3 = 0 THEN mtime + 0.0005 ELSE mtime + 1 END AS m FROM files WHERE doc_id % 2 = 0)") + "SELECT doc_id, path FROM files f WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.path = f.path AND abs(f.mtime - k.m) <= 0.001)")
+def incremental_antijoin(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    late = F.when(F.col("doc_id") % 3 == 0, F.col("mtime") + 0.0005).otherwise(F.col("mtime") + 1)
+    known = files.where("doc_id % 2 = 0").select("path", late.alias("mtime"), "size")
+    return store.unseen(files, known).select("doc_id", "path")
+
+
+_LISTED = "listed(path, mtime, size) AS (" + sql_values(cases.LISTED) + "), known(path, mtime, size) AS (" + sql_values(cases.KNOWN) + ")"
+
+
+@_query("WITH " + _LISTED + " SELECT path, mtime, 'path_mtime' AS rule FROM listed l WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.path = l.path AND abs(l.mtime - k.mtime) <= 0.001) UNION ALL SELECT path, mtime, 'with_size' FROM listed l WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.path = l.path AND abs(l.mtime - k.mtime) < 0.001 AND k.size = l.size)")
+def exists_path_mtime(spark, sf_dir):
+    kind = "path string, mtime double, size long"
+    listed, known = spark_frame(spark, cases.LISTED, kind), spark_frame(spark, cases.KNOWN, kind)
+    one = store.unseen(listed, known).select("path", "mtime", F.lit("path_mtime").alias("rule"))
+    return one.unionAll(store.unseen(listed, known, inclusive=False, same_size=True).select("path", "mtime", F.lit("with_size").alias("rule")))
+
+
+@_query(
+    _with(_CHUNKS, "new AS (SELECT point_id, path, page, 'v1' AS snippet, 1 AS seq FROM chunks WHERE page = 1 UNION ALL SELECT point_id, path, page, 'v2', 2 FROM chunks WHERE page = 1 AND ends_with(path, '0.txt'))", "last AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY seq DESC) = 1)")
+    + "SELECT point_id, path, page, snippet FROM last UNION ALL SELECT point_id, path, page, snippet FROM chunks WHERE point_id NOT IN (SELECT point_id FROM last)"
+)
+def upsert_latest(spark, sf_dir):
+    stored = _chunks(spark, sf_dir).select("point_id", "path", "page", "snippet")
+    first = stored.where("page = 1")
+    new = first.withColumns({"snippet": F.lit("v1"), "seq": F.lit(1)}).unionAll(first.where(F.col("path").endswith("0.txt")).withColumns({"snippet": F.lit("v2"), "seq": F.lit(2)}))
+    return store.upsert(stored, new)
+
+
+@_query(_with(_CHUNKS) + "SELECT point_id, path FROM chunks WHERE path <> (SELECT min(path) FROM files)")
+def delete_by_path(spark, sf_dir):
+    path = _files(spark, sf_dir).agg(F.min("path")).first()[0]
+    return store.delete_path(_chunks(spark, sf_dir), path).select("point_id", "path")
+
+
+@_query(_with(_CHUNKS, "new AS (SELECT path, page, snippet FROM chunks WHERE page = 1 AND carpeta_top = 'src1')") + "SELECT path, page, 'new' AS origin FROM new UNION ALL SELECT path, page, 'old' FROM chunks WHERE path NOT IN (SELECT path FROM new)")
+def replace_file(spark, sf_dir):
+    stored = _chunks(spark, sf_dir).select("path", "page", F.lit("old").alias("origin"))
+    new = _chunks(spark, sf_dir).where("page = 1 AND carpeta_top = 'src1'").select("path", "page", F.lit("new").alias("origin"))
+    return store.replace_file(stored, new)
+
+
+@_query(_with(_CHUNKS) + "SELECT point_id, CASE WHEN page % 2 = 0 THEN '' ELSE 'x' || carpeta_top END AS old, carpeta_top AS new FROM chunks WHERE page <> 3")
+def backfill_diff(spark, sf_dir):
+    old = F.when(F.col("page") == 3, F.col("carpeta_top")).when(F.col("page") % 2 == 0, F.lit(None)).otherwise(F.concat(F.lit("x"), "carpeta_top"))
+    chunks = _chunks(spark, sf_dir).select("point_id", "path", old.alias("stored"))
+    return store.backfill(chunks, "stored", text.folder_top(F.col("path")))
+
+
+_PAGE_EXT = "lower(regexp_extract(url, '(\\.[^./\\\\]+)$', 1))"
+
+
+@_query(f"SELECT {_PAGE_EXT} AS ext, count(*) AS files, CAST(sum(length(html)) AS BIGINT) AS bytes FROM pages GROUP BY 1")
+def ext_breakdown(spark, sf_dir):
+    return store.extension_breakdown(_table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.length("html").cast("long").alias("size")))
+
+
+@_query("SELECT count(*) FILTER (WHERE quality = 1) AS files_ok, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS files_sin_texto, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS files_err, CAST(sum(quality) AS BIGINT) AS chunks FROM labels")
+def index_stats(spark, sf_dir):
+    status = F.when(F.col("quality") == 1, "ok").when(F.col("toxic") == 1, "error:x").otherwise("sin_texto")
+    return store.index_stats(_table(spark, sf_dir, "labels").select(status.alias("status"), F.col("quality").alias("n_chunks")))
+
+
+@_query("SELECT path, ext IN ('.pdf', '.docx', '.doc', '.txt') AND NOT contains(lower(path), '#recycle/') AND NOT contains(lower(path), 'thumbs.db') AND NOT starts_with(name, '~$') AS supported FROM (SELECT path, lower(regexp_extract(path, '(\\.[^./\\\\]+)$', 1)) AS ext, regexp_extract(path, '([^/]*)$', 1) AS name FROM (SELECT CASE doc_id % 5 WHEN 0 THEN '/a/#recycle/' WHEN 1 THEN '/a/~$' ELSE '/a/' END || doc_id || CASE doc_id % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.txt' ELSE '.png' END AS path FROM documents))")
+def supported_files(spark, sf_dir):
+    from siltstone.sources.files import is_supported
+
+    head = F.when(F.col("doc_id") % 5 == 0, "/a/#recycle/").when(F.col("doc_id") % 5 == 1, "/a/~$").otherwise("/a/")
+    tail = F.when(F.col("doc_id") % 3 == 0, ".PDF").when(F.col("doc_id") % 3 == 1, ".txt").otherwise(".png")
+    return _table(spark, sf_dir, "documents").select(F.concat(head, "doc_id", tail).alias("path")).select("path", is_supported(F.col("path")).alias("supported"))
+
+
+# --- query analysis --------------------------------------------------------------------------------------------
+
+
+@_query("WITH e(qid, numbers) AS (" + sql_values([(2, "12345/2020,170495"), (7, "25156/2024,998877"), (16, "25156"), (19, "20301234567")]) + "), " + _Q + " SELECT q.qid, coalesce(numbers, '') AS numbers FROM q LEFT JOIN e USING (qid)")
+def extract_case_numbers(spark, sf_dir):
+    return _cases(spark).select("qid", F.array_join(analysis.case_numbers(F.col("t")), ",").alias("numbers"))
+
+
+_CAPS_STOP = ", ".join(f"'{w}'" for w in analysis.CAPS_STOP)
+
+
+@_query("SELECT doc_id, list_sort(list_distinct(list_filter(list_filter(string_split_regex(text, '[^\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '[A-ZÁÉÍÓÚÑ]{4,}')), lambda w: w NOT IN (" + _CAPS_STOP + ")))) AS names FROM documents")
+def extract_caps_names(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sort_array(analysis.caps_names(F.col("text"))).alias("names"))
+
+
+def _sql_any(hay: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({hay}, '{w}')" for w in words) + ")"
+
+
+_CASE_HIT, _CONCEPT_HIT = _sql_any("n", analysis.CASE_WORDS), _sql_any("n", analysis.CONCEPT_WORDS)
+
+
+@_query(
+    f"WITH {_Q}, m AS (SELECT qid, t, {_NORM.format('t')} AS n FROM q) SELECT qid, CASE WHEN {_CASE_HIT} AND NOT {_CONCEPT_HIT} THEN 'caso' WHEN {_CONCEPT_HIT} AND NOT {_CASE_HIT} THEN 'concepto' ELSE 'mixto' END AS intent, {_sql_any('n', analysis.FOLLOW_WORDS)} AS follow_up, {_sql_any('lower(t)', analysis.DRAFT_VERBS)} AND {_sql_any('lower(t)', analysis.DRAFT_KINDS)} AS draft FROM m"
+)
+def intent(spark, sf_dir):
+    t = F.col("t")
+    return _cases(spark).select("qid", analysis.intent(t).alias("intent"), analysis.follow_up(t).alias("follow_up"), analysis.wants_draft(t).alias("draft"))
+
+
+_TRIV = ", ".join(f"'{w}'" for w in text.TRIVIAL)
+
+
+@_query(
+    f"WITH {_Q}, s AS (SELECT qid, trim(regexp_replace(lower(trim(t)), '[?!.]+$', '')) AS x FROM q) SELECT qid, length(x) <= 2 OR x IN ({_TRIV}) OR (len(string_split_regex(x, '\\s+')) <= 3 AND len(list_filter(string_split_regex(x, '\\s+'), lambda w: NOT (w IN ({_TRIV}) OR length(w) <= 3))) = 0) AS trivial FROM s"
+)
+def trivial(spark, sf_dir):
+    return _cases(spark).select("qid", text.is_trivial(F.col("t")).alias("trivial"))
+
+
+@_query("WITH e(qid, negated) AS (" + sql_values([(4, "Norte"), (11, "por el juicio|Archivo Sur")]) + "), " + _Q + " SELECT q.qid, coalesce(negated, '') AS negated FROM q LEFT JOIN e USING (qid)")
+def negations(spark, sf_dir):
+    return _cases(spark).select("qid", F.array_join(analysis.negations(F.col("t")), "|").alias("negated"))
+
+
+@_query("WITH e(qid, folder, semantic) AS (" + sql_values([(1, "Norte", "Que dice la demanda de GONZALEZ"), (12, "Sur", "listar revisar")]) + "), " + _Q + f" SELECT q.qid, e.folder, coalesce(semantic, trim(regexp_replace(CASE q.qid WHEN 2 THEN 'dame el Expte. y el N°' WHEN 7 THEN 'FMZ contra RAMIREZ y RAMIREZ, numero' WHEN 16 THEN 'informe y 251567 sueltos' WHEN 19 THEN 'el total es 15.421/2020 segun CUIT' ELSE t END, '\\s+', ' ', 'g'))) AS semantic FROM q LEFT JOIN e USING (qid)")
+def folder_and_semantic_text(spark, sf_dir):
+    t = F.col("t")
+    return _cases(spark).select("qid", analysis.folder_phrase(t).alias("folder"), analysis.semantic_text(t, analysis.case_numbers(t)).alias("semantic"))
+
+
+@_query("SELECT * FROM (" + sql_values([(1, "norte", "Norte", 1), (2, "sur", "Documentos Sur", 2), (3, "documentos", "Documentos Sur", 2), (4, "arabella", "Arabela Perez", 5), (5, "zzz", "zzz", 6), (6, "archivos viejos", "Archivo", 2), (7, "perez gomez", "Arabela Perez", 3)]) + ") e(qid, raw, folder, level)")
+def folder_cascade(spark, sf_dir):
+    return analysis.match_folder(spark_frame(spark, cases.ASKED, "qid int, raw string"), spark_frame(spark, cases.FOLDERS, "folder string"))
+
+
+_CTX = [(1, 0, "Norte", "12345", "GONZALEZ"), (1, 1, "Norte", "12345", "GONZALEZ"), (1, 2, "Norte", "777777", ""), (1, 3, None, "777777", ""), (2, 0, None, "", "LOPEZ"), (2, 1, None, "", "LOPEZ"), (2, 2, "Este", "", "LOPEZ")]
+
+
+@_query("SELECT conv, turn, carpeta, expedientes, nombres FROM (" + sql_values(_CTX) + ") e(conv, turn, carpeta, expedientes, nombres)")
+def context_fold(spark, sf_dir):
+    rows = spark_frame(spark, cases.CONTEXTS, "conv int, turn long, carpeta string, expedientes array<string>, nombres array<string>, negated array<string>")
+    out = analysis.fold_context(rows)
+    return out.select("conv", F.col("turn").cast("int").alias("turn"), "carpeta", F.array_join("expedientes", ",").alias("expedientes"), F.array_join("nombres", ",").alias("nombres"))
+
+
+# --- conversations and citations -------------------------------------------------------------------------------
+
+_TOK = "greatest(1, CAST(floor(length(coalesce(text, '')) / 4) AS BIGINT))"
+
+
+@_query(f"SELECT conv_id, CAST(sum({_TOK}) AS BIGINT) AS tokens, count(*) AS turns FROM conversations GROUP BY 1")
+def token_total(spark, sf_dir):
+    return conversation.token_totals(_table(spark, sf_dir, "conversations"))
+
+
+@_query(
+    f"WITH c AS (SELECT *, sum({_TOK}) OVER (PARTITION BY conv_id) AS tokens, count(*) FILTER (WHERE role <> 'system') OVER (PARTITION BY conv_id) AS others, row_number() OVER (PARTITION BY conv_id, role <> 'system' ORDER BY turn DESC) AS back FROM conversations), "
+    "g AS (SELECT *, tokens > 500 AND others > 4 AND role <> 'system' AND back > 4 AS gone FROM c) SELECT conv_id, turn, role, text FROM g WHERE NOT gone UNION ALL SELECT conv_id, -1, 'system', '## Resumen: '||count(*)||' turnos' FROM g WHERE gone GROUP BY conv_id"
+)
+def compact_tail4(spark, sf_dir):
+    return conversation.compact(_table(spark, sf_dir, "conversations"), 500)
+
+
+_CITES = [(1, "contrato.pdf", 3, True), (1, "POLIZA (3).pdf", 12, True), (1, "otro.docx", 7, False), (3, "Informe Final.txt", 9, True), (3, "contrato.pdf", 4, False)]
+
+
+@_query("SELECT * FROM (" + sql_values(_CITES) + ") e(aid, filename, page, valid)")
+def citations_validate(spark, sf_dir):
+    answers, files = spark_frame(spark, cases.ANSWERS, "aid int, answer string"), spark_frame(spark, cases.CITED, "aid int, filename string")
+    return ranking.citations(answers, files).select("aid", "filename", "page", "valid")
+
+
+@_query("WITH c(cid, cited, paths) AS (" + sql_values(cases.TOLERANT) + f"), n AS (SELECT cid, {_NORM.format('cited')} AS c, list_transform(paths, lambda p: {_NORM.format('regexp_extract(p, ' + repr('([^/]*)$') + ', 1)')}) AS ps FROM c) SELECT cid, c <> '' AND len(list_filter(ps, lambda p: contains(p, c) OR contains(c, p))) > 0 AS ok FROM n")
+def citation_tolerant(spark, sf_dir):
+    return spark_frame(spark, cases.TOLERANT, "cid int, cited string, paths array<string>").select("cid", ranking.citation_matches(F.col("cited"), F.col("paths")).alias("ok"))
+
+
+@_query("SELECT filename, rank, case_file, CAST(row_number() OVER (ORDER BY case_file DESC, rank) AS INT) AS new_rank FROM (SELECT filename, rank, regexp_matches(filename, '(?i)(N[°º]?\\.?\\s*\\d|Expte|Exp\\.|FMZ|\\d{5,})|(\\bc/\\b)|(\\bvs?\\b)') AS case_file FROM (" + sql_values(cases.NAMED) + ") n(filename, rank))")
+def case_reorder(spark, sf_dir):
+    return ranking.case_first(spark_frame(spark, cases.NAMED, "filename string, rank int"))
+
+
+@_query(
+    "WITH l(lid, line) AS (" + sql_values(cases.LINES) + "), r AS (SELECT lid, rtrim(line) AS x FROM l) SELECT lid, CASE WHEN x = '' THEN 'blank' WHEN regexp_full_match(x, '#{1,3}\\s+.+') THEN 'heading'||length(regexp_extract(x, '^(#+)', 1)) WHEN regexp_full_match(x, '[-*]\\s+.+') THEN 'bullet' WHEN regexp_full_match(x, '\\d+[.)]\\s+.+') THEN 'number' WHEN upper(x) = x AND lower(x) <> x AND length(x) > 4 THEN 'title' ELSE 'text' END AS kind FROM r"
+)
+def md_line_class(spark, sf_dir):
+    return spark_frame(spark, cases.LINES, "lid int, line string").select("lid", text.line_class(F.col("line")).alias("kind"))
+
+
+@_query("SELECT event_type, count(*) AS n, CAST(max(event_id) AS BIGINT) AS last_id FROM events GROUP BY 1")
+def stream_ingest_events(spark, sf_dir):
+    """The event table through the micro-batch ingest, keyed by event; then counts of what was stored."""
+    stored = stream_ingest(spark, f"{sf_dir.rstrip('/')}/events.parquet", key="event_id")
+    return stored.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
