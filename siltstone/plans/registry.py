@@ -301,7 +301,7 @@ _HYBRID_PATHS = [("src3", 3, 1.8)]
         "b AS (SELECT point_id, channel, round(score * weight, 6) AS final, ord * 1000000 + r AS place FROM h WHERE r <= 20), "
         "best AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY final DESC, place) AS rn, min(place) OVER (PARTITION BY point_id) AS first FROM b)",
     )
-    + "SELECT 0 AS qid, point_id AS key, final, channel, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (ORDER BY final DESC, first) AS rank FROM best WHERE rn = 1) WHERE rank <= 30"
+    + "SELECT CAST(0 AS BIGINT) AS qid, point_id AS key, final, channel, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (ORDER BY final DESC, first) AS rank FROM best WHERE rn = 1) WHERE rank <= 30"
 )
 def hybrid_3channel(spark, sf_dir):
     """Semantic, file-name and case-number channels with their weights, one list."""
