@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -42,22 +43,22 @@ def base_spans(text: str) -> list[Span]:
 
 
 class MarkovRatio:
-    """Mean log-likelihood ratio per step of a string: random over ordinary, with additive smoothing."""
+    """Mean log-likelihood ratio per step of a string: random over ordinary. Transitions are smoothed towards the
+    symbol's own frequency in their model, with the weight of ``backing`` observations."""
 
-    def __init__(self, random_strings: Iterable[str], ordinary: Iterable[str], smoothing: float = 0.5):
+    def __init__(self, random_strings: Iterable[str], ordinary: Iterable[str], backing: float = 5.0):
         self.ratio: dict[str, float] = {}
-        counts = []
-        for strings in (random_strings, ordinary):
-            pairs = dict.fromkeys((a + b for a in _SYMBOLS for b in _SYMBOLS), smoothing)
+        for sign, strings in ((1, random_strings), (-1, ordinary)):
+            pairs, single = Counter(), Counter(_SYMBOLS)
             for s in strings:
-                for i in range(len(s) - 1):
-                    if s[i : i + 2] in pairs:
-                        pairs[s[i : i + 2]] += 1
-            counts.append(pairs)
-        for a in _SYMBOLS:
-            r, o = (sum(c[a + b] for b in _SYMBOLS) for c in counts)
-            for b in _SYMBOLS:
-                self.ratio[a + b] = math.log(counts[0][a + b] / r) - math.log(counts[1][a + b] / o)
+                single.update(s)
+                pairs.update(s[i : i + 2] for i in range(len(s) - 1))
+            total = sum(single[c] for c in _SYMBOLS)
+            for a in _SYMBOLS:
+                after = sum(pairs[a + b] for b in _SYMBOLS)
+                for b in _SYMBOLS:
+                    chance = (pairs[a + b] + backing * single[b] / total) / (after + backing)
+                    self.ratio[a + b] = self.ratio.get(a + b, 0.0) + sign * math.log(chance)
 
     def __call__(self, s: str) -> float:
         steps = [self.ratio.get(s[i : i + 2], 0.0) for i in range(len(s) - 1)]

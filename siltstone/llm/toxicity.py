@@ -23,7 +23,7 @@ from siltstone.llm.common import held_out
 
 #: Letters that look like Latin ones, and what digits and signs stand for.
 _ALIKE = str.maketrans("аеорсухіјѕԁһκονιτυρα", "aeopcyxijsdhkovitupa")
-_STANDS_FOR = str.maketrans("013457@$!|", "oleastasil")
+_STANDS_FOR = str.maketrans("013457@$!|", "oieastasil")
 _SIGN = re.compile(r"[013457@$!|](?:(?<=[^\W\d_].)(?=[013457@$!|]*[^\W\d_])|(?<![\w@$!|].)(?=[013457@$!|]*[^\W\d_]))")
 _GAP = re.compile(r"[\W\d_]+")
 
