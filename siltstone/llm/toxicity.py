@@ -112,9 +112,10 @@ def learn(texts: Iterable[str | None], labels: Iterable[int], *, prior: float |
     heavy = sorted((x for x in weighed if x[1] >= min_weight), key=lambda x: (-x[1] * x[2], x[0]))[:entries]
     out.weights = {e: round(w, 4) for e, w, _ in heavy}
     found = {0: Counter(), 1: Counter()}
+    listed = {w for w in {w for words, _ in rows for w in words} if any(e in out.weights for e in _entries(w))}
     for words, y in rows:
         for i, w in enumerate(words):
-            if any(e in out.weights for e in _entries(w)):
+            if w in listed:
                 found[y].update(f" {p} " for p in {" ".join(words[i - 1 : i + 1]) if i else "", " ".join(words[i : i + 2])} if " " in p)
     out.exceptions = sorted(p for p, n in found[0].items() if n >= 3 and not found[1][p])
     automaton = out.automaton()
