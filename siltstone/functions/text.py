@@ -133,3 +133,26 @@ def line_class(line: Column) -> Column:
         .when(title, "title")
         .otherwise("text")
     )
+
+
+def content_text(parts: Column) -> Column:
+    """The text parts of a multi-part message (``array<struct<type, text, ...>>``), a line each."""
+    own = F.filter(parts, lambda p: (p["type"] == "text") & p["text"].isNotNull())
+    return F.array_join(F.transform(own, lambda p: p["text"]), "\n")
+
+
+def valid_image_url(url: Column) -> Column:
+    """A web address with a host, or a base64 data URL whose first bytes are of the image type that it names."""
+    web = F.lower(url).rlike(r"^https?://") & (F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")) != "")
+    shape = r"(?i)^data:image/(avif|gif|jpe?g|png|webp);base64,([A-Za-z0-9+/]+={0,2})$"
+    kind = F.lower(F.regexp_extract(url, shape, 1))
+    head = F.hex(F.try_to_binary(F.regexp_extract(url, shape, 2), F.lit("base64")))
+    box, brand = F.substring(head, 9, 8), F.substring(head, 17, 8)
+    image = (
+        F.when(kind == "png", head.startswith("89504E470D0A1A0A"))
+        .when(kind.isin("jpg", "jpeg"), head.startswith("FFD8FF"))
+        .when(kind == "gif", head.startswith("474946383761") | head.startswith("474946383961"))
+        .when(kind == "webp", head.startswith("52494646") & (brand == "57454250"))
+        .when(kind == "avif", (box == "66747970") & brand.isin("61766966", "61766973"))
+    )
+    return F.coalesce(web, F.lit(False)) | F.coalesce(image, F.lit(False))

@@ -33,16 +33,16 @@ def bm25(index: DataFrame, terms: DataFrame, k: int, all_terms: bool = True) ->
     length = index.groupBy("id").agg(F.sum("tf").alias("dl"))
     corpus = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     asked = terms.distinct()
-    hits = index.join(F.broadcast(asked.select("term").distinct()), "term")
+    hits = index.join(asked.select("term").distinct(), "term")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    met = hits.join(df, "term").join(length, "id").join(F.broadcast(corpus)).join(F.broadcast(asked), "term")
+    met = hits.join(df, "term").join(length, "id").join(F.broadcast(corpus)).join(asked, "term")  # the corpus is one row
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
     part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
     scored = met.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("n_terms"))
     if all_terms:
         need = asked.groupBy("qid").agg(F.count("*").alias("need"))
-        scored = scored.join(F.broadcast(need), "qid").where("n_terms = need")
+        scored = scored.join(need, "qid").where("n_terms = need")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
     return scored.select("qid", "id", "score", rank.alias("rank")).where(F.col("rank") <= k)
 
@@ -135,3 +135,15 @@ def citation_matches(cited: Column, paths: Column) -> Column:
     c = normalize(cited)
     base = lambda p: normalize(F.substring_index(p, "/", -1))
     return (c != "") & F.exists(paths, lambda p: F.contains(base(p), c) | F.contains(c, base(p)))
+
+
+def excerpt(text: Column, term: Column, width: int = 20, lead: int = 5) -> Column:
+    """At most ``width`` words of the text from ``lead`` before the first word that is ``term``, which is marked;
+    dots stand where words are left out. Null if no word is the term."""
+    words = F.array_remove(F.split(text, r"\s+"), "")
+    bare = F.transform(words, lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", ""))
+    at = F.array_position(bare, term)
+    first = F.greatest(F.lit(1), at.cast("int") - lead)
+    shown = F.transform(F.slice(words, first, F.lit(width)), lambda w, i: F.when(F.get(bare, first + i - 1) == term, F.concat(F.lit("<<"), w, F.lit(">>"))).otherwise(w))
+    body = F.concat(F.when(first > 1, "... ").otherwise(""), F.array_join(shown, " "), F.when(first + width <= F.size(words), " ...").otherwise(""))
+    return F.when(at > 0, body)

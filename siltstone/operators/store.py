@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import extension, folder_top, point_id, word_chunks
-from siltstone.schema import SNIPPET_STORED
+from siltstone.schema import PREVIEW_CHARS, SNIPPET_STORED
 
 
 def chunk_table(files: DataFrame) -> DataFrame:
@@ -69,3 +69,28 @@ def index_stats(files: DataFrame) -> DataFrame:
     """One row of counts by status and of chunks, in one pass."""
     n = lambda s: F.count_if(F.col("status") == s)
     return files.agg(n("ok").alias("files_ok"), n("sin_texto").alias("files_sin_texto"), F.count_if(F.col("status").startswith("error")).alias("files_err"), F.sum("n_chunks").cast("long").alias("chunks"))
+
+
+def lite_rows(new: DataFrame, known: DataFrame, tolerance: float = 0.001) -> DataFrame:
+    """Preview rows (page 0) for ``new (path, filename, mtime, size, preview)``: none for files that ``known``
+    (with ``fully_extracted``) has in full and unchanged; a file without a preview is found by its name."""
+    full = known.where("fully_extracted").select(F.col("path").alias("k_path"), F.col("mtime").alias("k_mtime"), F.col("size").alias("k_size"))
+    same = (F.col("path") == F.col("k_path")) & (F.col("size") == F.col("k_size")) & (F.abs(F.col("mtime") - F.col("k_mtime")) < tolerance)
+    own = F.substring(F.coalesce("preview", F.lit("")), 1, PREVIEW_CHARS)
+    return new.join(full, same, "left_anti").select("path", "filename", F.lit(0).alias("page"), F.when(own == "", F.col("filename")).otherwise(own).alias("text"))
+
+
+def promote(files: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """Chunks of the files that have only a preview so far, of all or of those in ``paths (path)``."""
+    pending = files.where("not fully_extracted")
+    return chunk_table(pending if paths is None else pending.join(paths.select("path").distinct(), "path", "left_semi"))
+
+
+def run_tally(results: DataFrame) -> DataFrame:
+    """Files and chunks of an ingest run by status."""
+    return results.groupBy("status").agg(F.count("*").alias("files"), F.sum("n_chunks").cast("long").alias("chunks"))
+
+
+def log_no_hits(queries: DataFrame, path: str) -> None:
+    """Appends queries without hits as JSON lines; texts are cut to 500 characters."""
+    queries.withColumns({"query": F.substring("query", 1, 500), "ts": F.current_timestamp()}).write.mode("append").json(path)

@@ -73,6 +73,22 @@ LINES = [(1, "# Titulo"), (2, "### Tercero  "), (3, "- punto"), (4, "* otro"), (
 LISTED = [("/a/x.pdf", 1000.0, 10), ("/a/x.pdf", 1000.0005, 10), ("/a/x.pdf", 1000.5, 10), ("/b/y.txt", 5.0, 7), ("/b/new.doc", 9.0, 1)]
 KNOWN = [("/a/x.pdf", 1000.0, 10), ("/b/y.txt", 5.0, 8)]
 
+#: (uid, url, whether it is valid)
+IMAGES = [
+    (1, "https://a.example/x.png", True),
+    (2, "http:///nohost", False),
+    (3, "ftp://a.example/x.png", False),
+    (4, "data:image/png;base64,iVBORw0KGgoAAAA=", True),
+    (5, "data:image/jpeg;base64,iVBORw0KGgoAAAA=", False),
+    (6, "data:image/JPG;base64,/9j/4AAQ", True),
+    (7, "data:image/gif;base64,R0lGODlhAQAB", True),
+    (8, "data:image/webp;base64,UklGRgAAAABXRUJQ", True),
+    (9, "data:image/avif;base64,AAAAHGZ0eXBhdmlm", True),
+    (10, "data:image/png;base64,@@@", False),
+    (11, "", False),
+    (12, None, False),
+]
+
 
 def spark_frame(spark, rows: list[tuple], schema: str):
     return spark.createDataFrame(rows, schema)

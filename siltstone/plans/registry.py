@@ -233,8 +233,8 @@ def fts_bm25(spark, sf_dir):
 def fts_and_match(spark, sf_dir):
     asked = _asked_terms(spark, sf_dir)
     need = asked.groupBy("qid").agg(F.count("*").alias("need"))
-    hits = _index(spark, sf_dir).join(F.broadcast(asked), "term").groupBy("qid", "id").agg(F.count("*").alias("n"))
-    return hits.join(F.broadcast(need), "qid").where("n = need").select("qid", "id")
+    hits = _index(spark, sf_dir).join(asked, "term").groupBy("qid", "id").agg(F.count("*").alias("n"))
+    return hits.join(need, "qid").where("n = need").select("qid", "id")
 
 
 @_query(_with(_FILES) + "SELECT path FROM files WHERE list_contains(" + _TOKENS.format("path") + ", 'src1') AND list_contains(" + _TOKENS.format("path") + ", 'de')")
@@ -586,3 +586,55 @@ def stream_ingest_events(spark, sf_dir):
     """The event table through the micro-batch ingest, keyed by event; then counts of what was stored."""
     stored = stream_ingest(spark, f"{sf_dir.rstrip('/')}/events.parquet", key="event_id")
     return stored.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
+
+
+@_query("SELECT uid, ok FROM (" + sql_values(cases.IMAGES) + ") e(uid, url, ok)")
+def image_urls(spark, sf_dir):
+    rows = spark_frame(spark, cases.IMAGES, "uid int, url string, ok boolean")
+    return rows.select("uid", text.valid_image_url(F.col("url")).alias("ok"))
+
+
+@_query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text || chr(10) || role ELSE text END AS content FROM conversations")
+def content_parts(spark, sf_dir):
+    part = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("text"))
+    parts = F.array(part("text", F.col("text")), part("image_url", F.lit(None).cast("string")), part("text", F.when(F.col("turn") % 2 == 0, F.col("role"))))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", text.content_text(parts).alias("content"))
+
+
+_WORDS = "list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')"
+
+
+@_query(
+    f"WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT doc_id, w, list_transform(w, lambda x: regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS n FROM d), p AS (SELECT *, list_position(n, 'that') AS pos FROM b), f AS (SELECT *, greatest(1, pos - 5) AS first FROM p WHERE pos > 0) "
+    "SELECT doc_id, CASE WHEN first > 1 THEN '... ' ELSE '' END || array_to_string(list_transform(list_slice(w, first, first + 19), lambda x, i: CASE WHEN n[first + i - 1] = 'that' THEN '<<' || x || '>>' ELSE x END), ' ') || CASE WHEN first + 20 <= len(w) THEN ' ...' ELSE '' END AS excerpt FROM f"
+)
+def fts_excerpt(spark, sf_dir):
+    shown = ranking.excerpt(F.col("text"), F.lit("that"))
+    return _table(spark, sf_dir, "documents").select("doc_id", shown.alias("excerpt")).where("excerpt is not null")
+
+
+_KNOWN_FULL = "known AS (SELECT path, CASE WHEN doc_id % 4 = 0 THEN mtime ELSE mtime + 1 END AS mtime, size, doc_id % 3 <> 0 AS fully_extracted FROM files WHERE doc_id % 2 = 0)"
+
+
+def _known_full(spark, sf_dir):
+    files = _files(spark, sf_dir).where("doc_id % 2 = 0")
+    late = F.when(F.col("doc_id") % 4 == 0, F.col("mtime")).otherwise(F.col("mtime") + 1)
+    return files.select("path", "text", late.alias("mtime"), "size", (F.col("doc_id") % 3 != 0).alias("fully_extracted"))
+
+
+@_query(_with(_FILES, _KNOWN_FULL) + "SELECT path, 0 AS page, CASE WHEN doc_id % 5 = 0 THEN filename ELSE left(text, 750) END AS text FROM files f WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.path = f.path AND fully_extracted AND k.size = f.size AND abs(k.mtime - f.mtime) < 0.001)")
+def upsert_lite(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    new = files.select("path", F.substring_index("path", "/", -1).alias("filename"), "mtime", "size", F.when(F.col("doc_id") % 5 != 0, F.col("text")).alias("preview"))
+    return store.lite_rows(new, _known_full(spark, sf_dir)).select("path", "page", "text")
+
+
+@_query(_with(_CHUNKS) + "SELECT path, page, text FROM chunks WHERE path IN (SELECT path FROM files WHERE doc_id % 2 = 0 AND doc_id % 3 = 0)")
+def promote_pending(spark, sf_dir):
+    return store.promote(_known_full(spark, sf_dir)).select("path", "page", "text")
+
+
+@_query("SELECT CASE WHEN quality = 1 THEN 'ok' WHEN toxic = 1 THEN 'error' ELSE 'sin_texto' END AS status, count(*) AS files, CAST(sum(quality) AS BIGINT) AS chunks FROM labels GROUP BY 1")
+def run_tally(spark, sf_dir):
+    status = F.when(F.col("quality") == 1, "ok").when(F.col("toxic") == 1, "error").otherwise("sin_texto")
+    return store.run_tally(_table(spark, sf_dir, "labels").select(status.alias("status"), F.col("quality").alias("n_chunks")))
