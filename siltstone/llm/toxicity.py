@@ -99,16 +99,16 @@ def learn(texts: Iterable[str | None], labels: Iterable[int], *, prior: float |
     """A lexicon from labelled texts: entries at least ``min_share`` of the toxic texts have, with a log ratio of
     document frequencies of ``min_weight`` or more. ``prior``: the share of toxic texts where the scores are used."""
     rows = [(fold(t).split(), int(y)) for t, y in zip(texts, labels, strict=True)]
-    toxic, clean = Counter(), Counter()
-    for words, y in rows:
-        (toxic if y else clean).update({e for w in set(words) for e in _entries(w)})
     n_toxic = sum(y for _, y in rows)
     n_clean = len(rows) - n_toxic
     out = Lexicon()
     if not n_toxic or not n_clean:
         return out
     least = max(3, math.ceil(min_share * n_toxic))
-    weighed = ((e, math.log((a + 0.5) / (n_toxic + 1) / (clean[e] + 0.5) * (n_clean + 1)), a) for e, a in toxic.items() if a >= least)
+    toxic = Counter(e for words, y in rows if y for e in {e for w in set(words) for e in _entries(w)})
+    toxic = {e: n for e, n in toxic.items() if n >= least}  # clean texts are only asked about these
+    clean = Counter(e for words, y in rows if not y for e in {e for w in set(words) for e in _entries(w) if e in toxic})
+    weighed = ((e, math.log((a + 0.5) / (n_toxic + 1) / (clean[e] + 0.5) * (n_clean + 1)), a) for e, a in toxic.items())
     heavy = sorted((x for x in weighed if x[1] >= min_weight), key=lambda x: (-x[1] * x[2], x[0]))[:entries]
     out.weights = {e: round(w, 4) for e, w, _ in heavy}
     found = {0: Counter(), 1: Counter()}
