@@ -11,7 +11,9 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterator
+import sys
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,13 @@ _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
+def _packed(ids: Iterable[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class PieceIds(dict):
     """Token ids (little-endian unsigned 32-bit) of runs without ASCII white space, at most ``limit`` runs.
 
@@ -41,6 +50,7 @@ class PieceIds(dict):
 
         super().__init__()
         self.tokenizer, self.limit, self.parts = Tokenizer.from_str(tokenizer_json), limit, {}
+        self.tokenize = self.tokenizer.model.tokenize
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes_as = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))}
         self.special = [t["content"].lower() for t in json.loads(tokenizer_json).get("added_tokens", [])]
@@ -49,18 +59,20 @@ class PieceIds(dict):
         self.plain = marked and all(self._split(w) == self._whole(w) for w in probe.split())
 
     def _whole(self, run: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _packed(self.tokenizer.encode(run, add_special_tokens=False).ids)
+
+    def _part(self, part: str) -> bytes:
+        if len(self.parts) >= self.limit:
+            self.parts.clear()
+        known = part if part.isascii() else part.translate(self.bytes_as)
+        ids = self.parts[part] = _packed(t.id for t in self.tokenize(known))
+        return ids
 
     def _split(self, run: str) -> bytes:
-        out, parts, tokenize = [], self.parts, self.tokenizer.model.tokenize
-        for part in _PARTS.findall(run.lower()):
-            ids = parts.get(part)
-            if ids is None:
-                if len(parts) >= self.limit:
-                    parts.clear()
-                ids = parts[part] = np.asarray([t.id for t in tokenize(part.translate(self.bytes_as))], dtype="<u4").tobytes()
-            out.append(ids)
-        return b"".join(out)
+        parts, low = self.parts, run.lower()
+        if run.isalpha():
+            return parts.get(low) or self._part(low)
+        return b"".join([parts.get(p) or self._part(p) for p in _PARTS.findall(low)])
 
     def __missing__(self, run: bytes) -> bytes:
         word = run.decode()
