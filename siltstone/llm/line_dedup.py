@@ -65,9 +65,18 @@ def _shingles(line: str) -> set[str]:
     return {line[i : i + _SHINGLE] for i in range(max(1, len(line) - _SHINGLE + 1))}
 
 
+def _shingle_sets(lines: list[str]) -> list[set]:
+    """The shingle set of each line; where all characters fit in a byte, a shingle is the integer of its 8 bytes."""
+    try:
+        raw = [t.encode("latin-1").ljust(_SHINGLE, b"\0") for t in lines]
+    except UnicodeEncodeError:
+        return [_shingles(t) for t in lines]
+    return [set(np.ndarray((len(t) - _SHINGLE + 1,), dtype="<u8", buffer=t, strides=(1,)).tolist()) for t in raw]
+
+
 def group_edges(lines: list[tuple[int, str]], similarity: float) -> list[tuple[int, int]]:
     """Edges that join whatever links among the lines. Only within the largest cluster are pairs left out."""
-    sets = [_shingles(t) for _, t in lines]
+    sets = _shingle_sets([t for _, t in lines])
     label = [-1] * len(lines)
     edges = []
 
@@ -84,6 +93,9 @@ def group_edges(lines: list[tuple[int, str]], similarity: float) -> list[tuple[i
             else:
                 label[:] = [new if x == old else x for x in label]
 
+    if len(lines) == 2:
+        link(0, 1)
+        return edges
     for i in range(len(lines)):
         if label[i] < 0:
             label[i] = i
@@ -135,7 +147,7 @@ def _signed(lines: DataFrame, remember: int) -> DataFrame:
     return lines.select("doc", "text_hash", "at", "h", "line").mapInArrow(run, "doc long, text_hash long, at int, h long, bands array<bigint>")
 
 
-def _shared(signed: DataFrame, crowd: int) -> DataFrame:
+def _shared(scratch: Scratch, signed: DataFrame, crowd: int) -> DataFrame:
     """``(grp, h)`` of lines that share a band with others: groups of at most about ``crowd`` lines in which every
     two lines of a band meet; equal groups are one. Larger bands are dealt into blocks, and each two blocks meet."""
 
@@ -174,7 +186,7 @@ def _shared(signed: DataFrame, crowd: int) -> DataFrame:
         yield _long_batch(**out)
 
     rows = signed.where("bands is not null").select(F.explode("bands").alias("key"), "h")
-    met = rows.repartition("key").sortWithinPartitions("key", "h").mapInArrow(run, "grp long, h long, band long")
+    met = scratch.keep(rows.repartition("key").sortWithinPartitions("key", "h").mapInArrow(run, "grp long, h long, band long"))
     few = met.where("band is null").select("grp", "h")
     many = met.where("band is not null").select("band", "h").distinct()
     blocks = many.groupBy("band").agg(F.ceil(F.count("*") * 2 / crowd).cast("int").alias("blocks")).withColumnRenamed("band", "of")
@@ -219,7 +231,7 @@ def duplicate_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     scratch = Scratch(docs.sparkSession, "lines")
     lines = _lines(docs, doc_id, text, min_chars)
     signed = scratch.keep(_signed(lines, remember))
-    groups = scratch.keep(_shared(signed, crowd))
+    groups = scratch.keep(_shared(scratch, signed, crowd))
     live = scratch.keep(groups.select(F.col("h").alias("live")).distinct())
     small = live.count() <= broadcast_rows
     pick = lambda rows: rows.join(F.broadcast(live) if small else live, F.col("h") == F.col("live"), "left_semi")
