@@ -10,18 +10,37 @@ from siltstone.functions.text import dot, file_tokens, matches_all, normalize
 from siltstone.schema import CONTEXT_CHARS
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, scope: Column | None = None) -> DataFrame:
-    """``qid, id, score, rank``: the k nearest by dot product of unit vectors, ties by id.
-
-    ``queries (qid, q)`` is the small side by contract (a request's variants) and is broadcast block by block by
-    the caller; each row of ``vectors (id, vector, ...)`` is scored where it lies, and only k rows a task move.
+def _met(queries: DataFrame, vectors: DataFrame, scope: Column | None, block: int | None) -> DataFrame:
+    """Each query with each row of ``vectors`` in its scope; with ``block``, that many queries at a time meet a
+    partition of ``vectors`` and nothing is broadcast, so that neither side has to fit in memory."""
+    on = scope if scope is not None else F.lit(True)
+    if block is None:
+        return vectors.join(F.broadcast(queries), on)
+    blocks = max(1, -(-queries.count() // block))
+    return vectors.join(queries.repartition(blocks).hint("shuffle_replicate_nl"), on)
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, scope: Column | None = None, per: str | None = None, block: int | None = None) -> DataFrame:
+    """``qid, id, score, rank``: the k nearest by dot product of unit vectors, ties by id; with ``per``, a column
+    of ``vectors``, also that column and the k nearest in each of its values.
+
+    ``queries (qid, q)`` is broadcast if it is small (a request's variants), else met in blocks of ``block``; each
+    row of ``vectors (id, vector, ...)`` is scored where it lies, and only k rows a task and query move.
     """
-    met = vectors.join(F.broadcast(queries), scope if scope is not None else F.lit(True))
-    scored = met.select("qid", "id", F.round(dot(F.col("q"), F.col("vector")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
+    extra = [per] if per else []
+    scored = _met(queries, vectors, scope, block).select("qid", *extra, "id", F.round(dot(F.col("q"), F.col("vector")), 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("qid", *extra).orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def rerank(queries: DataFrame, pool: DataFrame, block: int | None = None) -> DataFrame:
+    """``qid, pos, id, score, rank`` of every row of ``pool (pos, id, vector)`` for each of ``queries (qid, q)``: by
+    similarity, rows without a vector behind in the pool's order."""
+    scored = _met(queries, pool, None, block).select("qid", "pos", "id", F.round(dot(F.col("q"), F.col("vector")), 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc_nulls_last(), "pos"))
+    return scored.withColumn("rank", rank)
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """``term, id, tf`` of ``chunks (id, text)``, the inverted index."""
     terms = F.array_remove(F.split(normalize(F.col("text")), r"[^\p{L}\p{N}]+"), "")

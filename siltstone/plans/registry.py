@@ -197,6 +197,39 @@ def rerank_pool_left(spark, sf_dir):
     return out.select("pos", "id", "score", F.row_number().over(Window.orderBy(F.col("score").desc_nulls_last(), "pos")).alias("rank"))
 
 
+#: Of the whole table every hundredth id is a query, against all rows.
+_SCORED_ALL = "s AS (SELECT q.vec_id AS qid, e.vec_id AS id, e.label, q.label AS q_label, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)"
+_BLOCK_QUERIES = 256
+
+
+def _embedded_all(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
+    return asked, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+@_query(_with(_SCORED_ALL) + _TOP.format(""))
+def vector_topk_all(spark, sf_dir):
+    return ranking.top_k(*_embedded_all(spark, sf_dir), 20, block=_BLOCK_QUERIES)
+
+
+@_query(_with(_SCORED_ALL) + _TOP.format("WHERE label = q_label"))
+def vector_topk_scoped_all(spark, sf_dir):
+    return ranking.top_k(*_embedded_all(spark, sf_dir), 20, F.col("label") == F.col("q_label"), block=_BLOCK_QUERIES)
+
+
+@_query(_with(_SCORED_ALL) + "SELECT qid, label, id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 3")
+def topk_per_label_all(spark, sf_dir):
+    return ranking.top_k(*_embedded_all(spark, sf_dir), 3, per="label", block=_BLOCK_QUERIES)
+
+
+@_query(_with(_SCORED_ALL) + "SELECT qid, id + 1 AS pos, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM s")
+def rerank_pool_all(spark, sf_dir):
+    """The whole table as each query's pool."""
+    asked, vectors = _embedded_all(spark, sf_dir)
+    return ranking.rerank(asked, vectors.withColumn("pos", F.col("id") + 1), block=_BLOCK_QUERIES)
+
+
 # --- full text -------------------------------------------------------------------------------------------------
 
 _TERMS = "string_split_regex(" + _NORM.format("{}") + ", '[^\\p{{L}}\\p{{N}}]+')"
