@@ -264,12 +264,47 @@ def fts_bm25(spark, sf_dir):
 
 @_query(_with(_INDEX) + "SELECT qid, id FROM asked JOIN post USING (term) GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM asked a WHERE a.qid = asked.qid)")
 def fts_and_match(spark, sf_dir):
-    asked = _asked_terms(spark, sf_dir)
+    return _and_match(_index(spark, sf_dir), _asked_terms(spark, sf_dir))
+
+
+def _and_match(index, asked):
     need = asked.groupBy("qid").agg(F.count("*").alias("need"))
-    hits = _index(spark, sf_dir).join(asked, "term").groupBy("qid", "id").agg(F.count("*").alias("n"))
+    hits = index.join(asked, "term").groupBy("qid", "id").agg(F.count("*").alias("n"))
     return hits.join(need, "qid").where("n = need").select("qid", "id")
 
 
+_INDEX_ALL = (
+    "post AS (SELECT term, doc_id AS id, count(*) AS tf FROM (SELECT doc_id, unnest(" + _TERMS.format("text") + ") AS term FROM documents) WHERE term <> '' GROUP BY 1, 2), "
+    "asked AS (SELECT DISTINCT item_id AS qid, unnest(list_filter(" + _TERMS.format("text") + ", lambda t: length(t) >= 2)) AS term FROM benchmark)"
+)
+
+
+def _asked_terms_all(spark, sf_dir):
+    terms = F.filter(F.split(text.normalize(F.col("text")), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) >= 2)
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(terms).alias("term")).distinct()
+
+
+@_query(
+    _with(
+        _INDEX_ALL,
+        "len AS (SELECT id, sum(tf) AS dl FROM post GROUP BY 1)",
+        "corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len)",
+        "df AS (SELECT term, count(*) AS df FROM post GROUP BY 1)",
+        "scored AS (SELECT qid, id, round(sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM asked JOIN post USING (term) JOIN df USING (term) JOIN len USING (id), corpus GROUP BY 1, 2)",
+    )
+    + "SELECT * FROM (SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM scored) WHERE rank <= 5"
+)
+def fts_bm25_all(spark, sf_dir):
+    """All terms of every item."""
+    return ranking.bm25(_index(spark, sf_dir), _asked_terms_all(spark, sf_dir), 5, all_terms=False)
+
+
+@_query(_with(_INDEX_ALL) + "SELECT qid, id FROM asked JOIN post USING (term) GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM asked a WHERE a.qid = asked.qid)")
+def fts_and_match_all(spark, sf_dir):
+    """Documents that hold all terms of an item."""
+    return _and_match(_index(spark, sf_dir), _asked_terms_all(spark, sf_dir))
+
+
 @_query(_with(_FILES) + "SELECT path FROM files WHERE list_contains(" + _TOKENS.format("path") + ", 'src1') AND list_contains(" + _TOKENS.format("path") + ", 'de')")
 def token_match(spark, sf_dir):
     return _files(spark, sf_dir).where(text.matches_all(text.file_tokens(F.col("path")), strings(["src1", "de"]))).select("path")

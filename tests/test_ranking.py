@@ -1,6 +1,8 @@
 """Retrieval operators against brute force."""
 
+import math
 import random
+from collections import Counter
 
 from siltstone.operators import ranking
 from siltstone.plans import registry
@@ -36,3 +38,24 @@ def test_rerank_keeps_rows_without_a_vector_behind(spark):
     queries = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "qid long, q array<float>")
     got = {(r.qid, r.rank): r.id for r in ranking.rerank(queries, pool, block=1).collect()}
     assert [got[0, n] for n in range(1, 5)] == [13, 11, 10, 12] and [got[1, n] for n in range(1, 5)] == [11, 13, 10, 12]
+
+
+def test_full_text_queries_ask_all_terms(spark, tmp_path):
+    draw = random.Random(5)
+    some = ["ab", "cd", "uno", "dos", "tres", "cuatro", "cinco", "seis", "siete", "x"]
+    items = {i: [*draw.sample(some, 8), "uno"] for i in range(4)}
+    docs = {i: draw.choices(some, k=draw.randint(1, 12)) for i in range(60)} | {60: items[0] + ["x"], 61: items[1], 62: items[0][:3]}
+    spark.createDataFrame([(i, " ".join(w).title()) for i, w in docs.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, ", ".join(w)) for i, w in items.items()], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    asked = {q: {t for t in w if len(t) >= 2} for q, w in items.items()}
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    assert {(r.qid, r.id) for r in run("fts_and_match_all")} == {(q, i) for q, t in asked.items() for i, w in docs.items() if t <= set(w)}
+
+    df, mean = Counter(t for w in docs.values() for t in set(w)), sum(map(len, docs.values())) / len(docs)
+    idf = {t: max(math.log((len(docs) - n + 0.5) / (n + 0.5)), 0) or 1e-6 for t, n in df.items()}
+    part = lambda t, w: idf[t] * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean))
+    want = set()
+    for q, terms in asked.items():
+        found = sorted((-round(sum(part(t, w) for t in terms & set(w)), 6), i) for i, w in docs.items() if terms & set(w))
+        want |= {(q, i, -s, n) for n, (s, i) in enumerate(found[:5], 1)}
+    assert {(r.qid, r.id, r.score, r.rank) for r in run("fts_bm25_all")} == want
