@@ -45,6 +45,10 @@ def chatml(turns: list[Turn], opening: str | None = None) -> str:
     return done if opening is None else f"{done}{_BEGIN}{_escape_role(opening)}\n"
 
 
+#: What it writes for a turn depends on nothing but the turn.
+chatml.turnwise = True
+
+
 class RewritesHistory(ValueError):
     """A prefix's rendering is not the beginning of the next one's."""
 
@@ -52,9 +56,19 @@ class RewritesHistory(ValueError):
 def render_spans(turns: list[Turn], template: Template = chatml, learn_roles: tuple[str, ...] = ("assistant",), context: int = 64) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]]]:
     """The formatted conversation, each turn's span in it, and the spans of the texts to learn.
 
-    Prefixes start anew every ``context`` turns, with what the template writes for no turns left out, so that the
-    work grows with the conversation and not with its square; shorter conversations are rendered as one.
+    All prefixes are rendered from the first turn. For a template that says it is ``turnwise`` they start anew
+    every ``context`` turns, so that the work grows with the conversation and not with its square; a text that
+    then differs from the rendering of the whole conversation is not used, and all prefixes are rendered.
     """
+    if getattr(template, "turnwise", False) and context < len(turns):
+        windows = _spans(turns, template, learn_roles, context)
+        if windows[0] == template(turns, None):
+            return windows
+    return _spans(turns, template, learn_roles, max(1, len(turns)))
+
+
+def _spans(turns: list[Turn], template: Template, learn_roles: tuple[str, ...], context: int) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]]]:
+    """As ``render_spans``, with prefixes that start anew every ``context`` turns."""
     pieces: list[str] = []
     spans: list[tuple[int, int]] = []
     loss: list[tuple[int, int]] = []

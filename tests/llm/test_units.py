@@ -207,6 +207,26 @@ def test_a_template_that_rewrites_history_is_detected():
         chat_format.render_spans([("user", "hi"), ("user", "there")], last_only)
 
 
+def test_long_conversations_are_rendered_from_the_first_turn():
+    turns = [("assistant" if i % 2 else "user", f"t{i}") for i in range(150)]
+
+    def numbered(turns, opening=None):
+        assert not turns or turns[0][0] == "user"
+        return "HEAD " + "".join(f"[{i} {r}:{t}]" for i, (r, t) in enumerate(turns)) + (f"[{len(turns)} {opening}:" if opening else "")
+
+    odd = [("user", "first"), *[("assistant" if i % 2 else "user", f"t{i}") for i in range(150)]]  # turn 64 is the assistant's
+    for some in (turns, odd):
+        formatted, spans, loss = chat_format.render_spans(some, numbered)
+        assert formatted == numbered(some) and formatted == "HEAD " + "".join(formatted[a:b] for a, b in spans)
+        assert [formatted[a:b] for a, b in loss] == [t for r, t in some if r == "assistant"]
+
+    far = lambda turns, opening=None: "".join(f"[{r}:{'' if len(turns) - i > 64 else t}]" for i, (r, t) in enumerate(turns)) + (f"[{opening}:" if opening else "")
+    with pytest.raises(chat_format.RewritesHistory):
+        chat_format.render_spans(turns, far)
+    numbered.turnwise = True  # which is not true
+    assert chat_format.render_spans(turns, numbered)[0] == numbered(turns)
+
+
 def test_bands_find_similar_lines_and_edges_are_exact():
     draw = random.Random(7)
     make = lambda n: " ".join("".join(draw.choices("abcdefgh", k=draw.randint(2, 9))) for _ in range(n))
