@@ -2,7 +2,8 @@
 
 A seed hashes the tokens at the fixed positions of a mask and ignores those between. The two masks are such that
 13 aligned tokens with any two of them replaced still share a seed. A hit fixes an alignment of document and
-item, along which the whole item is compared; the best 13 tokens decide.
+item, along which the whole item is compared; the best 13 tokens decide. Items of 9 to 12 tokens are also looked
+for by their first three runs of three tokens, of which any two replaced tokens leave one.
 """
 
 from __future__ import annotations
@@ -31,6 +32,12 @@ def _seeds(tokens: str) -> Column:
     return F.flatten(each)
 
 
+def _runs(tokens: str) -> Column:
+    """Hash of the three tokens at each position."""
+    each = lambda x, i: F.xxhash64(F.lit(-1), x, F.get(tokens, i + 1), F.get(tokens, i + 2))
+    return F.transform(F.slice(tokens, F.lit(1), F.greatest(F.lit(0), F.size(tokens) - 2)), each)
+
+
 def _bounded(df: DataFrame, bound: int) -> bool:
     return df.limit(bound + 1).count() <= bound
 
@@ -61,6 +68,13 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     placed = placed.select("doc", "text_hash", F.posexplode_outer("seeds").alias("doc_at", "doc_seed"))
     hits = placed.join(F.broadcast(seeds) if few else seeds, F.col("doc_seed") == F.col("seed"))
     hits = hits.select("doc", "text_hash", "item", (F.expr(f"doc_at div {len(MASKS)}") - F.col("item_at")).cast("int").alias("shift"))
+    brief = items.where(F.size("own").between(_SPAN, _WINDOW - 1))
+    if not brief.isEmpty():
+        parts = brief.select("item", F.posexplode_outer(_runs("own")).alias("item_at", "seed")).where("item_at in (0, 3, 6)")
+        placed = rows.select("doc", "text_hash", _tokens(F.col("body")).alias("tokens")).select("doc", "text_hash", _runs("tokens").alias("runs"))
+        placed = placed.select("doc", "text_hash", F.posexplode_outer("runs").alias("doc_at", "doc_seed"))
+        found = placed.join(F.broadcast(parts) if few else parts, F.col("doc_seed") == F.col("seed"))  # at most half as many again as their seeds
+        hits = hits.unionAll(found.select("doc", "text_hash", "item", (F.col("doc_at") - F.col("item_at")).cast("int").alias("shift")))
     aligned = scratch.keep(hits.distinct()).withColumnsRenamed({"doc": "of", "text_hash": "of_hash", "item": "of_item"})
     here = F.broadcast(aligned) if _bounded(aligned, broadcast_rows) else aligned
     met = rows.join(here, F.col("doc").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash"))).select("doc", "of_item", "shift", _tokens(F.col("body")).alias("tokens"))

@@ -198,6 +198,20 @@ def test_decontamination(spark, docs, none):
     assert find_overlaps(none, bench).count() == find_overlaps(frame, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_items_under_the_window(spark):
+    from itertools import combinations
+
+    rows, bench = [], []
+    for n in (9, 10, 11, 12):
+        item = VOCABULARY[20 * n : 20 * n + n]
+        bench.append((n, " ".join(item)))
+        for gone in combinations(range(n), 1 if n == 9 else 2):
+            rows.append((100 * len(rows) + n, " ".join(["before", *("changed" if i in gone else w for i, w in enumerate(item)), "after"])))
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    for bound in (500_000, 0):
+        assert {(r.doc_id, r.item_id) for r in find_overlaps(docs, items, broadcast_rows=bound).collect()} == {(d, d % 100) for d, _ in rows}
+
+
 def test_line_dedup(spark, docs, none):
     line = " ".join(VOCABULARY[:60])
     near = line.replace(VOCABULARY[30], VOCABULARY[30] + "z")
