@@ -441,6 +441,14 @@ def context_window(spark, sf_dir):
     return ranking.context(hits, chunks).join(hits, "hid").select("path", "page", "context")
 
 
+@_query(_with(_CHUNKS) + f"SELECT h.path, h.page, string_agg({_BLOCK}, chr(10)||chr(10) ORDER BY c.page) AS context FROM chunks h JOIN chunks c ON h.path = c.path AND c.page BETWEEN h.page - 1 AND h.page + 1 WHERE trim(c.snippet) <> '' GROUP BY 1, 2")
+def context_window_all(spark, sf_dir):
+    """Each chunk of the table is a hit."""
+    chunks = _chunks(spark, sf_dir)
+    hits = chunks.select(F.col("point_id").alias("hid"), "path", "page")
+    return ranking.context(hits, chunks).join(hits, "hid").select("path", "page", "context")
+
+
 @_query(_with(_CHUNKS) + "SELECT page, snippet AS text FROM chunks WHERE path = (SELECT path FROM files ORDER BY size DESC, path LIMIT 1) AND page = 2")
 def read_page(spark, sf_dir):
     path = _files(spark, sf_dir).orderBy(F.desc("size"), "path").select("path").first()[0]

@@ -59,3 +59,15 @@ def test_full_text_queries_ask_all_terms(spark, tmp_path):
         found = sorted((-round(sum(part(t, w) for t in terms & set(w)), 6), i) for i, w in docs.items() if terms & set(w))
         want |= {(q, i, -s, n) for n, (s, i) in enumerate(found[:5], 1)}
     assert {(r.qid, r.id, r.score, r.rank) for r in run("fts_bm25_all")} == want
+
+
+def test_each_page_is_a_hit(spark, tmp_path):
+    words = [f"w{i}" for i in range(1201)]
+    docs = [(1, " ".join(words)), (2, "one page")]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.path, r.page): r.context for r in registry.queries()["context_window_all"](spark, str(tmp_path)).collect()}
+    marks = lambda p: [line for line in got[p].split("\n") if line.startswith("---")]
+    long, short = "/s/en/doc_1.txt", "/s/en/doc_2.txt"
+    assert set(got) == {(long, 1), (long, 2), (long, 3), (short, 1)}
+    assert marks((long, 1)) == ["--- Pag. 1 [PAG ACTUAL] ---", "--- Pag. 2 ---"] and marks((long, 3)) == ["--- Pag. 2 ---", "--- Pag. 3 [PAG ACTUAL] ---"]
+    assert marks((long, 2))[1] == "--- Pag. 2 [PAG ACTUAL] ---" and got[short, 1] == "--- Pag. 1 [PAG ACTUAL] ---\none page"
