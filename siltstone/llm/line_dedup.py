@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,15 +125,17 @@ def _lines(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame
     return rows.select("doc", "text_hash", "at", _normal(F.col("line")).alias("line")).where(F.length("line") >= min_chars).withColumn("h", F.xxhash64("line"))
 
 
-def _signed(lines: DataFrame, remember: int) -> DataFrame:
-    """Each line's place and hash; bands with the first of equal lines that a task meets, as far as it remembers."""
+def _signed(lines: DataFrame, min_chars: int, remember: int) -> DataFrame:
+    """Each line's place and hash; bands with the first of equal lines that a task meets, as far as it remembers.
+    Lines of under ``min_chars`` characters have no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
             h, texts = batch.column(3).to_numpy(), batch.column(4)
-            _, first = np.unique(h, return_index=True)
-            new = [int(i) for i in np.sort(first) if int(h[i]) not in met]
+            long = np.flatnonzero(pc.utf8_length(texts).to_numpy(zero_copy_only=False) >= min_chars)
+            _, first = np.unique(h[long], return_index=True)
+            new = [int(i) for i in long[np.sort(first)] if int(h[i]) not in met]
             if len(met) > remember:
                 met.clear()
             met.update(h[new].tolist())
@@ -215,11 +218,11 @@ def _verified(groups: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     return rows.repartition("grp").sortWithinPartitions("grp", "h").mapInArrow(run, "a long, b long")
 
 
-def duplicate_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, min_chars: int = 20, crowd: int = 4096, broadcast_rows: int = 1_000_000, remember: int = 500_000) -> DataFrame:
+def duplicate_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, min_chars: int = 20, exact_chars: int | None = None, crowd: int = 4096, broadcast_rows: int = 1_000_000, remember: int = 500_000) -> DataFrame:
     """``doc, text_hash, removed``: for each document that loses lines their places (from 0), in order.
 
-    Lines of under ``min_chars`` characters (trimmed) are no candidates and stay; so do null, empty and blank
-    texts. Two lines link at a Jaccard similarity of ``similarity`` or more of their sets of 8-character shingles;
+    Lines of under ``min_chars`` characters (trimmed) link to no similar line; those of ``exact_chars`` or more
+    (none by default) link to equal ones, shorter ones stay, and so do null, empty and blank texts. Two lines link at a Jaccard similarity of ``similarity`` or more of their sets of 8-character shingles;
     bands find pairs at 0.8 with a probability of 99.1 %, equal lines always. Of a component the line first by
     (doc_id, hash of the text, place) stays; nulls come first. Rows that are equal in id and text count as one and
     are all treated alike. Other columns are ignored. An empty table gives no rows.
@@ -229,8 +232,8 @@ def duplicate_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     at most ``broadcast_rows`` of them and by a shuffled join beyond.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = _lines(docs, doc_id, text, min_chars)
-    signed = scratch.keep(_signed(lines, remember))
+    lines = _lines(docs, doc_id, text, min_chars if exact_chars is None else max(1, min(exact_chars, min_chars)))
+    signed = scratch.keep(_signed(lines, min_chars, remember))
     groups = scratch.keep(_shared(scratch, signed, crowd))
     live = scratch.keep(groups.select(F.col("h").alias("live")).distinct())
     small = live.count() <= broadcast_rows

@@ -84,7 +84,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line counts and the hash of what is left, one row for each document."""
-    out = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), exact_chars=1)
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
 
 
