@@ -4,6 +4,9 @@ Lines are lower-cased and trimmed. Each distinct line gets a one-permutation Min
 shingles, cut into bands; lines that share a band are compared by the exact Jaccard similarity of their shingle
 sets, linked lines are joined across the cluster, and of each component one line stays, the first by document
 and place.
+
+A line is known by 128 bits of its hash, ``h`` and ``g``. Candidates are gathered by ``h`` alone; what is compared
+and joined goes by both.
 """
 
 from __future__ import annotations
@@ -12,8 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import Scratch
@@ -23,6 +26,12 @@ _U = np.uint64
 _SHINGLE = 8
 BANDS, ROWS = 12, 5
 _SLOTS = BANDS * ROWS
+#: Lines of fewer shingles have their smallest shingle hashes as keys, of which two similar ones share one.
+_FEW = 24
+_TRIM = " \t\x0b\x0c\r"
+#: Counters of shingles by which the keys of crowded lines are chosen.
+_CELLS = 1 << 20
+_EMPTY = 0xFFFFFFFF
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -33,233 +42,493 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(32))
 
 
-def band_keys(text: bytes, ends: np.ndarray) -> np.ndarray:
-    """Band keys, one row for each line; lines lie end to end in ``text`` and have 8 characters or more."""
-    raw = np.frombuffer(text, dtype=np.uint8)
-    if len(raw) and raw.max() > 127:
-        lead = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
-        ends = lead[ends]
-        code = np.frombuffer(text.decode().encode("utf-32-le"), dtype="<u4")
-        raw = (code ^ (code >> 8) ^ (code >> 16)).astype(np.uint8)
-    padded = np.concatenate((raw, np.zeros(_SHINGLE, np.uint8)))
-    windows = np.ndarray((len(raw),), dtype="<u8", buffer=padded, strides=(1,))
-    size = np.diff(ends, prepend=0)
-    line = np.repeat(np.arange(len(ends)), size)
-    inside = np.arange(len(raw)) <= np.repeat(ends - _SHINGLE, size)
-    hashed, line = _mix(windows[inside]), line[inside]
-    slot = ((hashed >> _U(32)) * _U(_SLOTS)) >> _U(32)
-    sketch = np.full(len(ends) * _SLOTS, 0xFFFFFFFF, dtype=np.uint32)
-    np.minimum.at(sketch, line * _SLOTS + slot.astype(np.int64), hashed.astype(np.uint32))
-    sketch = sketch.reshape(-1, _SLOTS)
+def _windows(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingle at each character of the lines end to end, the lines' ends, and where a shingle leaves its line.
+
+    A shingle is the integer of its 8 characters where they fit in a byte each; others enter as 64 scrambled bits.
+    """
+    text, ends = "".join(lines), np.cumsum([len(t) for t in lines], dtype=np.int64)
+    over = (ends[:, None] - np.arange(1, _SHINGLE)).ravel()
+    try:
+        raw = np.frombuffer(text.encode("latin-1") + bytes(_SHINGLE), dtype=np.uint8)
+        return np.ndarray((len(text),), dtype="<u8", buffer=raw, strides=(1,)), ends, over
+    except UnicodeEncodeError:
+        code = np.frombuffer((text + "\0" * _SHINGLE).encode("utf-32-le"), dtype="<u4").astype(_U)
+        wide = code > 255
+        code[wide] = _mix(code[wide])
+        out = code[: len(text)].copy()
+        for k in range(1, _SHINGLE):
+            out ^= (code[k : k + len(text)] << _U(8 * k)) | (code[k : k + len(text)] >> _U(64 - 8 * k))
+        return out, ends, over
+
+
+def _least_common(size: np.ndarray, similarity: float) -> np.ndarray:
+    """Shingles that a set of this size shares at least with a similar one."""
+    return np.ceil(similarity * size - 1e-9).astype(np.int64)
+
+
+def band_keys(lines: list[str]) -> np.ndarray:
+    """Band keys, one row for each line; lines have 8 characters or more."""
+    windows, ends, over = _windows(lines)
+    with np.errstate(over="ignore"):
+        hashed = windows * _U(0x9E3779B97F4A7C15)
+        hashed ^= hashed >> _U(32)
+        hashed *= _U(0xD6E8FEB86659FD93)
+    high = hashed >> _U(32)
+    value = (hashed ^ high).astype(np.uint32)
+    high *= _U(_SLOTS)
+    high >>= _U(32)
+    place = np.repeat(np.arange(len(lines), dtype=np.int64) * _SLOTS, np.diff(ends, prepend=0))
+    place += high.view(np.int64)
+    place[over] = len(lines) * _SLOTS
+    sketch = np.full(len(lines) * _SLOTS + 1, _EMPTY, dtype=np.uint32)
+    np.minimum.at(sketch, place, value)
+    sketch = sketch[:-1].reshape(-1, _SLOTS)
     # An empty slot takes the next filled one's value, marked with how far away it is.
-    at = np.where(sketch != 0xFFFFFFFF, np.arange(_SLOTS), 4 * _SLOTS)
+    at = np.where(sketch != _EMPTY, np.arange(_SLOTS), 4 * _SLOTS)
     filled = np.minimum.accumulate(np.hstack((at, at + _SLOTS))[:, ::-1], axis=1)[:, ::-1][:, :_SLOTS]
     away = (filled - np.arange(_SLOTS)).astype(_U)
     values = np.take_along_axis(sketch, filled % _SLOTS, axis=1).astype(_U) + (away << _U(32))
-    keys = np.broadcast_to(np.arange(BANDS, dtype=_U), (len(ends), BANDS)).copy()
+    keys = np.broadcast_to(np.arange(BANDS, dtype=_U), (len(lines), BANDS)).copy()
     for r in range(ROWS):
-        keys = _mix(keys * _U(31) + values[:, r::ROWS])
+        with np.errstate(over="ignore"):
+            keys = _mix(keys * _U(31) + values[:, r::ROWS])
     return keys.view(np.int64)
 
 
-def _shingles(line: str) -> set[str]:
-    return {line[i : i + _SHINGLE] for i in range(max(1, len(line) - _SHINGLE + 1))}
+def prefix_keys(lines: list[str], similarity: float, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys end to end, and each line's number of them: the first of a line's shingle set in an order that is the
+    same for all lines, as many as leave out one less than what similar sets share. Two similar lines share a key,
+    whatever the order; by ``counts`` of their cells, rare shingles come first."""
+    windows, ends, over = _windows(lines)
+    inside = np.ones(len(windows), dtype=bool)
+    inside[over] = False
+    owner = np.repeat(np.arange(len(lines)), np.diff(ends, prepend=0))[inside]
+    hashed = _mix(windows[inside] + _U(1))
+    common = np.zeros(len(hashed), np.int64) if counts is None else counts[(hashed >> _U(44)).astype(np.int64)]
+    order = np.lexsort((hashed, common, owner))
+    owner, hashed = owner[order], hashed[order]
+    first = np.ones(len(owner), dtype=bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (hashed[1:] != hashed[:-1])
+    owner, hashed = owner[first], hashed[first]
+    size = np.bincount(owner, minlength=len(lines))
+    take = size - _least_common(size, similarity) + 1
+    rank = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    return hashed[rank < take[owner]].view(np.int64), np.minimum(take, size)
+
+
+def cell_counts(lines: list[str]) -> np.ndarray:
+    windows, _, over = _windows(lines)
+    inside = np.ones(len(windows), dtype=bool)
+    inside[over] = False
+    return np.bincount((_mix(windows[inside] + _U(1)) >> _U(44)).astype(np.int64), minlength=_CELLS)
 
 
 def _shingle_sets(lines: list[str]) -> list[set]:
-    """The shingle set of each line; where all characters fit in a byte, a shingle is the integer of its 8 bytes."""
-    try:
-        raw = [t.encode("latin-1").ljust(_SHINGLE, b"\0") for t in lines]
-    except UnicodeEncodeError:
-        return [_shingles(t) for t in lines]
-    return [set(np.ndarray((len(t) - _SHINGLE + 1,), dtype="<u8", buffer=t, strides=(1,)).tolist()) for t in raw]
-
-
-def group_edges(lines: list[tuple[int, str]], similarity: float) -> list[tuple[int, int]]:
-    """Edges that join whatever links among the lines. Only within the largest cluster are pairs left out."""
-    sets = _shingle_sets([t for _, t in lines])
-    label = [-1] * len(lines)
-    edges = []
-
-    def link(i: int, j: int) -> None:
-        small, large = sorted((len(sets[i]), len(sets[j])))
-        if small < similarity * large or label[i] == label[j] >= 0:
-            return
-        common = len(sets[i] & sets[j])
-        if common >= similarity * (small + large - common):
-            edges.append((lines[i][0], lines[j][0]))
-            old, new = label[j], label[i]
-            if old < 0:
-                label[j] = new
-            else:
-                label[:] = [new if x == old else x for x in label]
-
-    if len(lines) == 2:
-        link(0, 1)
+    windows, ends, _ = _windows(lines)
+    return [set(windows[e - len(t) : e - _SHINGLE + 1].tolist()) for t, e in zip(lines, ends.tolist(), strict=True)]
+
+
+def _similar(a: int, b: int, common: int, similarity: float) -> bool:
+    return common >= similarity * (a + b - common) - 1e-9
+
+
+class _Group:
+    """The shingle sets of a group's lines, rare shingles first, and an index of the first ones of each line, by
+    which the lines that can be similar to a given one are found."""
+
+    def __init__(self, lines: list[str], similarity: float):
+        windows, ends, over = _windows(lines)
+        inside = np.ones(len(windows), dtype=bool)
+        inside[over] = False
+        owner = np.repeat(np.arange(len(lines)), np.diff(ends, prepend=0))[inside]
+        _, number = np.unique(windows[inside], return_inverse=True)
+        often = np.bincount(number)
+        self.kinds = len(often)
+        rank = np.empty(self.kinds, dtype=np.int64)
+        rank[np.argsort(often, kind="stable")] = np.arange(self.kinds)
+        code = np.unique(owner * self.kinds + rank[number])
+        self.flat, owner = code % self.kinds, code // self.kinds
+        self.size = np.bincount(owner, minlength=len(lines))
+        self.begin = np.cumsum(self.size) - self.size
+        self.first = self.size - _least_common(self.size, similarity) + 1
+        early = (np.arange(len(owner)) - self.begin[owner]) < self.first[owner]
+        kind, who = self.flat[early], owner[early]
+        self.having = who[np.argsort(kind, kind="stable")]
+        self.at = np.concatenate(([0], np.cumsum(np.bincount(kind, minlength=self.kinds))))
+        self.similarity = similarity
+
+    def near(self, i: int, eligible: np.ndarray) -> np.ndarray:
+        """Lines among the eligible that are similar to line ``i``."""
+        early = self.flat[self.begin[i] : self.begin[i] + self.first[i]]
+        early = early[self.at[early + 1] - self.at[early] > 1]
+        found = np.zeros(len(self.size), dtype=bool)
+        for a, b in zip(self.at[early].tolist(), self.at[early + 1].tolist(), strict=True):
+            found[self.having[a:b]] = True
+        size = self.size
+        rows = np.flatnonzero(found & eligible & (size >= self.similarity * size[i] - 1e-9) & (self.similarity * size <= size[i] + 1e-9))
+        if not len(rows):
+            return rows
+        own = np.zeros(self.kinds, dtype=bool)
+        own[self.flat[self.begin[i] : self.begin[i] + size[i]]] = True
+        length = size[rows]
+        start = np.cumsum(length) - length
+        places = np.repeat(self.begin[rows] - start, length) + np.arange(int(length.sum()))
+        common = np.add.reduceat(own[self.flat[places]].astype(np.int64), start)
+        return rows[_similar_rows(size[i], length, common, self.similarity)]
+
+
+def _similar_rows(a: int, b: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    return common >= similarity * (a + b - common) - 1e-9
+
+
+def group_edges(lines: list[str], similarity: float) -> list[tuple[int, int]]:
+    """Edges (by place) that join whatever links among the lines: each line that nothing has reached yet is
+    compared with all others, and then each line outside of the largest cluster with those of other clusters."""
+    n = len(lines)
+    if n <= 6:
+        sets, edges, label = _shingle_sets(lines), [], list(range(n))
+        for i in range(n):
+            for j in range(i + 1, n):
+                if label[i] != label[j] and _similar(len(sets[i]), len(sets[j]), len(sets[i] & sets[j]), similarity):
+                    edges.append((i, j))
+                    label = [label[i] if x == label[j] else x for x in label]
         return edges
-    for i in range(len(lines)):
-        if label[i] < 0:
-            label[i] = i
-            for j in range(len(lines)):
-                if j != i:
-                    link(i, j)
-    largest = max(set(label), key=label.count)
-    for i in [i for i in range(len(lines)) if label[i] != largest]:
-        for j in range(len(lines)):
-            if label[i] != label[j]:
-                link(i, j)
+    group, edges, label = _Group(lines, similarity), [], np.arange(n)
+    reached, asked = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+
+    def compare(i: int) -> None:
+        near = group.near(i, label != label[i])
+        asked[i] = True
+        if len(near):
+            edges.extend((i, int(j)) for j in near)
+            reached[near] = True
+            label[np.isin(label, label[near])] = label[i]
+
+    for i in range(n):
+        if not reached[i]:
+            compare(i)
+    largest = np.bincount(label).argmax()
+    for i in np.flatnonzero((label != largest) & ~asked).tolist():
+        compare(i)
     return edges
 
 
-def _long_batch(**columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns.values()], names=list(columns))
-
+def _arrow(kinds: dict[str, pa.DataType], columns: dict[str, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[k], kind) for k, kind in kinds.items()], names=list(kinds))
 
-def _normal(line: Column) -> Column:
-    return F.lower(F.btrim(line, F.lit(" \t\x0b\x0c\r")))
 
-
-def _lines(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
+def _bodies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(body).alias("text_hash"), F.posexplode_outer(F.split(body, "\n")).alias("at", "line"))
-    return rows.select("doc", "text_hash", "at", _normal(F.col("line")).alias("line")).where(F.length("line") >= min_chars).withColumn("h", F.xxhash64("line"))
-
-
-def _signed(lines: DataFrame, min_chars: int, remember: int) -> DataFrame:
-    """Each line's place and hash; bands with the first of equal lines that a task meets, as far as it remembers.
-    Lines of under ``min_chars`` characters have no bands."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(body).alias("text_hash"), body.alias("body"))
+
+
+def _lines_of(body: str) -> list[str]:
+    return [x.strip(_TRIM) for x in body.lower().split("\n")]
+
+
+def _signed(bodies: DataFrame, min_chars: int, similarity: float, remember: int) -> DataFrame:
+    """Each line's place and hashes; its size and keys with the first of equal lines that a task meets, as far as
+    it remembers. Lines of under 8 characters have no keys: to be similar they have to be equal."""
+
+    def keyed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        chars = np.array([len(t) for t in lines])
+        long = np.flatnonzero(chars >= _SHINGLE + _FEW - 1)
+        short = np.flatnonzero((chars >= _SHINGLE) & (chars < _SHINGLE + _FEW - 1))
+        per = np.zeros(len(lines), np.int64)
+        per[long] = BANDS
+        values, number = prefix_keys([lines[i] for i in short], similarity) if len(short) else (np.zeros(0, np.int64), per[:0])
+        per[short] = number
+        owner = np.repeat(np.arange(len(lines)), per)
+        keys = np.zeros(len(owner), np.int64)
+        if len(long):
+            keys[np.isin(owner, long)] = band_keys([lines[i] for i in long]).ravel()
+        keys[np.isin(owner, short)] = values
+        return keys, per
+
+    def batch_of(rows: list[tuple], digests: list[bytes], fresh: list[tuple[int, str]]) -> pa.RecordBatch:
+        per, chars, keys = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int32), []
+        at = [i for i, _ in fresh]
+        chars[at] = [len(t) for _, t in fresh]
+        for s in range(0, len(fresh), 256):
+            own, per[at[s : s + 256]] = keyed([t for _, t in fresh[s : s + 256]])
+            keys.append(own)
+        both = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+        doc, text_hash, place = zip(*rows, strict=True) if rows else ((), (), ())
+        own = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per))), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+        columns = [pa.array(doc, pa.int64()), pa.array(text_hash, pa.int64()), pa.array(place, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(chars), own]
+        return pa.RecordBatch.from_arrays(columns, names=["doc", "text_hash", "at", "h", "g", "chars", "bands"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
+        met: set[bytes] = set()
         for batch in batches:
-            h, texts = batch.column(3).to_numpy(), batch.column(4)
-            long = np.flatnonzero(pc.utf8_length(texts).to_numpy(zero_copy_only=False) >= min_chars)
-            _, first = np.unique(h[long], return_index=True)
-            new = [int(i) for i in long[np.sort(first)] if int(h[i]) not in met]
-            if len(met) > remember:
-                met.clear()
-            met.update(h[new].tolist())
-            keys: list = [None] * len(h)
-            for s in range(0, len(new), 4096):
-                some = [texts[i].as_py().encode() for i in new[s : s + 4096]]
-                ends = np.cumsum([len(t) for t in some])
-                for i, own in zip(new[s : s + 4096], band_keys(b"".join(some), ends), strict=True):
-                    keys[i] = own
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(keys, pa.list_(pa.int64()))], names=["doc", "text_hash", "at", "h", "bands"])
-
-    return lines.select("doc", "text_hash", "at", "h", "line").mapInArrow(run, "doc long, text_hash long, at int, h long, bands array<bigint>")
-
-
-def _shared(scratch: Scratch, signed: DataFrame, crowd: int) -> DataFrame:
-    """``(grp, h)`` of lines that share a band with others: groups of at most about ``crowd`` lines in which every
-    two lines of a band meet; equal groups are one. Larger bands are dealt into blocks, and each two blocks meet."""
+            rows, digests, fresh, size = [], [], [], 0
+            for doc, text_hash, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                for at, line in enumerate(_lines_of(body.as_py())):
+                    if not line or len(line) < min_chars:
+                        continue
+                    digest = xxhash.xxh3_128_digest(line.encode())
+                    if digest not in met:
+                        met.add(digest)
+                        fresh.append((len(rows), line))
+                        size += len(line)
+                    rows.append((doc, text_hash, at))
+                    digests.append(digest)
+                if size > 4 << 20 or len(rows) > 50_000:
+                    yield batch_of(rows, digests, fresh)
+                    rows, digests, fresh, size = [], [], [], 0
+                    if len(met) > remember:
+                        met.clear()
+            yield batch_of(rows, digests, fresh)
+
+    return bodies.mapInArrow(run, "doc long, text_hash long, at int, h long, g long, chars int, bands array<bigint>")
+
+
+def _met(rows: DataFrame, crowd: int, crowd_chars: int) -> DataFrame:
+    """``grp, h, chars, key`` of lines that share a key of ``rows (key, h, chars)``. Groups with the same lines have
+    the same ``grp``. Rows of a key with over ``crowd`` lines or ``crowd_chars`` characters have it as ``key``."""
+    kinds = {"grp": pa.int64(), "h": pa.int64(), "chars": pa.int32(), "key": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own, crowded = None, [], False
-        out: dict[str, list] = {"grp": [], "h": [], "band": []}
+        key, last, crowded, total = None, None, False, 0
+        own: list[tuple[int, int]] = []
+        out: dict[str, list] = {k: [] for k in kinds}
 
         def close() -> None:
             if len(own) > 1 or crowded:
-                grp = 0 if crowded else hash(tuple(own))
-                out["grp"].extend([grp] * len(own))
-                out["h"].extend(own)
-                out["band"].extend([key if crowded else None] * len(own))
+                hs = [h for h, _ in own]
+                out["grp"].extend([0 if crowded else hash(tuple(hs))] * len(own))
+                out["h"].extend(hs)
+                out["chars"].extend(c for _, c in own)
+                out["key"].extend([key if crowded else None] * len(own))
+            own.clear()
 
         for batch in batches:
-            k, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            # All but a few rows are alone in their band: look only at runs, and at the ends of the batch.
-            same = np.flatnonzero((np.diff(k) == 0)) if len(k) else np.zeros(0, np.int64)
-            rows = np.unique(np.concatenate((same, same + 1, [0, len(k) - 1]))).astype(int) if len(k) else []
+            k, h, c = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            # All but a few rows are alone with their key: look only at runs, and at the ends of the batch.
+            same = np.flatnonzero(np.diff(k) == 0)
+            rows = np.unique(np.concatenate((same, same + 1, [0, len(k) - 1]))).tolist() if len(k) else []
             for i in rows:
                 if k[i] != key:
                     close()
-                    key, own, crowded = int(k[i]), [], False
-                if not own or own[-1] != h[i]:
-                    own.append(int(h[i]))
-                if len(own) > crowd:
-                    crowded = True
-                    last = own[-1:]
-                    own = own[:-1]
-                    close()
-                    own = last
+                    key, last, crowded, total = int(k[i]), None, False, 0
+                if h[i] != last:
+                    last = int(h[i])
+                    own.append((last, int(c[i])))
+                    total += int(c[i])
+                    crowded = crowded or len(own) > crowd or (len(own) > 1 and total > crowd_chars)
+                    if crowded:
+                        close()
             if len(out["h"]) > 20_000:
-                yield _long_batch(**out)
-                out = {k: [] for k in out}
+                yield _arrow(kinds, out)
+                out = {k: [] for k in kinds}
         close()
-        yield _long_batch(**out)
+        yield _arrow(kinds, out)
+
+    return rows.select("key", "h", "chars").repartition("key").sortWithinPartitions("key", "h").mapInArrow(run, "grp long, h long, chars int, key long")
+
 
-    rows = signed.where("bands is not null").select(F.explode("bands").alias("key"), "h")
-    met = scratch.keep(rows.repartition("key").sortWithinPartitions("key", "h").mapInArrow(run, "grp long, h long, band long"))
-    few = met.where("band is null").select("grp", "h")
-    many = met.where("band is not null").select("band", "h").distinct()
-    blocks = many.groupBy("band").agg(F.ceil(F.count("*") * 2 / crowd).cast("int").alias("blocks")).withColumnRenamed("band", "of")
-    many = many.join(blocks, F.col("band") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("h", F.lit(7)), F.col("blocks")).cast("int"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select(F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("grp"), "h")
-    return few.unionAll(many).distinct()
+def _texts(bodies: DataFrame, signed: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
+    """``h, g, line`` of the lines whose ``h`` is wanted, each once."""
+    few = wanted.count() <= broadcast_rows
+    own = signed.join(F.broadcast(wanted) if few else wanted, "h", "left_semi")
+    first = own.groupBy("h", "g").agg(F.min(F.struct("doc", "text_hash", "at")).alias("p"))
+    per_doc = first.groupBy(F.col("p.doc").alias("of"), F.col("p.text_hash").alias("of_hash")).agg(F.collect_list(F.struct(F.col("p.at").alias("at"), "h", "g")).alias("lines"))
+    met = bodies.join(F.broadcast(per_doc) if few else per_doc, F.col("doc").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash")))
+    kinds = {"h": pa.int64(), "g": pa.int64(), "line": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {k: [] for k in kinds}
+            size = 0
+            for body, lines in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                own = _lines_of(body.as_py())
+                for x in lines:
+                    out["h"].append(x["h"])
+                    out["g"].append(x["g"])
+                    out["line"].append(own[x["at"]])
+                    size += len(own[x["at"]])
+                if size > 4 << 20:
+                    yield _arrow(kinds, out)
+                    out, size = {k: [] for k in kinds}, 0
+            yield _arrow(kinds, out)
+
+    return met.select("body", "lines").mapInArrow(run, "h long, g long, line string").dropDuplicates(["h", "g"])
+
+
+def _prefixed(spark_rows: DataFrame, similarity: float) -> DataFrame:
+    """``key, h, chars`` of crowded lines ``(h, line)`` by their rarest shingles. How often shingles are is counted
+    over all of these lines, in a table of counters of one size whatever the input."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_CELLS, np.int64)
+        for batch in batches:
+            lines = batch.column(1).to_pylist()
+            for s in range(0, len(lines), 256):
+                total += cell_counts(lines[s : s + 256])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["cell", "n"])
+
+    counts = np.zeros(_CELLS, np.int64)
+    for r in spark_rows.select("h", "line").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r.cell] = r.n
+    held = spark_rows.sparkSession.sparkContext.broadcast(counts)
+    kinds = {"key": pa.int64(), "h": pa.int64(), "chars": pa.int32()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hs, lines = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for s in range(0, len(lines), 256):
+                some = lines[s : s + 256]
+                keys, per = prefix_keys(some, similarity, held.value)
+                columns = [keys, np.repeat(hs[s : s + 256], per), np.repeat([len(t) for t in some], per)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+    return spark_rows.select("h", "line").mapInArrow(run, "key long, h long, chars int")
+
+
+def _around_hubs(scratch: Scratch, crowded: DataFrame, texts: DataFrame, similarity: float, crowd: int, crowd_chars: int) -> tuple[DataFrame, DataFrame]:
+    """Of keys that stay crowded: edges of their lines with the key's hub, the line of least hash, and groups
+    ``(grp, h)`` of those that are not similar to it, in blocks, with all others of the hub, in blocks."""
+    hubs = scratch.keep(crowded.groupBy("key").agg(F.min("h").alias("hub")).withColumnRenamed("key", "of"))
+    members = scratch.keep(crowded.join(hubs, F.col("key") == F.col("of")).select("hub", "h", "chars").distinct())
+    hub_texts = scratch.keep(texts.select(F.col("h").alias("hub_h"), F.col("g").alias("hub_g"), F.col("line").alias("hub_line")).join(hubs.select(F.col("hub").alias("is_hub")).distinct(), F.col("hub_h") == F.col("is_hub"), "left_semi"))
+    rows = members.join(texts.withColumnRenamed("h", "text_of"), F.col("h") == F.col("text_of")).join(hub_texts, F.col("hub") == F.col("hub_h"))
+    kinds = {"hub": pa.int64(), "h": pa.int64(), "chars": pa.int32(), "a": pa.binary(), "b": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple = (None, set())
+        for batch in batches:
+            out: dict[str, list] = {k: [] for k in kinds}
+            for hub, h, chars, node, line, hub_node, hub_line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if known[0] != hub_node:
+                    known = (hub_node, _shingle_sets([hub_line])[0])
+                own = _shingle_sets([line])[0]
+                near = _similar(len(own), len(known[1]), len(own & known[1]), similarity)
+                for k, v in zip(kinds, (hub, h, chars, node if near else None, hub_node if near else None), strict=True):
+                    out[k].append(v)
+            yield _arrow(kinds, out)
+
+    compared = rows.select("hub", "h", "chars", _node().alias("node"), "line", _node("hub_h", "hub_g").alias("hub_node"), "hub_line").mapInArrow(run, "hub long, h long, chars int, a binary, b binary")
+    compared = scratch.keep(compared)
+    far = F.col("a").isNull()
+    blocks = lambda own: F.ceil(F.greatest(F.count_if(own) * 2.0 / crowd, F.sum(F.when(own, F.col("chars"))) * 2.0 / crowd_chars)).cast("long")
+    sizes = scratch.keep(compared.groupBy("hub").agg(F.coalesce(blocks(far), F.lit(0)).alias("n_far"), F.coalesce(blocks(~far), F.lit(0)).alias("n_near")).where("n_far > 0").withColumnRenamed("hub", "of"))
+    dealt = compared.join(sizes, F.col("hub") == F.col("of")).withColumn("spot", F.xxhash64("h", F.lit(7)))
+    dealt = dealt.withColumn("block", F.when(far, F.pmod("spot", F.col("n_far"))).otherwise(F.col("n_far") + F.pmod("spot", F.greatest("n_near", F.lit(1)))))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(far, F.col("n_far") + F.col("n_near")).otherwise(F.col("n_far")) - 1)))
+    groups = dealt.select(F.xxhash64("hub", F.least("block", "other"), F.greatest("block", "other")).alias("grp"), "h")
+    return compared.where("a is not null and a <> b").select("a", "b"), groups
+
+
+def _node(h: str = "h", g: str = "g"):
+    """Both hashes of a line as one value."""
+    return F.unhex(F.concat(F.lpad(F.hex(h), 16, "0"), F.lpad(F.hex(g), 16, "0")))
 
 
 def _verified(groups: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    rows = groups.join(texts.select(F.col("h").alias("text_of"), "line"), F.col("h") == F.col("text_of")).select("grp", "h", "line")
+    rows = groups.join(texts.select(F.col("h").alias("text_of"), _node().alias("node"), "line"), F.col("h") == F.col("text_of")).select("grp", "node", "line")
+    kinds = {"a": pa.binary(), "b": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = None, {}
+
+        def edges(out: dict[str, list]) -> None:
+            if len(own) > 1:
+                names = list(own)
+                for i, j in group_edges(list(own.values()), similarity):
+                    out["a"].append(names[i])
+                    out["b"].append(names[j])
+
         for batch in batches:
-            edges = []
-            for grp, h, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            out: dict[str, list] = {"a": [], "b": []}
+            for grp, node, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if grp != key:
-                    edges += group_edges(list(own.items()), similarity) if len(own) > 1 else []
+                    edges(out)
                     key, own = grp, {}
-                own[h] = line
-            yield _long_batch(a=[a for a, _ in edges], b=[b for _, b in edges])
-        edges = group_edges(list(own.items()), similarity) if len(own) > 1 else []
-        yield _long_batch(a=[a for a, _ in edges], b=[b for _, b in edges])
-
-    return rows.repartition("grp").sortWithinPartitions("grp", "h").mapInArrow(run, "a long, b long")
-
-
-def duplicate_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, min_chars: int = 20, exact_chars: int | None = None, crowd: int = 4096, broadcast_rows: int = 1_000_000, remember: int = 500_000) -> DataFrame:
+                own[node] = line.as_py()
+            yield _arrow(kinds, out)
+        last: dict[str, list] = {"a": [], "b": []}
+        edges(last)
+        yield _arrow(kinds, last)
+
+    return rows.repartition("grp").sortWithinPartitions("grp", "node").mapInArrow(run, "a binary, b binary")
+
+
+def line_links(scratch: Scratch, bodies: DataFrame, signed: DataFrame, similarity: float, crowd: int, crowd_chars: int, broadcast_rows: int) -> DataFrame:
+    """Edges ``(a, b)`` of distinct lines, enough to join whatever links among those that share a key."""
+    met = scratch.keep(_met(signed.select(F.explode("bands").alias("key"), "h", "chars"), crowd, crowd_chars))
+    texts = scratch.keep(_texts(bodies, signed, scratch.keep(met.select("h").distinct()), broadcast_rows))
+    groups, edges = met.where("key is null").select("grp", "h"), None
+    many = met.where("key is not null").select(F.col("h").alias("many_h")).distinct()
+    if not many.isEmpty():
+        again = texts.join(many, F.col("h") == F.col("many_h"), "left_semi")
+        met_again = scratch.keep(_met(_prefixed(scratch.keep(again), similarity), crowd, crowd_chars))
+        groups = groups.unionAll(met_again.where("key is null").select("grp", "h"))
+        crowded = met_again.where("key is not null").select("key", "h", "chars")
+        if not crowded.isEmpty():
+            edges, more = _around_hubs(scratch, crowded, texts, similarity, crowd, crowd_chars)
+            groups = groups.unionAll(more)
+    found = _verified(groups.distinct(), texts, similarity)
+    return found if edges is None else found.unionAll(edges)
+
+
+def duplicate_lines(
+    docs: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    similarity: float = 0.8,
+    min_chars: int = 1,
+    crowd: int = 4096,
+    crowd_chars: int = 4 << 20,
+    broadcast_rows: int = 1_000_000,
+    remember: int = 500_000,
+) -> DataFrame:
     """``doc, text_hash, removed``: for each document that loses lines their places (from 0), in order.
 
-    Lines of under ``min_chars`` characters (trimmed) link to no similar line; those of ``exact_chars`` or more
-    (none by default) link to equal ones, shorter ones stay, and so do null, empty and blank texts. Two lines link at a Jaccard similarity of ``similarity`` or more of their sets of 8-character shingles;
-    bands find pairs at 0.8 with a probability of 99.1 %, equal lines always. Of a component the line first by
-    (doc_id, hash of the text, place) stays; nulls come first. Rows that are equal in id and text count as one and
-    are all treated alike. Other columns are ignored. An empty table gives no rows.
-
-    A line that fills a third of all rows reaches the shuffle once for each task and batch; large bands are dealt
-    into blocks. Texts of the compared lines are read again, picked by a broadcast of their hashes where there are
-    at most ``broadcast_rows`` of them and by a shuffled join beyond.
+    Two lines (trimmed, lower case) link if they are equal, or at a Jaccard similarity of ``similarity`` or more of
+    their sets of 8-character shingles. Bands find pairs at 0.8 with a probability of 99.1 %; those of fewer than 24
+    shingles have keys that miss none; shorter than 8 characters, only equal ones link. Blank lines, and lines of under
+    ``min_chars`` characters, stay. Of a component the line first by (doc_id, hash of the text, place) stays;
+    nulls come first. Null, empty and blank texts lose nothing. Rows that are equal in id and text count as one
+    and are all treated alike. Very long texts are cut into lines in one task; a line of any length is compared
+    whole. Other columns are ignored. An empty table gives no rows.
+
+    A line that fills a third of all rows reaches the shuffle once for each task. Lines of keys with over ``crowd``
+    lines or ``crowd_chars`` characters meet by their rarest shingles instead; what is still crowded then is compared with
+    one of its lines, and those not similar to that one with all others, in blocks. All of this is exact. Texts of the
+    compared lines are read again, picked by a broadcast of their hashes where there are at most ``broadcast_rows``
+    of them and by a shuffled join beyond.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = _lines(docs, doc_id, text, min_chars if exact_chars is None else max(1, min(exact_chars, min_chars)))
-    signed = scratch.keep(_signed(lines, min_chars, remember))
-    groups = scratch.keep(_shared(scratch, signed, crowd))
-    live = scratch.keep(groups.select(F.col("h").alias("live")).distinct())
-    small = live.count() <= broadcast_rows
-    pick = lambda rows: rows.join(F.broadcast(live) if small else live, F.col("h") == F.col("live"), "left_semi")
-    places = pick(signed).groupBy("h").agg(F.min(F.struct("doc", "text_hash", "at")).alias("p")).select(F.col("h").alias("place_of"), "p")
-    texts = pick(lines).join(places, (F.col("h") == F.col("place_of")) & F.struct("doc", "text_hash", "at").eqNullSafe(F.col("p"))).select("h", "line")
-    edges = scratch.keep(_verified(groups, texts, similarity))
-    scratch.drop(groups, live)
+    bodies = _bodies(docs, doc_id, text)
+    signed = scratch.keep(_signed(bodies, min_chars, similarity, remember))
+    edges = scratch.keep(line_links(scratch, bodies, signed, similarity, crowd, crowd_chars, broadcast_rows).distinct())
     joined = scratch.keep(components(scratch, edges))
-    scratch.drop(edges)
-    rooted = signed.join(joined, F.col("h") == F.col("node"), "left").select("doc", "text_hash", "at", F.coalesce("root", "h").alias("root"))
-    several = rooted.groupBy("root").agg(F.min(F.struct("doc", "text_hash", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("root").alias("of"), "first")
-    lost = rooted.join(several, F.col("root") == F.col("of")).where(~F.struct("doc", "text_hash", "at").eqNullSafe(F.col("first")))
+    place = F.struct("doc", "text_hash", "at")
+    each = signed.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).withColumn("own", _node())
+    several = scratch.keep(each.join(joined, F.col("own") == F.col("node"), "left").where("n > 1 or root is not null").select("h", "g", F.coalesce("root", "own").alias("root"), "first"))
+    heads = scratch.keep(several.groupBy("root").agg(F.min("first").alias("stays")).withColumnRenamed("root", "of"))
+    headed = several.join(heads, F.col("root") == F.col("of")).select(F.col("h").alias("of_h"), F.col("g").alias("of_g"), "stays")
+    headed = scratch.keep(headed)
+    lost = signed.join(F.broadcast(headed) if headed.count() <= broadcast_rows else headed, (F.col("h") == F.col("of_h")) & (F.col("g") == F.col("of_g")))
+    lost = lost.where(~place.eqNullSafe(F.col("stays")))
     return lost.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set("at")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with the removed lines cut out of ``text``, and the columns ``n_lines`` and ``n_removed``.
+def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000, **options) -> DataFrame:
+    """``docs`` with the removed lines cut out of ``text``, and the columns ``n_lines`` and ``n_removed``, which take
+    the place of columns of these names.
 
-    A text of which nothing but blank lines is left becomes the empty string; null texts stay null. See
-    ``duplicate_lines`` for which lines go.
+    A text of which nothing but blank lines is left becomes the empty string; null texts stay null, and have one
+    line like empty ones. Repeated rows, very long texts, ties and empty tables: see ``duplicate_lines``, which says
+    which lines go.
     """
-    lost = duplicate_lines(docs, doc_id=doc_id, text=text, **options).select(F.col("doc").alias("__lost_doc"), F.col("text_hash").alias("__lost_hash"), F.col("removed").alias("__lost_lines"))
+    lost = duplicate_lines(docs, doc_id=doc_id, text=text, broadcast_rows=broadcast_rows, **options)
+    lost = Scratch(docs.sparkSession, "lost").keep(lost.select(F.col("doc").alias("__lost_doc"), F.col("text_hash").alias("__lost_hash"), F.col("removed").alias("__lost_lines")))
     body = F.coalesce(F.col(text), F.lit(""))
-    met = docs.join(lost, F.col(doc_id).cast("long").eqNullSafe(F.col("__lost_doc")) & (F.xxhash64(body) == F.col("__lost_hash")), "left")
+    met = docs.join(F.broadcast(lost) if lost.count() <= broadcast_rows else lost, F.col(doc_id).cast("long").eqNullSafe(F.col("__lost_doc")) & (F.xxhash64(body) == F.col("__lost_hash")), "left")
     kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("__lost_lines", i)), "\n")
-    met = met.withColumns({"n_lines": F.size(F.split(body, "\n")).cast("long"), "n_removed": F.coalesce(F.size("__lost_lines"), F.lit(0)).cast("long")})
-    met = met.withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long")))
+    met = met.withColumns({"n_lines": F.size(F.split(body, "\n")).cast("long"), "n_removed": F.greatest(F.coalesce(F.size("__lost_lines"), F.lit(0)), F.lit(0)).cast("long")})
     return met.withColumn(text, F.when(F.col("__lost_lines").isNull(), F.col(text)).otherwise(kept)).drop("__lost_doc", "__lost_hash", "__lost_lines")

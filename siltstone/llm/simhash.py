@@ -130,9 +130,38 @@ def bucket_edges(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _segments(n: int) -> tuple[int, int]:
-    """(segments, of which whole ones that a link must share): longer keys where there are more fingerprints."""
-    return (6, 2) if n <= 1 << 22 else (7, 3) if n <= 1 << 28 else (8, 4)
+def dense_edges(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """As ``bucket_edges``, for many fingerprints that differ in few bits: all values of these bits are laid out, and
+    the least label within the distance spreads from value to value, in time that doesn't depend on how many link."""
+    differ = np.bitwise_or.reduce(prints ^ prints[0])
+    bits = [b for b in range(64) if differ >> _U(b) & _U(1)]
+    place = np.zeros(len(prints), np.int64)
+    for j, b in enumerate(bits):
+        place |= ((prints >> _U(b) & _U(1)) << _U(j)).astype(np.int64)
+    none = len(prints)
+    label = np.arange(none, dtype=np.int32)
+    while True:
+        grid = np.full(1 << len(bits), none, dtype=np.int32)
+        grid[place] = label
+        for _ in range(distance):
+            last = grid
+            grid = last.copy()
+            for j in range(len(bits)):
+                np.minimum(grid.reshape(-1, 2, 1 << j), last.reshape(-1, 2, 1 << j)[:, ::-1], out=grid.reshape(-1, 2, 1 << j))
+        new = grid[place]
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return [(int(prints[a]), int(p)) for a, p in zip(label, prints, strict=True) if prints[a] != p]
+        label = new
+
+
+#: (segments, of which whole ones that a link must share): a pair at 4 bits leaves all but 4 segments alone. Keys get
+#: longer from left to right; buckets of the last hold at most 2^24 fingerprints.
+_LEVELS = ((6, 2), (7, 3), (8, 4), (12, 8))
+
+
+def _first_level(n: int) -> int:
+    return 0 if n <= 1 << 22 else 1 if n <= 1 << 28 else 2
 
 
 def _keys(count: int, whole: int):
@@ -140,20 +169,19 @@ def _keys(count: int, whole: int):
     part = [F.shiftrightunsigned("fp", cuts[k]).bitwiseAND((1 << (cuts[k + 1] - cuts[k])) - 1) for k in range(count)]
     out = []
     for number, chosen in enumerate(combinations(range(count), whole)):
+        width = sum(cuts[k + 1] - cuts[k] for k in chosen)
         key = F.lit(number).cast("long")
         for k in chosen:
             key = F.shiftleft(key, cuts[k + 1] - cuts[k]).bitwiseOR(part[k])
+        assert number < 1 << (63 - width)
         out.append(key)
     return F.array(*out)
 
 
-def links(prints: DataFrame, bucket_limit: int = 4096) -> DataFrame:
-    """Edges ``(a, b)`` between distinct fingerprints ``fp`` at 4 or fewer bits, enough to join whatever links.
-
-    Fingerprints of buckets above ``bucket_limit`` come as ``(fp, fp)``: they are left to ``crowded_links``.
-    """
-    count, whole = _segments(prints.count())
-    keyed = prints.select(F.explode(_keys(count, whole)).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
+def _level_links(prints: DataFrame, level: int, bucket_limit: int | None) -> DataFrame:
+    """Edges ``(a, b)`` between fingerprints that share a key of the level; those of buckets above ``bucket_limit``
+    come as ``(fp, fp)``."""
+    keyed = prints.select(F.explode(_keys(*_LEVELS[level])).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
 
     def closed(keys: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
         """Edges of whole buckets."""
@@ -165,7 +193,10 @@ def links(prints: DataFrame, bucket_limit: int = 4096) -> DataFrame:
         out = [(int(a), int(b)) for a, b in zip(fps[two], fps[two + 1], strict=True)]
         for i in np.flatnonzero(size > 2):
             own = fps[at[i] : at[i + 1]]
-            out += bucket_edges(own, 4) if len(own) <= bucket_limit else [(int(f), int(f)) for f in own]
+            if bucket_limit is not None and len(own) > bucket_limit:
+                out += [(int(f), int(f)) for f in own]
+            else:
+                out += bucket_edges(own, 4) if len(own) <= _DENSE else dense_edges(own, 4)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,39 +210,44 @@ def links(prints: DataFrame, bucket_limit: int = 4096) -> DataFrame:
                 keys, fps = keys[n:], fps[n:]
             if not len(keys):
                 continue
+            crowded = None
             last = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on in the next batch
             yield _edge_batch(closed(keys[:last], fps[:last]))
             keys, fps = keys[last:], fps[last:]
-            if len(keys) > bucket_limit:
+            if bucket_limit is not None and len(keys) > bucket_limit:
                 crowded = int(keys[-1])
                 yield _edge_batch([(int(f), int(f)) for f in fps])
                 keys, fps = keys[:0], fps[:0]
         yield _edge_batch(closed(keys, fps))
 
-    return keyed.mapInArrow(run, "a long, b long")
+    return keyed.mapInArrow(run, "a long, b long").distinct()
 
 
-def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    two = np.array(edges, dtype=_U).reshape(-1, 2).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1])], names=["a", "b"])
+#: Buckets of more fingerprints than this are laid out by their bits.
+_DENSE = 4096
+
 
+def links(scratch: Scratch, prints: DataFrame, bucket_limit: int = 4096) -> DataFrame:
+    """Edges ``(a, b)`` between distinct fingerprints ``fp`` at 4 or fewer bits, enough to join whatever links.
 
-def crowded_links(prints: DataFrame) -> DataFrame:
-    """Links between ``fp`` at 4 or fewer bits, in time proportional to their number: two fingerprints link
-    exactly if flipping at most two bits of each can give the same value."""
-    flips = [0] + [1 << i for i in range(64)] + [1 << i | 1 << j for i, j in combinations(range(64), 2)]
-    masks = np.array(flips, dtype=_U)
+    Fingerprints of buckets above ``bucket_limit`` meet again by longer keys, of which a link must share one, too;
+    the buckets of the longest keys hold at most 2^24.
+    """
+    edges, level = None, _first_level(prints.count())
+    while True:
+        last = level == len(_LEVELS) - 1
+        found = scratch.keep(_level_links(prints, level, None if last else bucket_limit))
+        own = found.where("a <> b")
+        edges = own if edges is None else edges.unionAll(own)
+        crowded = found.where("a = b").select(F.col("a").alias("fp"))
+        if last or crowded.isEmpty():
+            return edges
+        prints, level = crowded, max(2, level + 1)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = batch.column(0).to_numpy().view(_U)
-            for s in range(0, len(fps), 64):
-                own = fps[s : s + 64]
-                yield pa.RecordBatch.from_arrays([pa.array((own[:, None] ^ masks[None, :]).ravel().view(np.int64)), pa.array(np.repeat(own, len(masks)).view(np.int64))], names=["value", "fp"])
 
-    values = prints.mapInArrow(spread, "value long, fp long")
-    least = values.groupBy("value").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most")
-    return values.join(least, "value").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
+def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    two = np.array(edges, dtype=_U).reshape(-1, 2).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1])], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bucket_limit: int = 4096) -> DataFrame:
@@ -219,7 +255,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     ``fp`` is the SimHash as a signed 64-bit integer; a text without words (null, empty, blank) has 0 and links
     like any other. ``component_id`` is the least ``doc_id`` that links of at most 4 bits reach (null
-    ids are passed over; null if there is no other). Rows that share an id are kept each. An empty table gives none.
+    ids are passed over; null if there is no other). Rows that share an id, or are wholly equal, are kept each. A
+    text is hashed whole in one task, however long. An empty table gives none.
+
+    Every join is between two written tables, so that a fingerprint or component of very many documents is split.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
 
@@ -237,16 +276,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     each = scratch.keep(own.mapInArrow(prints, "doc_id long, fp long"))
-    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    found = scratch.keep(links(distinct.select("fp"), bucket_limit).distinct())
-    crowded = found.where("a = b").select(F.col("a").alias("fp"))
-    edges = found.where("a <> b")
-    if not crowded.isEmpty():
-        edges = edges.unionAll(crowded_links(crowded))
-    joined = scratch.keep(components(scratch, edges))
-    scratch.drop(found)
-    members = distinct.join(joined, distinct["fp"] == joined["node"]).select("root", F.col("fp").alias("member"), "least_id")
-    roots = members.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumnRenamed("root", "of")
+    distinct = scratch.keep(each.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    joined = scratch.keep(components(scratch, links(scratch, distinct.select("fp"), bucket_limit)))
+    members = scratch.keep(distinct.join(joined, distinct["fp"] == joined["node"]).select("root", F.col("fp").alias("member"), "least_id"))
+    roots = scratch.keep(members.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumnRenamed("root", "of"))
     linked = scratch.keep(members.join(roots, F.col("root") == F.col("of")).select("member", "component_id"))
     per_print = distinct.join(linked, distinct["fp"] == linked["member"], "left").select(F.col("fp").alias("key"), F.coalesce("component_id", "least_id").alias("component_id"))
+    per_print = scratch.keep(per_print)
     return each.join(per_print, each["fp"] == per_print["key"]).select("doc_id", "fp", "component_id")

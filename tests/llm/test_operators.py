@@ -19,7 +19,7 @@ from siltstone.llm.line_dedup import dedup_lines
 from siltstone.llm.packing import pack
 from siltstone.llm.quality import quality
 from siltstone.llm.secrets import learn, secret_spans
-from siltstone.llm.simhash import crowded_links, near_duplicates
+from siltstone.llm.simhash import bucket_edges, dense_edges, near_duplicates
 from siltstone.llm.token_counts import count_tokens
 from siltstone.llm.toxicity import Lexicon, learn_from, toxicity
 
@@ -74,8 +74,24 @@ def test_near_duplicates_with_crowded_buckets(spark):
             break
         up = new
     assert {r.doc_id: r.component_id for r in plain} == up
-    prints = spark.createDataFrame([(0,), (15,), (31,), (-1,)], "fp long")
-    assert sorted((r.a, r.b) for r in crowded_links(prints).collect() if {r.a, r.b} == {0, 31}) == []
+
+
+def test_dense_buckets_link_as_others():
+    import numpy as np
+
+    for bits, n in ((8, 30), (14, 200), (14, 900), (3, 8)):
+        some = draw.sample(range(1 << bits), n)
+        prints = np.array([sum((x >> j & 1) << (4 * j + 1) for j in range(bits)) | 1 << 63 for x in some], dtype=np.uint64)
+
+        def parts(edges):
+            up = {int(p): int(p) for p in prints}
+            for a, b in edges:
+                assert (a ^ b).bit_count() <= 4 or edges is dense
+                up = {k: up[a] if v == up[b] else v for k, v in up.items()}
+            return {frozenset(k for k, v in up.items() if v == r) for r in up.values()}
+
+        dense = dense_edges(prints, 4)
+        assert parts(dense) == parts(bucket_edges(prints, 4))
 
 
 def test_components(spark):
