@@ -201,9 +201,10 @@ def group_edges(lines: list[str], similarity: float) -> list[tuple[int, int]]:
         near = group.near(i, label != label[i])
         asked[i] = True
         if len(near):
-            edges.extend((i, int(j)) for j in near)
+            clusters, one = np.unique(label[near], return_index=True)
+            edges.extend((i, int(j)) for j in near[one])
             reached[near] = True
-            label[np.isin(label, label[near])] = label[i]
+            label[np.isin(label, clusters)] = label[i]
 
     for i in range(n):
         if not reached[i]:
@@ -426,19 +427,43 @@ def _node(h: str = "h", g: str = "g"):
     return F.unhex(F.concat(F.lpad(F.hex(h), 16, "0"), F.lpad(F.hex(g), 16, "0")))
 
 
+class _Forest(dict):
+    """Nodes joined so far, at most about ``limit`` of them; ``join`` says whether an edge joins anything new."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit = limit
+
+    def top(self, x: bytes) -> bytes:
+        while (up := self.setdefault(x, x)) != x:
+            self[x] = self[up]
+            x = up
+        return x
+
+    def join(self, a: bytes, b: bytes) -> bool:
+        a, b = self.top(a), self.top(b)
+        if a == b:
+            return False
+        self[max(a, b)] = min(a, b)
+        if len(self) > self.limit:
+            self.clear()
+        return True
+
+
 def _verified(groups: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     rows = groups.join(texts.select(F.col("h").alias("text_of"), _node().alias("node"), "line"), F.col("h") == F.col("text_of")).select("grp", "node", "line")
     kinds = {"a": pa.binary(), "b": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own = None, {}
+        key, own, forest = None, {}, _Forest(200_000)
 
         def edges(out: dict[str, list]) -> None:
             if len(own) > 1:
                 names = list(own)
                 for i, j in group_edges(list(own.values()), similarity):
-                    out["a"].append(names[i])
-                    out["b"].append(names[j])
+                    if forest.join(names[i], names[j]):
+                        out["a"].append(names[i])
+                        out["b"].append(names[j])
 
         for batch in batches:
             out: dict[str, list] = {"a": [], "b": []}

@@ -164,24 +164,32 @@ def _first_level(n: int) -> int:
     return 0 if n <= 1 << 22 else 1 if n <= 1 << 28 else 2
 
 
-def _keys(count: int, whole: int):
+def _keys(fps: np.ndarray, count: int, whole: int) -> np.ndarray:
+    """The keys of each fingerprint, one row for each choice of segments."""
     cuts = [round(64 * k / count) for k in range(count + 1)]
-    part = [F.shiftrightunsigned("fp", cuts[k]).bitwiseAND((1 << (cuts[k + 1] - cuts[k])) - 1) for k in range(count)]
+    width = [b - a for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    part = [fps >> _U(cuts[k]) & _U((1 << width[k]) - 1) for k in range(count)]
     out = []
     for number, chosen in enumerate(combinations(range(count), whole)):
-        width = sum(cuts[k + 1] - cuts[k] for k in chosen)
-        key = F.lit(number).cast("long")
+        key = np.full(len(fps), number, dtype=_U)
         for k in chosen:
-            key = F.shiftleft(key, cuts[k + 1] - cuts[k]).bitwiseOR(part[k])
-        assert number < 1 << (63 - width)
+            key = key << _U(width[k]) | part[k]
         out.append(key)
-    return F.array(*out)
+    return np.stack(out)
 
 
 def _level_links(prints: DataFrame, level: int, bucket_limit: int | None) -> DataFrame:
     """Edges ``(a, b)`` between fingerprints that share a key of the level; those of buckets above ``bucket_limit``
     come as ``(fp, fp)``."""
-    keyed = prints.select(F.explode(_keys(*_LEVELS[level])).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).to_numpy()
+            for s in range(0, len(fps), 1024):
+                keys = _keys(fps[s : s + 1024].view(_U), *_LEVELS[level])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(fps[s : s + 1024], len(keys)))], names=["key", "fp"])
+
+    keyed = prints.mapInArrow(spread, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
 
     def closed(keys: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
         """Edges of whole buckets."""

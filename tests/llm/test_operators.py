@@ -234,7 +234,7 @@ def test_line_dedup(spark, docs, none):
     other = " ".join(VOCABULARY[100:140])
     rows = [(2, f"{line}\nshort\n\n{other}"), (1, f"short\n {near.upper()} "), (3, f"{line}\n{line}"), (4, None), (5, ""), (6, "short")]
     for crowd in (4096, 2):
-        got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd).collect()}
+        got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd, min_chars=20).collect()}
         assert got[1].text == rows[1][1] and got[1].n_removed == 0
         assert got[2].text == f"short\n\n{other}" and got[2].n_removed == 1 and got[2].n_lines == 4
         assert got[3].text == "" and got[3].n_removed == 2
