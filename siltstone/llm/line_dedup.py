@@ -32,6 +32,8 @@ _TRIM = " \t\x0b\x0c\r"
 #: Counters of shingles by which the keys of crowded lines are chosen.
 _CELLS = 1 << 20
 _EMPTY = 0xFFFFFFFF
+#: Characters that are hashed at a time.
+_STEP = 1 << 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -62,6 +64,18 @@ def _windows(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return out, ends, over
 
 
+def _parts(lines: list[str]) -> Iterator[slice]:
+    """Slices of the lines with few characters each, or a single line."""
+    start, size = 0, 0
+    for i, line in enumerate(lines):
+        if size and (size + len(line) > _STEP or i - start >= 256):
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(line)
+    if len(lines) > start:
+        yield slice(start, len(lines))
+
+
 def _least_common(size: np.ndarray, similarity: float) -> np.ndarray:
     """Shingles that a set of this size shares at least with a similar one."""
     return np.ceil(similarity * size - 1e-9).astype(np.int64)
@@ -70,19 +84,24 @@ def _least_common(size: np.ndarray, similarity: float) -> np.ndarray:
 def band_keys(lines: list[str]) -> np.ndarray:
     """Band keys, one row for each line; lines have 8 characters or more."""
     windows, ends, over = _windows(lines)
-    with np.errstate(over="ignore"):
-        hashed = windows * _U(0x9E3779B97F4A7C15)
-        hashed ^= hashed >> _U(32)
-        hashed *= _U(0xD6E8FEB86659FD93)
-    high = hashed >> _U(32)
-    value = (hashed ^ high).astype(np.uint32)
-    high *= _U(_SLOTS)
-    high >>= _U(32)
-    place = np.repeat(np.arange(len(lines), dtype=np.int64) * _SLOTS, np.diff(ends, prepend=0))
-    place += high.view(np.int64)
-    place[over] = len(lines) * _SLOTS
+    begin = ends - np.diff(ends, prepend=0)
     sketch = np.full(len(lines) * _SLOTS + 1, _EMPTY, dtype=np.uint32)
-    np.minimum.at(sketch, place, value)
+    for s in range(0, len(windows), _STEP):
+        e = min(len(windows), s + _STEP)
+        first, last = np.searchsorted(ends, [s, e - 1], side="right")
+        own = np.arange(first, last + 1)
+        place = np.repeat(own * _SLOTS, np.minimum(ends[own], e) - np.maximum(begin[own], s))
+        with np.errstate(over="ignore"):
+            hashed = windows[s:e] * _U(0x9E3779B97F4A7C15)
+            hashed ^= hashed >> _U(32)
+            hashed *= _U(0xD6E8FEB86659FD93)
+        high = hashed >> _U(32)
+        value = (hashed ^ high).astype(np.uint32)
+        high *= _U(_SLOTS)
+        high >>= _U(32)
+        place += high.view(np.int64)
+        place[over[(over >= s) & (over < e)] - s] = len(lines) * _SLOTS
+        np.minimum.at(sketch, place, value)
     sketch = sketch[:-1].reshape(-1, _SLOTS)
     # An empty slot takes the next filled one's value, marked with how far away it is.
     at = np.where(sketch != _EMPTY, np.arange(_SLOTS), 4 * _SLOTS)
@@ -251,8 +270,9 @@ def _signed(bodies: DataFrame, min_chars: int, similarity: float, remember: int)
         per, chars, keys = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int32), []
         at = [i for i, _ in fresh]
         chars[at] = [len(t) for _, t in fresh]
-        for s in range(0, len(fresh), 256):
-            own, per[at[s : s + 256]] = keyed([t for _, t in fresh[s : s + 256]])
+        lines = [t for _, t in fresh]
+        for part in _parts(lines):
+            own, per[at[part]] = keyed(lines[part])
             keys.append(own)
         both = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
         doc, text_hash, place = zip(*rows, strict=True) if rows else ((), (), ())
@@ -365,8 +385,8 @@ def _prefixed(spark_rows: DataFrame, similarity: float) -> DataFrame:
         total = np.zeros(_CELLS, np.int64)
         for batch in batches:
             lines = batch.column(1).to_pylist()
-            for s in range(0, len(lines), 256):
-                total += cell_counts(lines[s : s + 256])
+            for part in _parts(lines):
+                total += cell_counts(lines[part])
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["cell", "n"])
 
@@ -379,10 +399,9 @@ def _prefixed(spark_rows: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hs, lines = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for s in range(0, len(lines), 256):
-                some = lines[s : s + 256]
-                keys, per = prefix_keys(some, similarity, held.value)
-                columns = [keys, np.repeat(hs[s : s + 256], per), np.repeat([len(t) for t in some], per)]
+            for part in _parts(lines):
+                keys, per = prefix_keys(lines[part], similarity, held.value)
+                columns = [keys, np.repeat(hs[part], per), np.repeat([len(t) for t in lines[part]], per)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
     return spark_rows.select("h", "line").mapInArrow(run, "key long, h long, chars int")
