@@ -2,14 +2,13 @@
 
 For each language a suffix automaton holds a sample of labelled text. A text is parsed from left to right into
 the longest phrases that occur in the sample; the language that needs the fewest phrases, normalised by the
-length of the text and the size of the sample, wins. Texts are parsed in lockstep over dense transition tables.
+length of the text and the size of the sample, wins. Symbols are the bytes of letters in UTF-8, so that any script
+has its own, and a gap between words. Texts are parsed in lockstep over dense transition tables.
 """
 
 from __future__ import annotations
 
 import math
-import sys
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +18,16 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import held_out
 
-_WIDTH = 64  # symbols: 0 unused, 1 a gap between words, then letters; rare letters share the last ones
-_OWN = 48
+_ASCII = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
+
+
+def letters_of(text: str) -> bytes:
+    """The runs of letters of a text, lower case, in UTF-8, a space between them."""
+    low = text.lower()
+    if not low.isascii():
+        for c in {c for c in set(low) if c > "\x7f" and not c.isalpha()}:
+            low = low.replace(c, " ")
+    return b" ".join(low.encode().translate(_ASCII).split())
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -54,23 +61,21 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class CrossParser:
-    """Phrase counts of texts against the samples of all languages."""
+    """Phrase counts of texts against the samples of all languages. A table has a row of as many states as there are
+    different symbols in the samples for each of up to two states a symbol."""
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
-        folded = {k: samples[k].lower() for k in self.languages}
-        often = [c for c, _ in sorted(Counter("".join(folded.values())).items(), key=lambda x: (-x[1], x[0])) if c.isalpha()]
-        own = {c: i + 2 for i, c in enumerate(often[:_OWN])}
-        self.letter = np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
-        self.symbol = np.ones(sys.maxunicode + 1, dtype=np.uint8)
-        for i in np.flatnonzero(self.letter).tolist():
-            low = chr(i).lower()[0]
-            self.symbol[i] = own.get(low) or _OWN + 2 + ord(low) % (_WIDTH - _OWN - 2)
+        folded = [letters_of(samples[k]) for k in self.languages]
+        used = sorted(set(b"".join(folded)))
+        self.symbol = np.zeros(256, dtype=np.uint8)  # 0: a symbol that no sample has
+        self.symbol[used] = np.arange(1, len(used) + 1)
+        self.width = len(used) + 1
         tables, self.start, base = [], [], 0
-        for k in self.languages:
-            steps = suffix_automaton(self._symbols([folded[k]])[0].tolist())
-            table = np.zeros((len(steps), _WIDTH), dtype=np.int64)
-            first = np.zeros(_WIDTH, dtype=np.int64)
+        for own in folded:
+            steps = suffix_automaton(self.symbol[list(own)].tolist())
+            table = np.zeros((len(steps), self.width), dtype=np.int64)
+            first = np.zeros(self.width, dtype=np.int64)
             for c, s in steps[0].items():
                 first[c] = s
             table[:] = ~(first + base)  # no way on: a new phrase starts, marked by the sign
@@ -80,70 +85,97 @@ class CrossParser:
             tables.append(table)
             self.start.append(base)
             base += len(steps)
-        whole = np.concatenate(tables) if tables else np.zeros((0, _WIDTH), dtype=np.int64)
-        self.table = whole.astype(np.int32 if base * _WIDTH < 2**31 else np.int64).ravel()
-        self.scale = np.array([math.log(max(2, len(samples[k]))) for k in self.languages])
-
-    def _symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols of all texts end to end, each text's number of them, and whether it has a letter."""
-        code = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), dtype="<u4")
-        size = np.array([len(t) for t in texts], dtype=np.int64)
-        owner = np.repeat(np.arange(len(texts)), size)
-        letters = np.bincount(owner[self.letter[code]], minlength=len(texts)) > 0
-        symbol = self.symbol[code]
-        keep = np.ones(len(symbol), dtype=bool)
-        keep[1:] = (symbol[1:] != 1) | (symbol[:-1] != 1) | (owner[1:] != owner[:-1])
-        return symbol[keep], np.bincount(owner[keep], minlength=len(texts)), letters
-
-    def parse(self, texts: list[str], segment: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-        """Normalised phrases by text and language, and whether a text has a letter. Texts are parsed in segments
-        of ``segment`` symbols, each from a new phrase on."""
-        symbols, size, letters = self._symbols(texts)
+        whole = np.concatenate(tables) if tables else np.zeros((0, self.width), dtype=np.int64)
+        self.table = whole.astype(np.int32 if base * self.width < 2**31 else np.int64).ravel()
+        self.scale = np.array([math.log(max(2, len(own))) for own in folded])
+
+    def _symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all texts end to end, and each text's number of them."""
+        own = [letters_of(t) for t in texts]
+        return self.symbol[np.frombuffer(b"".join(own), dtype=np.uint8)], np.array([len(b) for b in own], dtype=np.int64)
+
+    def _step(self, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        to = self.table[state * self.width + symbols]
+        new = to < 0
+        return np.where(new, ~to, to), new
+
+    def _phrases(self, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, segment: int) -> np.ndarray:
+        """Phrases by language and text. Segments of a text are parsed side by side, each from a new phrase on; then
+        the phrase that runs into a segment is followed until a new one starts where one of the segment's own does:
+        from there on both are the same. Texts in which that doesn't happen within a segment are parsed in one."""
         parts = -(-size // segment)
-        owner = np.repeat(np.arange(len(texts)), parts)
+        owner = np.repeat(np.arange(len(size)), parts)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-        begin = np.repeat(np.cumsum(size) - size, parts) + number * segment
-        length = np.minimum(segment, np.repeat(size, parts) - number * segment)
+        length = np.minimum(segment, size[owner] - number * segment)
         order = np.argsort(-length, kind="stable")
-        begin, length, owner = begin[order], length[order], owner[order]
-        lanes = np.searchsorted(-length, -np.arange(segment), side="left") if len(length) else np.zeros(segment, int)
-        state = np.repeat(np.array(self.start, dtype=self.table.dtype)[:, None], len(begin), axis=1)
-        phrases = np.ones((len(self.languages), len(begin)), dtype=np.int32)
-        for t in range(int(length[0]) if len(length) else 0):
+        lane = np.empty_like(order)
+        lane[order] = np.arange(len(order))
+        before, follows = np.where(number > 0, np.roll(lane, 1), -1)[order], (number + 1 < parts[owner])[order]
+        owner, number, length = owner[order], number[order], length[order]
+        start = begin[owner] + number * segment
+        steps = int(length[0]) if len(length) else 0
+        lanes = np.searchsorted(-length, -np.arange(steps), side="left")
+        state = np.repeat(np.array(self.start, dtype=self.table.dtype)[:, None], len(owner), axis=1)
+        bound = np.zeros((steps, len(self.languages), len(owner)), dtype=bool)
+        for t in range(steps):
             n = int(lanes[t])
-            to = self.table[(state[:, :n] * _WIDTH) + symbols[begin[:n] + t]]
-            new = to < 0
-            phrases[:, :n] += new
-            state[:, :n] = np.where(new, ~to, to)
-        total = np.stack([np.bincount(owner, weights=p, minlength=len(texts)) for p in phrases]) if len(self.languages) else np.zeros((0, len(texts)))
-        return (total * self.scale[:, None] / np.maximum(1, size)).T, letters
+            state[:, :n], bound[t, :, :n] = self._step(state[:, :n], symbols[start[:n] + t])
+        count = bound.sum(axis=0, dtype=np.int64) + (before < 0)
+        odd: set[int] = set()
+        lang, at = np.nonzero(np.broadcast_to(before >= 0, count.shape))
+        carried = state[lang, before[at]]
+        for t in range(steps):
+            on = length[at] > t
+            odd.update(owner[at[~on & follows[at]]].tolist())
+            lang, at, carried = lang[on], at[on], carried[on]
+            if not len(at):
+                break
+            carried, new = self._step(carried, symbols[start[at] + t])
+            own = bound[t, lang, at]
+            count[lang, at] += new.astype(np.int64) - own
+            on = ~(new & own)
+            lang, at, carried = lang[on], at[on], carried[on]
+        odd.update(owner[at[follows[at]]].tolist())
+        total = np.stack([np.bincount(owner, weights=c, minlength=len(size)) for c in count]) if len(self.languages) else np.zeros((0, len(size)))
+        if odd:
+            some = np.array(sorted(odd))
+            total[:, some] = self._phrases(symbols, begin[some], size[some], int(size.max()))
+        return total
+
+    def parse(self, texts: list[str], segment: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+        """Normalised phrases by text and language, and whether a text has a letter."""
+        symbols, size = self._symbols(texts)
+        total = self._phrases(symbols, np.cumsum(size) - size, size, segment)
+        return (total * self.scale[:, None] / np.maximum(1, size)).T, size > 0
 
 
-def sample_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_language: int = 48, chars_per_row: int = 4000, chars_per_language: int = 40_000) -> dict[str, str]:
+def sample_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_language: int = 16, usual_chars: int = 8000) -> dict[str, str]:
     """Labelled text by language from documents that are not held out.
 
-    The sample is bounded: of each language the ``rows_per_language`` rows first in the order of a hash of their
-    id, ``chars_per_row`` characters of each and ``chars_per_language`` in all. Null labels and texts are left out.
+    The sample is bounded by rows: of each language the ``rows_per_language`` first in the order of a hash of their
+    id, whole, those of up to ``usual_chars`` characters before longer ones. Null labels and texts are left out, and
+    languages whose rows have no letter.
     """
-    rows = docs.select(F.col(doc_id).alias("id"), F.substring(F.col(text), 1, chars_per_row).alias("body"), F.col(lang).cast("string").alias("lang"))
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where(~held_out(F.col("id")) & F.col("body").isNotNull() & F.col("lang").isNotNull())
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "body"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.length("body") > usual_chars, F.xxhash64("id"), "id", "body"))
     found = rows.withColumn("rank", first).where(F.col("rank") <= rows_per_language).select("lang", "rank", "body").collect()
     out: dict[str, str] = {}
     for r in sorted(found, key=lambda r: (r.lang, r["rank"])):
-        out[r.lang] = (out.get(r.lang, "") + r.body + "\n")[:chars_per_language]
+        out[r.lang] = out.get(r.lang, "") + r.body + "\n"
     return {k: v for k, v in out.items() if any(c.isalpha() for c in v)}
 
 
 _built: dict[int, CrossParser] = {}
 
 
-def identify(docs: DataFrame, samples: dict[str, str], *, text: str = "text", chunk_chars: int = 4 << 20) -> Column:
+def identify(docs: DataFrame, samples: dict[str, str], *, text: str = "text", chunk_chars: int = 16 << 20) -> Column:
     """Column ``struct<lang: string, score: double>``: the language of each whole text and how far it is ahead.
 
     ``score`` is 1 less the winner's phrases over those of the next language (1 if there is but one), between 0
-    and 1; ties go to the language first by name. Null texts, texts without a letter, and all texts where there
-    is no sample, give ``und`` and 0.
+    and 1; ties go to the language first by name. Null and empty texts, texts without a letter, and all texts where
+    there is no sample (an empty table gives none), give ``und`` and 0. Repeated rows get the same. Very long texts are parsed whole; texts go
+    together up to ``chunk_chars`` characters times languages. The column may stand beside any others.
     """
     key = hash(tuple(sorted(samples.items())))
 
@@ -169,7 +201,7 @@ def identify(docs: DataFrame, samples: dict[str, str], *, text: str = "text", ch
             for t in batch:
                 some.append(t or "")
                 size += len(some[-1])
-                if size > chunk_chars:
+                if size * max(1, len(samples)) > chunk_chars:
                     out += judged(some)
                     some, size = [], 0
             out += judged(some)
