@@ -11,9 +11,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,8 +23,12 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import held_out
 
-#: Letters that look like Latin ones, and what digits and signs stand for.
-_ALIKE = str.maketrans("аеорсухіјѕԁһκονιτυρα", "aeopcyxijsdhkovitupa")
+#: Letters that look like Latin ones (Cyrillic, Greek, Armenian, Latin variants and small capitals),
+#: and what digits and signs stand for.
+_ALIKE = str.maketrans(
+    "аеорсухіјѕԁһкмнтԛԝ" + "αγεηικνορτυχωσ" + "օսհցոզ" + "ıɑɡɩʋøłđħŧ" + "ᴀʙᴄᴅᴇɢʜɪᴊᴋʟᴍɴᴏᴘʀᴛᴜᴠᴡʏᴢ",
+    "aeopcyxijsdhkmhtqw" + "ayenikvoptuxwo" + "ouhgnq" + "iagivoldht" + "abcdeghijklmnoprtuvwyz",
+)
 _STANDS_FOR = str.maketrans("013457@$!|", "oieastasil")
 _SIGN = re.compile(r"[013457@$!|](?:(?<=[^\W\d_].)(?=[013457@$!|]*[^\W\d_])|(?<![\w@$!|].)(?=[013457@$!|]*[^\W\d_]))")
 _GAP = re.compile(r"[\W\d_]+")
@@ -82,7 +88,12 @@ class Lexicon:
                     hidden.append((start, end))
                 elif weight > hits.get(start, 0.0):
                     hits[start] = weight
-        total = sum(w for s, w in hits.items() if not any(a <= s < b for a, b in hidden))
+        if hidden:
+            hidden.sort()
+            reach = list(accumulate((b for _, b in hidden), max))  # a hit is hidden if a phrase before it reaches past it
+            starts = [a for a, _ in hidden]
+            hits = {s: w for s, w in hits.items() if not (k := bisect_right(starts, s)) or reach[k - 1] <= s}
+        total = sum(hits.values())
         return total / max(1, folded.count(" ") - 1) ** self.power
 
     def score(self, burden: float) -> float:
@@ -95,7 +106,7 @@ def _entries(word: str, shortest: int = 4, longest: int = 8) -> Iterator[str]:
         yield f" {word[:k]}"
 
 
-def learn(texts: Iterable[str | None], labels: Iterable[int], *, prior: float | None = None, min_weight: float = 3.0, min_share: float = 0.01, entries: int = 5000) -> Lexicon:
+def learn(texts: Iterable[str | None], labels: Iterable[int], *, prior: float | None = None, min_weight: float = 3.0, min_share: float = 0.01) -> Lexicon:
     """A lexicon from labelled texts: entries at least ``min_share`` of the toxic texts have, with a log ratio of
     document frequencies of ``min_weight`` or more. ``prior``: the share of toxic texts where the scores are used."""
     rows = [(fold(t).split(), int(y)) for t, y in zip(texts, labels, strict=True)]
@@ -108,9 +119,8 @@ def learn(texts: Iterable[str | None], labels: Iterable[int], *, prior: float |
     toxic = Counter(e for words, y in rows if y for e in {e for w in set(words) for e in _entries(w)})
     toxic = {e: n for e, n in toxic.items() if n >= least}  # clean texts are only asked about these
     clean = Counter(e for words, y in rows if not y for e in {e for w in set(words) for e in _entries(w) if e in toxic})
-    weighed = ((e, math.log((a + 0.5) / (n_toxic + 1) / (clean[e] + 0.5) * (n_clean + 1)), a) for e, a in toxic.items())
-    heavy = sorted((x for x in weighed if x[1] >= min_weight), key=lambda x: (-x[1] * x[2], x[0]))[:entries]
-    out.weights = {e: round(w, 4) for e, w, _ in heavy}
+    weighed = ((e, math.log((a + 0.5) / (n_toxic + 1) / (clean[e] + 0.5) * (n_clean + 1))) for e, a in toxic.items())
+    out.weights = {e: round(w, 4) for e, w in sorted(weighed) if w >= min_weight}
     found = {0: Counter(), 1: Counter()}
     listed = {w for w in {w for words, _ in rows for w in words} if any(e in out.weights for e in _entries(w))}
     for words, y in rows:
@@ -161,7 +171,11 @@ _built: dict[int, tuple] = {}
 
 
 def toxicity(docs: DataFrame, lexicon: Lexicon, *, text: str = "text") -> Column:
-    """Column with the score of ``text``, 0 to 1; null, empty and wordless texts have that of no hit."""
+    """Column with the score of ``text``, 0 to 1; null, empty and wordless texts have that of no hit.
+
+    Texts are folded and matched whole, in time linear in their length; repeated rows score the same. An empty table
+    gives no rows, and an empty lexicon the score of no hit. The column may stand beside any others.
+    """
     key = hash((tuple(sorted(lexicon.weights.items())), tuple(lexicon.exceptions), lexicon.intercept, lexicon.slope))
 
     @F.pandas_udf("double")
