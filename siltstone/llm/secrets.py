@@ -9,8 +9,10 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,18 +32,23 @@ _IDENTIFIER = re.compile(r"[A-Za-z][A-Za-z0-9_-]{5,}")
 Span = tuple[str, int, int]
 
 
-def base_spans(text: str) -> list[Span]:
-    """Leftmost non-overlapping matches of each kind that are long enough, in code points."""
-    out: list[Span] = []
+def _base(text: str) -> list[tuple[str, int, int, int]]:
+    """Leftmost non-overlapping matches of each kind that are long enough; last, where the secret itself begins."""
+    out: list[tuple[str, int, int, int]] = []
     low = text.lower()
     if any(n in low for n in _NAMES):
-        out += [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= _ASSIGN_LEAST]
+        out += [("assign", m.start(), m.end(), m.start(2)) for m in _ASSIGN.finditer(text) if len(m[2]) >= _ASSIGN_LEAST]
     if "AKIA" in text:
-        out += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text)]
-    out += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
+        out += [("access", m.start(), m.end(), m.start()) for m in _ACCESS.finditer(text)]
+    out += [("hex", m.start(), m.end(), m.start()) for m in _HEX.finditer(text)]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def base_spans(text: str) -> list[Span]:
+    """The base matches, in code points, by start and then kind."""
+    return [s[:3] for s in _base(text)]
+
+
 class MarkovRatio:
     """Mean log-likelihood ratio per step of a string: random over ordinary. Transitions are smoothed towards the
     symbol's own frequency in their model, with the weight of ``backing`` observations."""
@@ -74,9 +81,9 @@ def learn(texts: Iterable[str | None], *, drawn: int = 3000, seed: int = 7) -> M
     ordinary: list[str] = []
     for t in texts:
         text, at = t or "", 0
-        for _, start, end in base_spans(text):
+        for _, start, end, value in _base(text):
             ordinary += _IDENTIFIER.findall(text[at:start])
-            secret.append(text[max(start, end - 40) : end])
+            secret.append(text[value:end])
             at = max(at, end)
         ordinary += _IDENTIFIER.findall(text[at:])
     return MarkovRatio(secret, ordinary)
@@ -85,9 +92,11 @@ def learn(texts: Iterable[str | None], *, drawn: int = 3000, seed: int = 7) -> M
 def all_spans(text: str, ratio: MarkovRatio, threshold: float) -> list[Span]:
     """Base spans, and candidate runs that touch none of them and are random by the models."""
     base = base_spans(text)
+    starts, reach = [s for _, s, _ in base], list(accumulate((e for _, _, e in base), max))
     more: list[Span] = []
     for m in _CANDIDATE.finditer(text):
-        if ratio(m[0]) > threshold and not any(s < m.end() and m.start() < e for _, s, e in base):
+        before = bisect_left(starts, m.end())  # base spans that begin before the run ends
+        if (not before or reach[before - 1] <= m.start()) and ratio(m[0]) > threshold:
             more.append(("markov", m.start(), m.end()))
     return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]))) if more else base
 
@@ -102,7 +111,8 @@ def learn_from(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", r
 def secret_spans(docs: DataFrame, ratio: MarkovRatio, *, text: str = "text", threshold: float = 1.0) -> Column:
     """Column ``array<struct<kind, start, end>>`` of each whole text's spans by start, then kind; ends exclusive.
 
-    Null and empty texts have none. Texts are scanned one by one; repeated rows give repeated results.
+    Null and empty texts have none. Texts are scanned one by one and whole, in time linear in their length; repeated
+    rows give repeated results, an empty table none. The column may stand beside any others.
     """
     weights = ratio.ratio
     kind = "array<struct<kind: string, start: long, end: long>>"
