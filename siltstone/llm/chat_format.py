@@ -103,13 +103,14 @@ def _spans(turns: list[Turn], template: Template, learn_roles: tuple[str, ...],
 def format_chats(rows: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", template: Template = chatml) -> DataFrame:
     """``conv_id, formatted, turn_spans, loss_spans`` of each conversation; spans are ``array<struct<start, end>>``.
 
-    Turns go by ``turn``, ties by role and text; null roles and texts are empty, null turns come first, and rows
-    without a ``conv_id`` are one conversation. Repeated rows are turns of their own. Rows reach Python sorted and
-    in batches, so that only the conversation at hand is in memory, which as one formatted text has to fit.
-    Other columns are ignored; an empty table gives no rows.
+    Turns go by ``turn``, ties by role and text; null roles and texts are empty, null turns come first, and each row
+    without a ``conv_id`` is a conversation of its own. Repeated rows are turns of their own. Rows reach Python sorted and
+    in batches, so that only the conversation at hand is in memory, which as one formatted text has to fit, however
+    long its texts. Other columns are ignored; an empty table gives no rows.
     """
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    own = rows.select(F.col(conv_id).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    alone = F.when(F.col(conv_id).isNull(), F.monotonically_increasing_id()).otherwise(-1)
+    own = rows.select(F.col(conv_id).cast("long").alias("conv"), alone.alias("alone"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, turns, begun = None, [], False
@@ -117,7 +118,7 @@ def format_chats(rows: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn
         def done(out: list) -> None:
             if begun:
                 formatted, spans, loss = render_spans(turns, template)
-                out.append((key, formatted, [{"start": a, "end": b} for a, b in spans], [{"start": a, "end": b} for a, b in loss]))
+                out.append((key[0], formatted, [{"start": a, "end": b} for a, b in spans], [{"start": a, "end": b} for a, b in loss]))
 
         def batch_of(out: list) -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
@@ -126,10 +127,10 @@ def format_chats(rows: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn
 
         for batch in batches:
             out: list = []
-            for conv, r, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if not begun or conv != key:
+            for conv, alone, _, r, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not begun or (conv, alone) != key:
                     done(out)
-                    key, turns, begun = conv, [], True
+                    key, turns, begun = (conv, alone), [], True
                 turns.append((r, t))
             yield batch_of(out)
         last: list = []
@@ -137,7 +138,7 @@ def format_chats(rows: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn
         yield batch_of(last)
 
     schema = "conv_id long, formatted string, turn_spans array<struct<start: long, end: long>>, loss_spans array<struct<start: long, end: long>>"
-    return own.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").mapInArrow(run, schema)
+    return own.repartition("conv", "alone").sortWithinPartitions("conv", "alone", "turn", "role", "text").mapInArrow(run, schema)
 
 
 def parse(formatted: str) -> list[Turn]:
