@@ -57,6 +57,12 @@ class PieceIds(dict):
         marked = all("<" in x for x in self.special)
         probe = "it's l'été 42!? naïve-straße's 'll x''s a1b2 <|x|> ÀÉ"
         self.plain = marked and all(self._split(w) == self._whole(w) for w in probe.split())
+        spaced = f" {probe}\n\n{probe}\t  x"
+        self.by_runs = self._whole(spaced) == b"".join(self._whole(w) for w in spaced.split())
+
+    def of(self, text: str) -> bytes:
+        """Ids of a whole text: run by run if the tokenizer passes over white space, else as it is."""
+        return b"".join(map(self.__getitem__, text.encode().split())) if self.by_runs else self._whole(text)
 
     def _whole(self, run: str) -> bytes:
         return _packed(self.tokenizer.encode(run, add_special_tokens=False).ids)
@@ -151,8 +157,8 @@ def pack(
     A document is the tokenizer's ids of its whole text (null: empty) and then ``end_id``, so empty texts
     still give one token. Documents above ``capacity`` fill sequences of their own first. Sequences hold
     ``capacity`` tokens but for those of a block's remainder, which hold powers of two. Runs between ASCII
-    white space are tokenised one by one and remembered: the vocabulary's own splitting never crosses white
-    space. Rows that share an id are packed each; other columns are ignored. An empty table gives no rows.
+    white space are tokenised one by one and remembered where a probe shows that the tokenizer passes over white
+    space; texts go to other tokenizers whole. A very long text is tokenised in one task. Rows that share an id are packed each; other columns are ignored. An empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     key = hash(tokenizer_json)
@@ -163,7 +169,7 @@ def pack(
         if key not in _built:
             _built.clear()
             _built[key] = PieceIds(held.value, cache_runs)
-        ids_of = _built[key].__getitem__
+        ids_of = _built[key].of
         number = TaskContext.get().partitionId() * _PER_TASK
         names: list = []
         ids: list[bytes] = []
@@ -204,7 +210,7 @@ def pack(
 
         for batch in batches:
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                body = b"".join(map(ids_of, (t.as_py() or "").encode().split())) + end
+                body = ids_of(t.as_py() or "") + end
                 names.append(name)
                 ids.append(body)
                 waiting += len(body) // 4
