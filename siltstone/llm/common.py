@@ -34,7 +34,8 @@ class Scratch:
     """Tables written to the shared folder during one call of an operator.
 
     ``keep(df)`` cuts the lineage: it writes Parquet and rereads it. ``drop(table)`` deletes one that is no
-    longer needed; what the returned DataFrame reads has to stay, and lies under one folder per call.
+    longer needed; what the returned DataFrame reads has to stay, and lies under one folder per call, until
+    ``clear()`` deletes that.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -49,11 +50,16 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
         for t in tables:
             if path := self.paths.pop(id(t), None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                self._delete(path)
+
+    def clear(self) -> None:
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def words_of(text: Column) -> Column:

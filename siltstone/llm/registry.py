@@ -2,31 +2,23 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.llm import secrets
 from siltstone.llm.chat_format import format_chats, read_back
 from siltstone.llm.common import held_out, read_table
 from siltstone.llm.decontamination import find_overlaps
-from siltstone.llm import secrets
 from siltstone.llm.language_id import identify, sample_texts
 from siltstone.llm.line_dedup import dedup_lines
+from siltstone.llm.oracles import ORACLES
 from siltstone.llm.packing import pack
 from siltstone.llm.quality import quality
+from siltstone.llm.settings import TOXIC_FROM, tokenizer_file
 from siltstone.llm.simhash import near_duplicates
 from siltstone.llm.token_counts import count_tokens
 from siltstone.llm.toxicity import learn_from, toxicity
 
-#: Scores from which a document counts as toxic.
-TOXIC_FROM = 0.7
-
-
-def tokenizer_file(name: str) -> str:
-    with open(public_tokenizers.path(name), encoding="utf-8") as f:
-        return f.read()
-
-
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, tokenizer_file("byte_bpe_50k.tiktoken")).drop("text")
@@ -89,7 +81,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus pipeline; its last table without the token ids themselves."""
+    """The corpus pipeline; its last table is the packed pieces with their token ids."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
@@ -114,4 +106,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

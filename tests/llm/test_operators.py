@@ -218,10 +218,10 @@ def test_decontamination_of_items_under_the_window(spark):
     from itertools import combinations
 
     rows, bench = [], []
-    for n in (9, 10, 11, 12):
-        item = VOCABULARY[20 * n : 20 * n + n]
+    for n in range(1, 13):
+        item = [f"{w}{n}" for w in VOCABULARY[20 * n : 20 * n + n]]
         bench.append((n, " ".join(item)))
-        for gone in combinations(range(n), 1 if n == 9 else 2):
+        for gone in combinations(range(n), n // 5):  # n // 5 is the most that leaves 0.8
             rows.append((100 * len(rows) + n, " ".join(["before", *("changed" if i in gone else w for i, w in enumerate(item)), "after"])))
     docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
     for bound in (500_000, 0):

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from siltstone.llm import chat_format, decontamination, language_id, line_dedup, packing, secrets, simhash, toxicity
+from siltstone.llm import chat_format, decontamination, language_id, packing, secrets, simhash, toxicity
 from siltstone.llm.token_counts import LongestMatch, WordLengths
 
 WORDS = st.text(alphabet="abé #1.A", max_size=12)
@@ -136,22 +136,26 @@ def test_suffix_automaton_and_parse_equal_brute_force():
     parser = language_id.CrossParser(samples)
     draw = random.Random(5)
     texts = ["", "abra", "zyz lorem", "!!", "AbRaCa  dabra"] + ["".join(draw.choices("abrkdz yxlorem", k=draw.randint(1, 60))) for _ in range(40)]
-    rates, letters = parser.parse(texts, segment=16)
+    texts += ["".join(draw.choices("abrkdz yxloremñ汉字Ж-", k=n)) for n in (300, 700, 1500)] + ["abracadabra " * 60, "q" * 90]
     fold = lambda t: "".join(map(chr, parser._symbols([t])[0]))
     known = [fold(samples[k]) for k in parser.languages]
-    for t, row, has in zip(texts, rates, letters, strict=True):
-        s = fold(t)
-        for k, rate in zip(range(3), row, strict=True):
-            count = 0
-            for part in (s[i : i + 16] for i in range(0, len(s), 16)):
-                phrase, count = "", count + 1
-                for c in part:
-                    if phrase + c in known[k]:
-                        phrase += c
-                    else:
-                        phrase, count = (c if c in known[k] else ""), count + 1
-            assert round(rate * max(1, len(s)) / parser.scale[k]) == count
-        assert has == any(c.isalpha() for c in t)
+    want = []
+    for t in texts:
+        s, row = fold(t), []
+        for k in range(3):
+            phrase, count = "", 1 if s else 0
+            for c in s:
+                if phrase + c in known[k]:
+                    phrase += c
+                else:
+                    phrase, count = (c if c in known[k] else ""), count + 1
+            row.append(count)
+        want.append(row)
+    for segment in (4, 16, 1024):
+        rates, letters = parser.parse(texts, segment=segment)
+        for t, row, own, has in zip(texts, rates, want, letters, strict=True):
+            assert [round(r * max(1, len(fold(t))) / k) for r, k in zip(row, parser.scale, strict=True)] == own
+            assert has == any(c.isalpha() for c in t)
 
 
 def test_base_spans_equal_the_patterns():
@@ -186,6 +190,35 @@ def test_folding_and_exceptions():
     assert toxicity.learn([], []).weights == {}
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["idiot", "idiots", "proof", "scumbag", "scum", "nice", "day", "vile"]), max_size=25))
+def test_burden_equals_brute_force(words):
+    lexicon = toxicity.Lexicon({" idiot ": 3.0, " idio": 2.0, " scum": 4.0, " vile ": 1.5, " scumbag ": 5.0}, [" idiot proof ", " vile day ", " day nice "])
+    folded = f" {' '.join(words)} " if words else " "
+    hidden, at = set(), 0
+    for phrase in lexicon.exceptions:
+        hidden |= {p + k for p in range(len(folded)) if folded.startswith(phrase, p) for k in range(len(phrase) - 1)}  # the last space is the next word's
+    total = 0.0
+    for w in words:
+        heavy = [v for e, v in lexicon.weights.items() if f" {w} ".startswith(e)]
+        total += max(heavy, default=0.0) if at not in hidden else 0.0
+        at += len(w) + 1
+    assert lexicon.burden(lexicon.automaton(), folded) == pytest.approx(total / max(1, len(words)) ** lexicon.power)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["deadbeef" * 3, "AKIA" + "Q7" * 9, "token=", "qZ8xK2mN7vB4tR9wL5yH", "tioningeringthe" * 2, " ", "é", "password: "]), max_size=12).map("".join))
+def test_markov_spans_equal_brute_force(text):
+    ratio = secrets.learn(["thing tioning ering the restinging otherwise " * 20])
+    base = secrets.base_spans(text)
+    more = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        steps = [ratio.ratio.get(a + b, 0.0) for a, b in zip(m[0], m[0][1:])]
+        if sum(steps) / len(steps) > 1.0 and not any(a < m.end() and m.start() < b for _, a, b in base):
+            more.append(("markov", m.start(), m.end()))
+    assert secrets.all_spans(text, ratio, 1.0) == sorted(base + more, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+
 @given(st.text(alphabet="<|\\im_endstart>aé\n", max_size=40))
 def test_escaping_is_reversible(text):
     assert chat_format.unescape(chat_format.escape(text)) == text and "<|" not in chat_format.escape(text)
@@ -225,20 +258,3 @@ def test_long_conversations_are_rendered_from_the_first_turn():
         chat_format.render_spans(turns, far)
     numbered.turnwise = True  # which is not true
     assert chat_format.render_spans(turns, numbered)[0] == numbered(turns)
-
-
-def test_bands_find_similar_lines_and_edges_are_exact():
-    draw = random.Random(7)
-    make = lambda n: " ".join("".join(draw.choices("abcdefgh", k=draw.randint(2, 9))) for _ in range(n))
-    lines = [make(40) for _ in range(300)]
-    near = [x[:-20] + "ñ" + x[-19:] for x in lines]
-    raw = [x.encode() for x in lines + near]
-    keys = line_dedup.band_keys(b"".join(raw), np.cumsum([len(x) for x in raw]))
-    same = (keys[:300] == keys[300:]).any(axis=1)
-    assert same.mean() > 0.99
-    alone = line_dedup.band_keys(raw[450], np.array([len(raw[450])]))
-    assert (alone[0] == keys[450]).all()
-    some = list(enumerate(lines[:8] + near[:8]))
-    jaccard = lambda a, b: len(line_dedup._shingles(a) & line_dedup._shingles(b)) / len(line_dedup._shingles(a) | line_dedup._shingles(b))
-    every = [(i, j) for i, a in some for j, b in some if i < j and jaccard(a, b) >= 0.8]
-    assert every and _classes(range(16), line_dedup.group_edges(some, 0.8)) == _classes(range(16), every)
