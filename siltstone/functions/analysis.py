@@ -12,11 +12,11 @@ from siltstone.functions.text import normalize, strings
 
 #: Fixed values.
 CASE_PREFIX = r"(?:N[°º]?\.?|Expte\.?|Expediente|FMZ|CUIJ|CUIT)"
-CAPS_STOP = "ANTE ESTE PARA CADA COMO PERO OTRO OTRA SOBRE DESDE HASTA ENTRE MISMO TODOS TODAS PDF DOCX DOC TXT SRT ART LRT".split()
+CAPS_STOP = ["ANTE", "ESTE", "PARA", "CADA", "COMO", "PERO", "OTRO", "OTRA", "SOBRE", "DESDE", "HASTA", "ENTRE", "MISMO", "TODOS", "TODAS", "PDF", "DOCX", "DOC", "TXT", "SRT", "ART", "LRT"]
 CASE_WORDS = ["caso", "casos", "expediente", "expedientes", "demanda", "demandas", "juicio", "juicios", "causa", "causas", "autos", "carátula", "caratula", "contestacion", "contestación", "escrito", "escritos"]
 CONCEPT_WORDS = ["qué es", "que es", "definicion", "definición", "cómo", "como se", "que dice", "qué dice", "cual es", "cuál es", "explicame", "regla", "clausula", "cláusula", "articulo", "artículo"]
 FOLLOW_WORDS = ["el segundo", "la segunda", "el tercero", "la tercera", "el siguiente", "el proximo", "el próximo", "otro", "otra", "ampliá", "amplia", "detalle", "detallá", "detalla", "más de eso", "mas de eso", "de ese", "de esa", "de ese caso", "sobre ese", "y en ese", "seguí", "segui", "continuá", "continua"]
-DRAFT_VERBS = "redacta redactar redactame hace hacé haceme escribi escribir escribime genera generar generame arma armar armame prepara preparar preparame borrador modelo".split()
+DRAFT_VERBS = ["redacta", "redactar", "redactame", "hace", "hacé", "haceme", "escribi", "escribir", "escribime", "genera", "generar", "generame", "arma", "armar", "armame", "prepara", "preparar", "preparame", "borrador", "modelo"]
 DRAFT_KINDS = ["demanda", "contestacion", "contestación", "cedula", "cédula", "oficio", "alegato", "apelacion", "apelación", "memorial", "escrito", "carta documento", "notificacion", "notificación", "recurso", "peticion", "petición", "reconvencion", "reconvención", "excepcion", "excepción", "denuncia"]
 NEGATION = r"(?:yo\s+)?no\s+(?:dije|quise\s+decir|pregunt[eé]|habl[eé])\s+(?:de\s+|sobre\s+)?([\p{L}\p{N}_\s]{3,30}?)(?:\s*[,.;\n!?]|$)"
 FOLDER_STOP = "y|para|con|el|la|los|las|un|una|de|del|al|a|en|dame|dime|buscame|buscá|busca|traeme|trae|traé|traéme|pasame|pasá|pasa|muestrame|mostrá|mostra|listame|listá|listar|redactame|redactá|quiero|necesito|quisiera|podrías|podrias|ayudame|ayudá|dice|dicen|hay|tiene|tienen|hace|hacé"
@@ -87,30 +87,99 @@ def is_case_file(filename: Column) -> Column:
     return F.coalesce(filename, F.lit("")).rlike("(?iu)" + CASE_FILE)
 
 
+def _grams(text: Column, size: int) -> Column:
+    """All runs of ``size`` characters."""
+    last = F.length(text) - size
+    return F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substring(text, i + 1, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def _holding(parts: DataFrame, wholes: DataFrame, part: str, whole: str) -> DataFrame:
+    """Rows of both where the text ``part`` stands in the text ``whole``. They meet by the first three characters of
+    the part, or all that it has, so that no row meets all others."""
+    size = F.least(F.lit(3), F.length(part))
+    own = parts.where(F.length(part) > 0).withColumn("__gram", F.substring(F.col(part), F.lit(1), size))
+    other = wholes.withColumn("__key", F.explode(F.array_distinct(F.concat(*(_grams(F.col(whole), n) for n in (1, 2, 3))))))
+    return own.join(other, F.col("__gram") == F.col("__key")).where(F.contains(F.col(whole), F.col(part))).drop("__gram", "__key")
+
+
+#: Folders up to which the similarity ratio is worked out for each request that nothing else resolves.
+MAX_FOLDERS = 100_000
+
+
 def match_folder(asked: DataFrame, folders: DataFrame) -> DataFrame:
     """``qid, raw, folder, level`` for ``asked (qid, raw)`` against ``folders (folder)``.
 
     Rules in order, the shortest folder first within one: 1 equal, 2 either holds the other, 3 a word of the
     request is a word of the folder, 4 is part of it, 5 similar by ratio 0.6 or more, else 6 the request itself.
+    Rules 1 to 4 are joins by text, token or three characters; the ratio is left for requests that none of them
+    resolves, and refused for over ``MAX_FOLDERS`` folders.
     """
     f = folders.select("folder", normalize(F.col("folder")).alias("fn")).distinct()
-    a = asked.select("qid", "raw", normalize(F.col("raw")).alias("rn"))
-    met = a.join(f)  # the folder list is the small side: distinct top folders
-    tokens = F.filter(F.split("rn", " "), lambda t: F.length(t) >= 3)
-    place = lambda cond: F.array_min(F.filter(F.transform(tokens, lambda t, i: F.when(cond(t), i)), lambda i: i.isNotNull()))
-    word = place(lambda t: F.array_contains(F.split("fn", " "), t))
-    part = place(lambda t: F.contains(F.col("fn"), t))
+    a = asked.select("qid", normalize(F.col("raw")).alias("rn")).where("rn <> ''")
+    rank = lambda level, at, by: F.struct(F.lit(level).alias("level"), at.cast("int").alias("at"), by.cast("double").alias("by"), F.col("folder").alias("folder"))
+    zero, size = F.lit(0), F.length("folder")
+    found = a.join(f, F.col("rn") == F.col("fn")).select("qid", rank(1, zero, size).alias("r"))
+    for part, whole in (("rn", "fn"), ("fn", "rn")):
+        rows = _holding(a, f, part, whole) if part == "rn" else _holding(f, a, part, whole)
+        found = found.unionAll(rows.select("qid", rank(2, zero, size).alias("r")))
+    tokens = a.select("qid", F.posexplode(F.split("rn", " ")).alias("at", "token")).where(F.length("token") >= 3)
+    words = f.select("folder", F.explode(F.split("fn", " ")).alias("word"))
+    found = found.unionAll(tokens.join(words, F.col("token") == F.col("word")).select("qid", rank(3, F.col("at"), size).alias("r")))
+    found = found.unionAll(_holding(tokens, f, "token", "fn").select("qid", rank(4, F.col("at"), size).alias("r")))
+    best = found.groupBy("qid").agg(F.min("r").alias("b"))
 
     @F.pandas_udf("double")
     def ratio(rn: pd.Series, fn: pd.Series) -> pd.Series:
         best = lambda r, c: max((difflib.SequenceMatcher(None, r, x).ratio() for x in [c, *c.split()]), default=0.0)
         return pd.Series([best(r, c) for r, c in zip(rn, fn, strict=True)])
 
-    met = met.select("qid", "raw", "folder", "rn", "fn", word.alias("word"), part.alias("part"), ratio("rn", "fn").alias("ratio"))
-    level = F.when(F.col("fn") == F.col("rn"), 1).when(F.contains("fn", "rn") | F.contains("rn", "fn"), 2).when(F.col("word").isNotNull(), 3).when(F.col("part").isNotNull(), 4).when(F.col("ratio") >= 0.6, 5)
-    rank = F.struct(level.alias("level"), F.coalesce(F.when(level == 3, F.col("word")), F.when(level == 4, F.col("part")), F.lit(0)).alias("at"), F.when(level == 5, -F.col("ratio")).otherwise(F.length("folder").cast("double")).alias("by"), F.col("folder").alias("folder"))
-    best = met.where(level.isNotNull() & (F.col("rn") != "")).groupBy("qid").agg(F.min(rank).alias("b"))
-    return asked.join(best, "qid", "left").select("qid", "raw", F.coalesce("b.folder", "raw").alias("folder"), F.coalesce("b.level", F.lit(6)).alias("level"))
+    open_ones = a.join(best.select(F.col("qid").alias("done")), F.col("qid") == F.col("done"), "left_anti")
+    few = f.limit(MAX_FOLDERS + 1).count() <= MAX_FOLDERS
+    if not few and not open_ones.isEmpty():
+        raise ValueError(f"more than {MAX_FOLDERS} folders to compare with each request")
+    similar = open_ones.join(F.broadcast(f) if few else f).select("qid", "folder", ratio("rn", "fn").alias("ratio")).where("ratio >= 0.6")
+    similar = similar.groupBy("qid").agg(F.min(rank(5, zero, -F.col("ratio"))).alias("b"))
+    return asked.join(best.unionAll(similar), "qid", "left").select("qid", "raw", F.coalesce("b.folder", "raw").alias("folder"), F.coalesce("b.level", F.lit(6)).alias("level"))
+
+
+def named_folder(texts: DataFrame, folders: DataFrame) -> DataFrame:
+    """``qid, folder`` of ``texts (qid, t)`` in which a known folder of three or more characters stands as whole words;
+    the longest, then the first by name. They meet by the folder's first word."""
+    f = folders.select("folder", normalize(F.col("folder")).alias("fn")).where(F.length("fn") >= 3).distinct()
+    first = lambda text: F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    f = f.withColumn("key", F.get(first(F.col("fn")), F.lit(0)))
+    t = texts.select("qid", normalize(F.col("t")).alias("tn")).withColumn("word", F.explode(F.array_distinct(first(F.col("tn")))))
+    whole = F.regexp_like("tn", F.concat(F.lit(_LEFT + r"\Q"), F.col("fn"), F.lit(r"\E(?![\p{L}\p{N}_])")))
+    met = t.join(f, F.col("word") == F.col("key")).where(whole)
+    return met.groupBy("qid").agg(F.min(F.struct((-F.length("folder")).alias("minus"), "folder")).alias("b")).select("qid", F.col("b.folder").alias("folder"))
+
+
+def find_folder(texts: DataFrame, folders: DataFrame) -> DataFrame:
+    """``qid, folder`` of ``texts (qid, t)``: the folder that a phrase names, resolved against the known ones, else a known one
+    that the text has; null if neither."""
+    phrase = texts.select("qid", "t", folder_phrase(F.col("t")).alias("raw"))
+    resolved = match_folder(phrase.where("raw is not null").select("qid", "raw"), folders).select("qid", "folder")
+    named = named_folder(phrase.where("raw is null").select("qid", "t"), folders)
+    return texts.select("qid").join(resolved.unionAll(named), "qid", "left")
+
+
+def analyze_queries(turns: DataFrame, folders: DataFrame) -> DataFrame:
+    """Everything that is read off each of ``turns (conv, turn, text)``, with what earlier turns of its conversation hand on:
+    ``conv, turn, text, text_semantic, carpeta, expedientes, nombres, intent, follow_up, negations``.
+
+    Blank texts ask nothing: they have empty fields, neither take nor hand on anything, and the context passes them by.
+    """
+    rows = turns.select("conv", "turn", F.trim(F.coalesce("text", F.lit(""))).alias("t")).withColumn("qid", F.struct("conv", "turn"))
+    asked = rows.where("t <> ''")
+    t = F.col("t")
+    own = asked.select("qid", "conv", "turn", "t", case_numbers(t).alias("expedientes"), caps_names(t).alias("nombres"), negations(t).alias("negated"))
+    own = own.join(find_folder(asked.select("qid", "t"), folders).withColumnRenamed("folder", "carpeta"), "qid")
+    carried = fold_context(own.select("conv", "turn", "carpeta", "expedientes", "nombres", "negated"))
+    out = own.select("conv", "turn", "t", F.col("negated").alias("negations")).join(carried, ["conv", "turn"])
+    out = out.select("conv", "turn", t.alias("text"), semantic_text(t, F.col("expedientes")).alias("text_semantic"), "carpeta", "expedientes", "nombres", intent(t).alias("intent"), follow_up(t).alias("follow_up"), "negations")
+    none = F.array().cast("array<string>")
+    blank = rows.where("t = ''").select("conv", "turn", t.alias("text"), t.alias("text_semantic"), F.lit(None).cast("string").alias("carpeta"), none.alias("expedientes"), none.alias("nombres"), F.lit("mixto").alias("intent"), F.lit(False).alias("follow_up"), none.alias("negations"))
+    return out.unionAll(blank)
 
 
 def fold_context(turns: DataFrame) -> DataFrame:

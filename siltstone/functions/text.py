@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.schema import POINT_NAMESPACE, PREVIEW_CHARS, WORDS_PER_CHUNK
 
-_ACCENTED = "áàäâãåéèëêíìïîóòöôõúùüûñçýÿ"
-_PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
+
+
+def _single_folds() -> tuple[str, str]:
+    """Lower-case letters of the Latin, full-width and superscript ranges whose compatibility form, without marks, is
+    one other character."""
+    ranges = (range(0xA0, 0x250), range(0x1E00, 0x1F00), range(0xFF01, 0xFF5F), range(0x2070, 0x20A0))
+    plain = {chr(c): "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)) for r in ranges for c in r}
+    kept = {c: x for c, x in plain.items() if x != c and len(x) == 1 and c == c.lower()}
+    return "".join(kept), "".join(kept.values()).lower()
+
+
+_MARKED, _PLAIN = _single_folds()
+#: Ligatures.
+_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬆ": "st"}
 
 #: Fixed values.
-KEYWORD_STOP = """de la el los las un una que en por para con sin revisa revisar buscar busca buscá dame dime quiero
-necesito saber informacion informar archivo archivos documento documentos algo sobre del al es son hay favor dice este
-esta estas estos como cuando donde cual cuales hacer haces cita citar transcribir copiar texto dato datos""".split()
+KEYWORD_STOP = [
+    "de", "la", "el", "los", "las", "un", "una", "que", "en", "por", "para", "con", "sin", "revisa", "revisar",
+    "buscar", "busca", "buscá", "dame", "dime", "quiero", "necesito", "saber", "informacion", "informar", "archivo",
+    "archivos", "documento", "documentos", "algo", "sobre", "del", "al", "es", "son", "hay", "favor", "dice", "este",
+    "esta", "estas", "estos", "como", "cuando", "donde", "cual", "cuales", "hacer", "haces", "cita", "citar",
+    "transcribir", "copiar", "texto", "dato", "datos",
+]
 TRIVIAL = ["hola", "buenas", "buen dia", "buenos dias", "buenas tardes", "buenas noches", "gracias", "muchas gracias", "chau", "adios", "ok", "listo", "perfecto", "genial", "dale", "si", "no", "ola"]
 
 
@@ -22,9 +40,15 @@ def strings(values: list[str]) -> Column:
 
 
 def normalize(text: Column) -> Column:
-    """Lower case, without the accents of Latin letters, white space as single spaces, trimmed."""
-    flat = F.translate(F.lower(F.coalesce(text, F.lit(""))), _ACCENTED, _PLAIN)
-    return F.trim(F.regexp_replace(flat, r"(?U)\s+", " "))
+    """Lower case, compatibility forms and accents of Latin letters undone, whether composed or not, white space as
+    single spaces, trimmed."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    flat = F.translate(low, _MARKED, _PLAIN)
+    odd = flat.rlike(r"[\p{M}\x{FB00}-\x{FB06}]")
+    bare = F.regexp_replace(flat, r"\p{M}+", "")
+    for sign, letters in _LIGATURES.items():
+        bare = F.replace(bare, F.lit(sign), F.lit(letters))
+    return F.trim(F.regexp_replace(F.when(odd, bare).otherwise(flat), r"(?U)\s+", " "))
 
 
 def words(text: Column) -> Column:
@@ -89,19 +113,22 @@ def preview(text: Column) -> Column:
     return F.substring(F.trim(F.coalesce(text, F.lit(""))), 1, PREVIEW_CHARS)
 
 
-def char_counts(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.transform(strings(list("abcdefghijklmnopqrstuvwxyz0123456789")), lambda c: (F.length(low) - F.length(F.replace(low, c, F.lit("")))).cast("double"))
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def with_char_vector(rows: DataFrame, text: Column, name: str = "vector") -> DataFrame:
+    """``rows`` with the character vector of a text: how often each of 36 letters and digits stands in it, as a unit
+    vector. The lower-case text and the norm are worked out once a row."""
+    low = rows.withColumn("__low", F.lower(F.coalesce(text, F.lit(""))))
+    count = lambda c: (F.length("__low") - F.length(F.replace("__low", F.lit(c), F.lit("")))).cast("double")
+    counted = low.withColumn("__counts", F.array(*map(count, LETTERS)))
+    normed = counted.withColumn("__norm", F.sqrt(dot(F.col("__counts"), F.col("__counts"))))
+    scaled = F.transform("__counts", lambda x: x / F.when(F.col("__norm") > 0, F.col("__norm")).otherwise(1.0))
+    return normed.withColumn(name, scaled).drop("__low", "__counts", "__norm")
 
 
-def unit(vector: Column) -> Column:
-    """The vector over its Euclidean norm; a zero vector stays."""
-    norm = F.sqrt(dot(vector, vector))
-    return F.transform(vector, lambda x: x / F.when(norm > 0, norm).otherwise(F.lit(1.0)))
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 def epoch_seconds(text: Column) -> Column:
@@ -141,6 +168,21 @@ def content_text(parts: Column) -> Column:
     return F.array_join(F.transform(own, lambda p: p["text"]), "\n")
 
 
+def forwarded_parts(parts: Column) -> Column:
+    """What of a multi-part message (``array<struct<type, text, image_url: struct<url, detail>>>``) is passed on: text
+    parts with a text, and image parts with a valid address, whose detail is kept if it is auto, low or high."""
+    none = F.lit(None).cast("string")
+    is_text = lambda p: (p["type"] == "text") & p["text"].isNotNull()
+    is_image = lambda p: (p["type"] == "image_url") & valid_image_url(p["image_url"]["url"])
+
+    def safe(p: Column) -> Column:
+        image = ~is_text(p)
+        detail = F.when(image & p["image_url"]["detail"].isin("auto", "low", "high"), p["image_url"]["detail"])
+        return F.struct(p["type"].alias("type"), F.when(image, none).otherwise(p["text"]).alias("text"), F.when(image, p["image_url"]["url"]).alias("url"), detail.alias("detail"))
+
+    return F.transform(F.filter(parts, lambda p: F.coalesce(is_text(p) | is_image(p), F.lit(False))), safe)
+
+
 def valid_image_url(url: Column) -> Column:
     """A web address with a host, or a base64 data URL whose first bytes are of the image type that it names."""
     web = F.lower(url).rlike(r"^https?://") & (F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")) != "")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions import analysis, text
+from siltstone.functions import analysis, models, text
 from siltstone.functions.text import strings
 from siltstone.operators import conversation, ranking, store
+from siltstone.operators.index import ChunkIndex
 from siltstone.plans import cases
 from siltstone.plans.cases import spark_frame, sql_values
 from siltstone.streaming.ingest import stream_ingest
+from siltstone.tables import shared_dir
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -48,6 +51,21 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.corpus_files(_table(spark, sf_dir, "documents"))
 
 
+def _stored(spark: SparkSession, sf_dir: str, table: str = "chunks") -> DataFrame:
+    """A table of the index over ``documents``, built at its first use and read from then on. The index lies in the shared
+    folder under a name that changes with the files of ``documents``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/documents.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    status = [(str(f.getPath()), f.getLen(), f.getModificationTime()) for f in files.listStatus(path)]
+    index = ChunkIndex(spark, f"{shared_dir(spark)}/index-{hashlib.sha1(repr(sorted(status)).encode()).hexdigest()[:20]}")
+    needed = ["postings" + table.removeprefix("lengths"), table] if table.startswith("lengths") else [table]
+    for name in needed:
+        if not index.versions(name).done():
+            plain = name in ("postings", "lengths")  # these need no path
+            index.build(_table(spark, sf_dir, "documents").select("doc_id", "text") if plain else _files(spark, sf_dir), only=name)
+    return index.table(table)
+
+
 _FILES = """files AS (SELECT doc_id, '/'||source||'/'||lang||'/doc_'||doc_id||'.txt' AS path, source AS carpeta_top,
  'doc_'||doc_id||'.txt' AS filename, text, 1.7e9 + doc_id AS mtime, length(text) AS size FROM documents)"""
 _CHUNKS = (
@@ -141,92 +159,45 @@ _UNIT = "list_transform({0}, lambda x: x / CASE WHEN list_dot_product({0}, {0})
 
 @_query(_with(_CHUNKS, "counted AS (SELECT path, page, " + _COUNTS.format("text") + " AS c FROM chunks)", "u AS (SELECT path, page, " + _UNIT.format("c") + " AS v FROM counted)") + "SELECT path, page, len(v) AS dim, round(v[1], 6) AS v_a, round(v[5], 6) AS v_e, round(v[20], 6) AS v_t, round(list_dot_product(v, v), 6) AS norm FROM u")
 def char_encoder(spark, sf_dir):
-    counted = _chunks(spark, sf_dir).select("path", "page", text.char_counts(F.col("text")).alias("c"))
-    u = counted.select("path", "page", text.unit(F.col("c")).alias("v"))
+    u = text.with_char_vector(_chunks(spark, sf_dir).select("path", "page", "text"), F.col("text"), "v")
     at = lambda i: F.round(F.get("v", F.lit(i)), 6)
     return u.select("path", "page", F.size("v").cast("long").alias("dim"), at(0).alias("v_a"), at(4).alias("v_e"), at(19).alias("v_t"), F.round(text.dot(F.col("v"), F.col("v")), 6).alias("norm"))
 
 
 # --- vector search ---------------------------------------------------------------------------------------------
 
-_SCORED = "s AS (SELECT q.vec_id AS qid, e.vec_id AS id, e.label, q.label AS q_label, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5)"
+_TOP = "SELECT qid, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM s {}) WHERE rank <= 20"
+
+#: Of the whole table every hundredth id is a query, against all rows.
+_SCORED = "s AS (SELECT q.vec_id AS qid, e.vec_id AS id, e.label, q.label AS q_label, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)"
+_BLOCK_QUERIES = 256
 
 
 def _embedded(spark, sf_dir):
     e = _table(spark, sf_dir, "embeddings")
-    asked = e.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
     return asked, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
 
-_TOP = "SELECT qid, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM s {}) WHERE rank <= 20"
-
-
 @_query(_with(_SCORED) + _TOP.format(""))
 def vector_topk(spark, sf_dir):
-    return ranking.top_k(*_embedded(spark, sf_dir), 20)
+    return ranking.top_k(*_embedded(spark, sf_dir), 20, block=_BLOCK_QUERIES)
 
 
 @_query(_with(_SCORED) + _TOP.format("WHERE label = q_label"))
 def vector_topk_scoped(spark, sf_dir):
-    return ranking.top_k(*_embedded(spark, sf_dir), 20, F.col("label") == F.col("q_label"))
+    return ranking.top_k(*_embedded(spark, sf_dir), 20, F.col("label") == F.col("q_label"), block=_BLOCK_QUERIES)
 
 
-@_query(_with(_SCORED) + "SELECT label, id, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS rank FROM s WHERE qid = 0) WHERE rank <= 3")
+@_query(_with(_SCORED) + "SELECT qid, label, id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 3")
 def topk_per_label(spark, sf_dir):
-    from pyspark.sql import Window
-
-    asked, vectors = _embedded(spark, sf_dir)
-    met = vectors.join(F.broadcast(asked.where("qid = 0")))
-    scored = met.select("label", "id", F.round(text.dot(F.col("q"), F.col("vector")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where("rank <= 3").drop("rank")
-
-
-@_query(
-    _with(_SCORED)
-    + "SELECT p.pos, p.id, s.score, CAST(row_number() OVER (ORDER BY s.score DESC NULLS LAST, p.pos) AS INT) AS rank FROM (SELECT vec_id AS id, vec_id + 1 AS pos FROM embeddings WHERE vec_id < 40) p LEFT JOIN (SELECT id, score FROM s WHERE qid = 0 AND id % 3 <> 0) s USING (id)"
-)
-def rerank_pool_left(spark, sf_dir):
-    """A full-text pool with vectors for part of it: by similarity, the rest behind in the pool's order."""
-    from pyspark.sql import Window
-
-    asked, vectors = _embedded(spark, sf_dir)
-    pool = vectors.where("id < 40").select("id", (F.col("id") + 1).alias("pos"))
-    scored = vectors.where("id % 3 <> 0").join(F.broadcast(asked.where("qid = 0"))).select("id", F.round(text.dot(F.col("q"), F.col("vector")), 6).alias("score"))
-    out = pool.join(scored, "id", "left")
-    return out.select("pos", "id", "score", F.row_number().over(Window.orderBy(F.col("score").desc_nulls_last(), "pos")).alias("rank"))
-
-
-#: Of the whole table every hundredth id is a query, against all rows.
-_SCORED_ALL = "s AS (SELECT q.vec_id AS qid, e.vec_id AS id, e.label, q.label AS q_label, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)"
-_BLOCK_QUERIES = 256
-
-
-def _embedded_all(spark, sf_dir):
-    e = _table(spark, sf_dir, "embeddings")
-    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
-    return asked, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-
-
-@_query(_with(_SCORED_ALL) + _TOP.format(""))
-def vector_topk_all(spark, sf_dir):
-    return ranking.top_k(*_embedded_all(spark, sf_dir), 20, block=_BLOCK_QUERIES)
-
-
-@_query(_with(_SCORED_ALL) + _TOP.format("WHERE label = q_label"))
-def vector_topk_scoped_all(spark, sf_dir):
-    return ranking.top_k(*_embedded_all(spark, sf_dir), 20, F.col("label") == F.col("q_label"), block=_BLOCK_QUERIES)
-
-
-@_query(_with(_SCORED_ALL) + "SELECT qid, label, id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 3")
-def topk_per_label_all(spark, sf_dir):
-    return ranking.top_k(*_embedded_all(spark, sf_dir), 3, per="label", block=_BLOCK_QUERIES)
+    return ranking.top_k(*_embedded(spark, sf_dir), 3, per="label", block=_BLOCK_QUERIES)
 
 
-@_query(_with(_SCORED_ALL) + "SELECT qid, id + 1 AS pos, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM s")
-def rerank_pool_all(spark, sf_dir):
+@_query(_with(_SCORED) + "SELECT qid, id + 1 AS pos, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM s")
+def rerank_pool(spark, sf_dir):
     """The whole table as each query's pool."""
-    asked, vectors = _embedded_all(spark, sf_dir)
+    asked, vectors = _embedded(spark, sf_dir)
     return ranking.rerank(asked, vectors.withColumn("pos", F.col("id") + 1), block=_BLOCK_QUERIES)
 
 
@@ -235,74 +206,52 @@ def rerank_pool_all(spark, sf_dir):
 _TERMS = "string_split_regex(" + _NORM.format("{}") + ", '[^\\p{{L}}\\p{{N}}]+')"
 _INDEX = (
     "post AS (SELECT term, doc_id AS id, count(*) AS tf FROM (SELECT doc_id, unnest(" + _TERMS.format("text") + ") AS term FROM documents) WHERE term <> '' GROUP BY 1, 2), "
-    "asked AS (SELECT DISTINCT item_id AS qid, unnest(list_slice(list_filter(" + _TERMS.format("text") + ", lambda t: length(t) > 3), 1, 3)) AS term FROM benchmark)"
+    "asked AS (SELECT DISTINCT item_id AS qid, unnest(list_filter(" + _TERMS.format("text") + ", lambda t: length(t) >= 2)) AS term FROM benchmark)"
 )
 
 
-def _asked_terms(spark, sf_dir):
-    terms = F.filter(F.split(text.normalize(F.col("text")), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 3)
-    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.slice(terms, 1, 3)).alias("term")).distinct()
+_BM25 = (
+    "len AS (SELECT id, sum(tf) AS dl FROM post GROUP BY 1)",
+    "corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len)",
+    "df AS (SELECT term, count(*) AS df FROM post GROUP BY 1)",
+    "scored AS (SELECT qid, id, round(sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM asked JOIN post USING (term) JOIN df USING (term) JOIN len USING (id), corpus GROUP BY 1, 2)",
+)
+_BEST = "SELECT * FROM (SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM scored) WHERE rank <= 5"
+_ALL_TERMS = "SELECT qid, id FROM asked JOIN post USING (term) GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM asked a WHERE a.qid = asked.qid)"
+_INDEX_NAMED = _INDEX.replace("FROM documents)", "FROM (SELECT doc_id, 'doc_'||doc_id||'.txt '||coalesce(text, '') AS text FROM documents))")
 
 
-def _index(spark, sf_dir):
-    return ranking.postings(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+def _asked_terms(spark, sf_dir):
+    terms = F.filter(ranking.terms_of(F.col("text")), lambda t: F.length(t) >= 2)
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(terms).alias("term")).distinct()
 
 
-@_query(
-    _with(
-        _INDEX,
-        "len AS (SELECT id, sum(tf) AS dl FROM post GROUP BY 1)",
-        "corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len)",
-        "df AS (SELECT term, count(*) AS df FROM post GROUP BY 1)",
-        "scored AS (SELECT qid, id, round(sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM asked JOIN post USING (term) JOIN df USING (term) JOIN len USING (id), corpus GROUP BY 1, 2)",
-    )
-    + "SELECT * FROM (SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM scored) WHERE rank <= 5"
-)
+@_query(_with(_INDEX, *_BM25) + _BEST)
 def fts_bm25(spark, sf_dir):
-    return ranking.bm25(_index(spark, sf_dir), _asked_terms(spark, sf_dir), 5, all_terms=False)
-
-
-@_query(_with(_INDEX) + "SELECT qid, id FROM asked JOIN post USING (term) GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM asked a WHERE a.qid = asked.qid)")
-def fts_and_match(spark, sf_dir):
-    return _and_match(_index(spark, sf_dir), _asked_terms(spark, sf_dir))
+    """All terms of every item, over the texts."""
+    return ranking.bm25(_stored(spark, sf_dir, "postings"), _asked_terms(spark, sf_dir), 5, all_terms=False, length=_stored(spark, sf_dir, "lengths"))
 
 
-def _and_match(index, asked):
-    need = asked.groupBy("qid").agg(F.count("*").alias("need"))
-    hits = index.join(asked, "term").groupBy("qid", "id").agg(F.count("*").alias("n"))
-    return hits.join(need, "qid").where("n = need").select("qid", "id")
+@_query(_with(_INDEX_NAMED, *_BM25) + _BEST)
+def fts_bm25_names(spark, sf_dir):
+    """The same over file names and texts."""
+    return ranking.bm25(_stored(spark, sf_dir, "postings_named"), _asked_terms(spark, sf_dir), 5, all_terms=False, length=_stored(spark, sf_dir, "lengths_named"))
 
 
-_INDEX_ALL = (
-    "post AS (SELECT term, doc_id AS id, count(*) AS tf FROM (SELECT doc_id, unnest(" + _TERMS.format("text") + ") AS term FROM documents) WHERE term <> '' GROUP BY 1, 2), "
-    "asked AS (SELECT DISTINCT item_id AS qid, unnest(list_filter(" + _TERMS.format("text") + ", lambda t: length(t) >= 2)) AS term FROM benchmark)"
-)
-
-
-def _asked_terms_all(spark, sf_dir):
-    terms = F.filter(F.split(text.normalize(F.col("text")), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) >= 2)
-    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(terms).alias("term")).distinct()
+@_query(_with(_INDEX) + _ALL_TERMS)
+def fts_and_match(spark, sf_dir):
+    """Documents that hold all terms of an item."""
+    return ranking.and_match(_stored(spark, sf_dir, "postings"), _asked_terms(spark, sf_dir))
 
 
-@_query(
-    _with(
-        _INDEX_ALL,
-        "len AS (SELECT id, sum(tf) AS dl FROM post GROUP BY 1)",
-        "corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len)",
-        "df AS (SELECT term, count(*) AS df FROM post GROUP BY 1)",
-        "scored AS (SELECT qid, id, round(sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM asked JOIN post USING (term) JOIN df USING (term) JOIN len USING (id), corpus GROUP BY 1, 2)",
-    )
-    + "SELECT * FROM (SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM scored) WHERE rank <= 5"
-)
-def fts_bm25_all(spark, sf_dir):
-    """All terms of every item."""
-    return ranking.bm25(_index(spark, sf_dir), _asked_terms_all(spark, sf_dir), 5, all_terms=False)
+_NAMED_TERMS = "asked(qid, term) AS (VALUES (1, 'doc'), (1, '12'), (2, 'txt'), (2, 'that'), (3, 'zzzz'))"
 
 
-@_query(_with(_INDEX_ALL) + "SELECT qid, id FROM asked JOIN post USING (term) GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM asked a WHERE a.qid = asked.qid)")
-def fts_and_match_all(spark, sf_dir):
-    """Documents that hold all terms of an item."""
-    return _and_match(_index(spark, sf_dir), _asked_terms_all(spark, sf_dir))
+@_query(_with(_INDEX_NAMED.split("asked AS")[0].rstrip(", "), _NAMED_TERMS) + _ALL_TERMS)
+def fts_and_names(spark, sf_dir):
+    """Documents of which name and text together hold all terms."""
+    asked = spark_frame(spark, [(1, "doc"), (1, "12"), (2, "txt"), (2, "that"), (3, "zzzz")], "qid int, term string")
+    return ranking.and_match(_stored(spark, sf_dir, "postings_named"), asked)
 
 
 @_query(_with(_FILES) + "SELECT path FROM files WHERE list_contains(" + _TOKENS.format("path") + ", 'src1') AND list_contains(" + _TOKENS.format("path") + ", 'de')")
@@ -316,9 +265,8 @@ _KW_LIST = "['" + "', '".join(_KWS) + "']"
 
 @_query(_with(_CHUNKS) + f"SELECT path, page, CAST(len(list_filter({_KW_LIST}, lambda k: contains(lower(filename || ' ' || snippet), k))) AS INT) AS n, round(CAST(0.08 AS DOUBLE) * len(list_filter({_KW_LIST}, lambda k: contains(lower(filename || ' ' || snippet), k))), 6) AS boost FROM chunks")
 def keyword_boost(spark, sf_dir):
-    hay = F.lower(F.concat_ws(" ", "filename", "snippet"))
-    n = F.size(F.filter(strings(_KWS), lambda k: F.contains(hay, k)))
-    return _chunks(spark, sf_dir).select("path", "page", n.alias("n"), F.round(0.08 * n, 6).alias("boost"))
+    n = ranking.keyword_matches(strings(_KWS))
+    return _stored(spark, sf_dir).select("path", "page", n.alias("n"), F.round(ranking.KEYWORD_BOOST * n, 6).alias("boost"))
 
 
 _NAME_KW = "kw(kw, ord) AS (VALUES ('doc', 0), ('12', 1), ('doc 7', 2), ('txt', 3), ('zzz', 4))"
@@ -328,12 +276,12 @@ _NAME_MET = "met AS (SELECT c.*, kw, ord, row_number() OVER (PARTITION BY kw ORD
 
 @_query(_with(_CHUNKS, _NAME_KW, _NAME_MET) + "SELECT path, page, count(*) AS kw_matches, 1 + CAST(0.1 AS DOUBLE) * count(*) AS score FROM met WHERE place <= 25 GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 25")
 def filename_hits(spark, sf_dir):
-    return ranking.name_hits(_chunks(spark, sf_dir), spark_frame(spark, _NAME_ROWS, "kw string, ord int"))
+    return ranking.name_hits(_stored(spark, sf_dir), spark_frame(spark, _NAME_ROWS, "kw string, ord int"))
 
 
 @_query(_with(_CHUNKS, _NAME_KW, _NAME_MET) + "SELECT path, CAST(s.ord AS INT) AS ord FROM (SELECT path, min({'ord': ord, 'place': place}) AS s FROM met WHERE place <= 15 AND length(kw) >= 3 GROUP BY 1) ORDER BY s, path LIMIT 5")
 def files_similar(spark, sf_dir):
-    return ranking.similar_names(_chunks(spark, sf_dir), spark_frame(spark, _NAME_ROWS, "term string, ord int"))
+    return ranking.similar_names(_stored(spark, sf_dir), spark_frame(spark, _NAME_ROWS, "term string, ord int"))
 
 
 # --- fusion ----------------------------------------------------------------------------------------------------
@@ -346,47 +294,45 @@ _VECS = (
 )
 
 
-def _semantic(spark, sf_dir, k):
-    counted = _chunks(spark, sf_dir).select("point_id", "path", "page", text.char_counts(F.col("text")).alias("c"))
-    u = counted.select(F.col("point_id").alias("id"), text.unit(F.col("c")).alias("vector"))
-    asked = spark_frame(spark, [(0, _QTEXT)], "qid long, t string").select("qid", text.char_counts(F.col("t")).alias("c"))
-    return ranking.top_k(asked.select("qid", text.unit(F.col("c")).alias("q")), u, k)
-
-
-_HYBRID_NAMES = [("12", 1, 1.5), ("doc 7", 2, 1.5)]
-_HYBRID_PATHS = [("src3", 3, 1.8)]
+def _question(spark):
+    asked = spark_frame(spark, [(0, _QTEXT)], "qid long, t string")
+    return text.with_char_vector(asked, F.col("t"), "q").select("qid", "q")
+
+
+def _hybrid_sql(scope: str) -> str:
+    return (
+        _with(
+            _CHUNKS,
+            _VECS,
+            f"own AS (SELECT * FROM chunks WHERE {scope}), "
+            "h1 AS (SELECT point_id, 'semantic' AS channel, 0 AS ord, row_number() OVER (ORDER BY score DESC, point_id) AS r, score, 1.0 AS weight FROM sem WHERE point_id IN (SELECT point_id FROM own)), "
+            "terms(t, ord, w) AS (VALUES ('12', 1, 1.5), ('doc 7', 2, 1.5)), "
+            "h2 AS (SELECT point_id, 'filename:'||t AS channel, ord, row_number() OVER (PARTITION BY t ORDER BY point_id) AS r, 1.0 AS score, w AS weight FROM own, terms WHERE list_has_all(" + _TOKENS.format("filename") + ", " + _TOKENS.format("t") + ")), "
+            "h3 AS (SELECT point_id, 'expte:src3' AS channel, 3 AS ord, row_number() OVER (ORDER BY point_id) AS r, 1.0 AS score, 1.8 AS weight FROM chunks WHERE list_contains(" + _TOKENS.format("path") + ", 'src3')), "
+            "h AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3), "
+            "b AS (SELECT point_id, channel, round(score * weight, 6) AS final, ord * 1000000 + r AS place FROM h WHERE r <= 20), "
+            "best AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY final DESC, place) AS rn, min(place) OVER (PARTITION BY point_id) AS first FROM b)",
+        )
+        + "SELECT CAST(0 AS BIGINT) AS qid, point_id AS key, final, channel, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (ORDER BY final DESC, first) AS rank FROM best WHERE rn = 1) WHERE rank <= 30"
+    )
 
 
-@_query(
-    _with(
-        _CHUNKS,
-        _VECS,
-        "h1 AS (SELECT point_id, 'semantic' AS channel, 0 AS ord, row_number() OVER (ORDER BY score DESC, point_id) AS r, score, 1.0 AS weight FROM sem), "
-        "terms(t, ord, w) AS (VALUES ('12', 1, 1.5), ('doc 7', 2, 1.5)), "
-        "h2 AS (SELECT point_id, 'filename:'||t AS channel, ord, row_number() OVER (PARTITION BY t ORDER BY point_id) AS r, 1.0 AS score, w AS weight FROM chunks, terms WHERE list_has_all(" + _TOKENS.format("filename") + ", " + _TOKENS.format("t") + ")), "
-        "h3 AS (SELECT point_id, 'expte:src3' AS channel, 3 AS ord, row_number() OVER (ORDER BY point_id) AS r, 1.0 AS score, 1.8 AS weight FROM chunks WHERE list_contains(" + _TOKENS.format("path") + ", 'src3')), "
-        "h AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3), "
-        "b AS (SELECT point_id, channel, round(score * weight, 6) AS final, ord * 1000000 + r AS place FROM h WHERE r <= 20), "
-        "best AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY final DESC, place) AS rn, min(place) OVER (PARTITION BY point_id) AS first FROM b)",
-    )
-    + "SELECT CAST(0 AS BIGINT) AS qid, point_id AS key, final, channel, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (ORDER BY final DESC, first) AS rank FROM best WHERE rn = 1) WHERE rank <= 30"
-)
+@_query(_hybrid_sql("true"))
 def hybrid_3channel(spark, sf_dir):
     """Semantic, file-name and case-number channels with their weights, one list."""
-    from pyspark.sql import Window
-
-    chunks = _chunks(spark, sf_dir).select("point_id", "path", "filename")
-    sem = _semantic(spark, sf_dir, 20).select("qid", F.col("id").alias("key"), F.lit("semantic").alias("channel"), F.lit(0).alias("channel_ord"), F.col("rank").alias("rank_in"), "score", F.lit(1.0).alias("weight"))
-    parts = [sem]
-    for field, prefix, terms in (("filename", "filename:", _HYBRID_NAMES), ("path", "expte:", _HYBRID_PATHS)):
-        for term, order, weight in terms:
-            met = chunks.where(text.matches_all(text.file_tokens(F.col(field)), text.file_tokens(F.lit(term))))
-            first = met.orderBy("point_id").limit(20).withColumn("rank_in", F.row_number().over(Window.orderBy("point_id")))
-            parts.append(first.select(F.lit(0).cast("long").alias("qid"), F.col("point_id").alias("key"), F.lit(prefix + term).alias("channel"), F.lit(order).alias("channel_ord"), "rank_in", F.lit(1.0).alias("score"), F.lit(weight).alias("weight")))
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionAll(p)
-    return ranking.fuse_channels(hits).where("rank <= 30")
+    return ranking.hybrid(_question(spark), _stored(spark, sf_dir), names=("12", "doc 7"), cases=("src3",)).where("rank <= 30")
+
+
+@_query(_hybrid_sql("carpeta_top = 'src1' OR list_contains(" + _TOKENS.format("path") + ", 'src1')"))
+def hybrid_scoped(spark, sf_dir):
+    """The same within a folder: vectors and file names in its scope, case numbers everywhere."""
+    return ranking.hybrid(_question(spark), _stored(spark, sf_dir), folder="src1", names=("12", "doc 7"), cases=("src3",)).where("rank <= 30")
+
+
+@_query(_with(_CHUNKS) + "SELECT point_id, path FROM chunks WHERE carpeta_top = 'src2' OR list_contains(" + _TOKENS.format("path") + ", 'src2') OR list_has_all(" + _TOKENS.format("path") + ", ['doc', '17'])")
+def scope_filter(spark, sf_dir):
+    """A folder, or terms of the path; terms of one character don't count."""
+    return _stored(spark, sf_dir).where(ranking.scope_filter("src2", ("doc 17", "x"))).select("point_id", "path")
 
 
 _BAG = (
@@ -398,13 +344,11 @@ _BAG = (
 
 
 def _fused(spark, sf_dir):
-    from pyspark.sql import Window
-
-    chunks = _chunks(spark, sf_dir)
-    sem = _semantic(spark, sf_dir, 60).join(chunks.select(F.col("point_id").alias("id"), "path", "page"), "id")
+    chunks = _stored(spark, sf_dir)
+    sem = ranking.top_k(_question(spark), chunks.select(F.col("point_id").alias("id"), "path", "page", "vector"), 60, carry=("path", "page"))
     vector = sem.select("path", "page", F.lit("vector").alias("source"), "score", F.col("rank").cast("long").alias("ordinal"), F.lit(0).cast("long").alias("kw_matches"))
     names = ranking.name_hits(chunks, spark_frame(spark, _NAME_ROWS, "kw string, ord int"))
-    place = F.row_number().over(Window.orderBy(F.desc("kw_matches"), "path", "page")) + 1000
+    place = F.row_number().over(Window.orderBy(F.desc("kw_matches"), "path", "page")) + 1000  # at most 25 rows
     return ranking.fuse_sources(vector.unionAll(names.select("path", "page", F.lit("filename").alias("source"), "score", place.cast("long").alias("ordinal"), "kw_matches")))
 
 
@@ -434,19 +378,12 @@ def slot_merge(spark, sf_dir):
 _BLOCK = "'--- Pag. '||c.page||CASE WHEN c.page = h.page THEN ' [PAG ACTUAL]' ELSE '' END||' ---'||chr(10)||left(trim(c.snippet), 1800)"
 
 
-@_query(_with(_CHUNKS) + f"SELECT h.path, h.page, string_agg({_BLOCK}, chr(10)||chr(10) ORDER BY c.page) AS context FROM chunks h JOIN chunks c ON h.path = c.path AND c.page BETWEEN h.page - 1 AND h.page + 1 WHERE h.page = 2 AND trim(c.snippet) <> '' GROUP BY 1, 2")
-def context_window(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir)
-    hits = chunks.where("page = 2").select(F.col("point_id").alias("hid"), "path", "page")
-    return ranking.context(hits, chunks).join(hits, "hid").select("path", "page", "context")
-
-
 @_query(_with(_CHUNKS) + f"SELECT h.path, h.page, string_agg({_BLOCK}, chr(10)||chr(10) ORDER BY c.page) AS context FROM chunks h JOIN chunks c ON h.path = c.path AND c.page BETWEEN h.page - 1 AND h.page + 1 WHERE trim(c.snippet) <> '' GROUP BY 1, 2")
-def context_window_all(spark, sf_dir):
+def context_window(spark, sf_dir):
     """Each chunk of the table is a hit."""
-    chunks = _chunks(spark, sf_dir)
-    hits = chunks.select(F.col("point_id").alias("hid"), "path", "page")
-    return ranking.context(hits, chunks).join(hits, "hid").select("path", "page", "context")
+    chunks = _stored(spark, sf_dir)
+    hits = chunks.select(F.struct("path", "page").alias("hid"), "path", "page")
+    return ranking.context(hits, chunks).select("hid.path", "hid.page", "context")
 
 
 @_query(_with(_CHUNKS) + "SELECT page, snippet AS text FROM chunks WHERE path = (SELECT path FROM files ORDER BY size DESC, path LIMIT 1) AND page = 2")
@@ -549,7 +486,7 @@ def supported_files(spark, sf_dir):
 # --- query analysis --------------------------------------------------------------------------------------------
 
 
-@_query("WITH e(qid, numbers) AS (" + sql_values([(2, "12345/2020,170495"), (7, "25156/2024,998877"), (16, "25156"), (19, "20301234567")]) + "), " + _Q + " SELECT q.qid, coalesce(numbers, '') AS numbers FROM q LEFT JOIN e USING (qid)")
+@_query("WITH e(qid, numbers) AS (" + sql_values([(2, "88412/2031,640218"), (7, "73310/2032,557301"), (16, "73310"), (19, "30998877665"), (21, "AB-12/9"), (22, "13-0655"), (23, "4455"), (24, "12345")]) + "), " + _Q + " SELECT q.qid, coalesce(numbers, '') AS numbers FROM q LEFT JOIN e USING (qid)")
 def extract_case_numbers(spark, sf_dir):
     return _cases(spark).select("qid", F.array_join(analysis.case_numbers(F.col("t")), ",").alias("numbers"))
 
@@ -587,23 +524,73 @@ def trivial(spark, sf_dir):
     return _cases(spark).select("qid", text.is_trivial(F.col("t")).alias("trivial"))
 
 
-@_query("WITH e(qid, negated) AS (" + sql_values([(4, "Norte"), (11, "por el juicio|Archivo Sur")]) + "), " + _Q + " SELECT q.qid, coalesce(negated, '') AS negated FROM q LEFT JOIN e USING (qid)")
+@_query("WITH e(qid, negated) AS (" + sql_values([(4, "Molinos"), (11, "por el puente|Taller Oeste"), (25, "Viento Norte"), (26, "eso")]) + "), " + _Q + " SELECT q.qid, coalesce(negated, '') AS negated FROM q LEFT JOIN e USING (qid)")
 def negations(spark, sf_dir):
     return _cases(spark).select("qid", F.array_join(analysis.negations(F.col("t")), "|").alias("negated"))
 
 
-@_query("WITH e(qid, folder, semantic) AS (" + sql_values([(1, "Norte", "Que dice la demanda de GONZALEZ"), (12, "Sur", "listar revisar")]) + "), " + _Q + f" SELECT q.qid, e.folder, coalesce(semantic, trim(regexp_replace(CASE q.qid WHEN 2 THEN 'dame el Expte. y el N°' WHEN 7 THEN 'FMZ contra RAMIREZ y RAMIREZ, numero' WHEN 16 THEN 'informe y 251567 sueltos' WHEN 19 THEN 'el total es 15.421/2020 segun CUIT' ELSE t END, '\\s+', ' ', 'g'))) AS semantic FROM q LEFT JOIN e USING (qid)")
+_FOLDER_TEXT = [
+    (1, "Molinos", "Que dice la demanda de VALDERRAMA"),
+    (2, None, "mandame el Expte. y el N°"),
+    (7, None, "FMZ contra OLMEDO y OLMEDO, numero"),
+    (12, "Faros", "listar revisar"),
+    (13, None, "Áéíóú Ñandú Über"),
+    (16, None, "planilla y 733104 sueltas"),
+    (19, None, "el saldo es 90.117/2033 segun CUIT"),
+    (21, None, "Expediente ."),
+    (22, None, "CUIJ ; expte"),
+    (23, None, "N"),
+    (24, None, "cinco y otra vez"),
+    (27, "Lanas Finas", "buscame algo"),
+    (28, "Viejos", "lo ultimo"),
+]
+
+
+@_query("WITH e(qid, folder, semantic) AS (" + sql_values(_FOLDER_TEXT) + "), " + _Q + " SELECT q.qid, e.folder, coalesce(semantic, t) AS semantic FROM q LEFT JOIN e USING (qid)")
 def folder_and_semantic_text(spark, sf_dir):
     t = F.col("t")
     return _cases(spark).select("qid", analysis.folder_phrase(t).alias("folder"), analysis.semantic_text(t, analysis.case_numbers(t)).alias("semantic"))
 
 
-@_query("SELECT * FROM (" + sql_values([(1, "norte", "Norte", 1), (2, "sur", "Documentos Sur", 2), (3, "documentos", "Documentos Sur", 2), (4, "arabella", "Arabela Perez", 5), (5, "zzz", "zzz", 6), (6, "archivos viejos", "Archivo", 2), (7, "perez gomez", "Arabela Perez", 3)]) + ") e(qid, raw, folder, level)")
+_CASCADE = [
+    (1, "molinos", "Molinos", 1),
+    (2, "FÁROS", "Documentos Faros", 2),
+    (3, "documentos", "Documentos Faros", 2),
+    (4, "lamas finaz", "Lanas Finas", 5),
+    (5, "zzz", "zzz", 6),
+    (6, "depositos viejos", "Deposito", 2),
+    (7, "finas telas", "Lanas Finas", 3),
+    (8, "norteño del viento", "Viento del Norte", 3),
+    (9, "xx molin yy", "Molinos", 4),
+    (10, "xx olino", "Molinos", 4),
+    (11, "depsito", "Deposito", 5),
+    (12, "a", "Lanas Finas", 2),
+    (13, "lan", "Lanas Finas", 2),
+    (14, "qq posit ww", "Deposito", 4),
+    (15, "vientos", "Viento del Norte", 5),
+]
+
+
+@_query("SELECT * FROM (" + sql_values(_CASCADE) + ") e(qid, raw, folder, level)")
 def folder_cascade(spark, sf_dir):
     return analysis.match_folder(spark_frame(spark, cases.ASKED, "qid int, raw string"), spark_frame(spark, cases.FOLDERS, "folder string"))
 
 
-_CTX = [(1, 0, "Norte", "12345", "GONZALEZ"), (1, 1, "Norte", "12345", "GONZALEZ"), (1, 2, "Norte", "777777", ""), (1, 3, None, "777777", ""), (2, 0, None, "", "LOPEZ"), (2, 1, None, "", "LOPEZ"), (2, 2, "Este", "", "LOPEZ")]
+_CTX = [
+    (1, 0, "Molinos", "88412", "VALDERRAMA"),
+    (1, 1, "Molinos", "88412", "VALDERRAMA"),
+    (1, 2, "Molinos", "557301", ""),
+    (1, 3, None, "557301", ""),
+    (2, 0, None, "", "OLMEDO"),
+    (2, 1, None, "", "OLMEDO"),
+    (2, 2, "Lanas", "", "OLMEDO"),
+    (3, 0, "Deposito", "1,22222", ""),
+    (3, 1, "Deposito", "1", "QUIROGA"),
+    (3, 2, "Deposito", "33333", "SORIA"),
+    (3, 3, "Deposito", "33333", ""),
+    (4, 0, None, "", ""),
+    (4, 1, None, "", ""),
+]
 
 
 @_query("SELECT conv, turn, carpeta, expedientes, nombres FROM (" + sql_values(_CTX) + ") e(conv, turn, carpeta, expedientes, nombres)")
@@ -613,6 +600,167 @@ def context_fold(spark, sf_dir):
     return out.select("conv", F.col("turn").cast("int").alias("turn"), "carpeta", F.array_join("expedientes", ",").alias("expedientes"), F.array_join("nombres", ",").alias("nombres"))
 
 
+#: conv, turn, text_semantic, carpeta, expedientes, nombres, intent, follow_up, negations
+_ANALYSED = [
+    (1, 0, "que hay demanda de VALDERRAMA N°", "Molinos", "640218", "VALDERRAMA", "caso", False, ""),
+    (1, 1, "dame el segundo", "Molinos", "640218", "VALDERRAMA", "mixto", True, ""),
+    (1, 2, "y el Expte. ?", "Molinos", "88412/2031", "VALDERRAMA", "mixto", False, ""),
+    (1, 3, "no dije molinos, seguí", None, "88412/2031", "VALDERRAMA", "mixto", True, "molinos"),
+    (1, 4, "¿qué es la regla?", None, "88412/2031", "VALDERRAMA", "concepto", False, ""),
+    (2, 0, "los casos de Lanas Finas", "Lanas Finas", "", "", "caso", False, ""),
+    (2, 1, "ahora OLMEDO", "Lanas Finas", "", "OLMEDO", "mixto", False, ""),
+    (2, 2, "yo no hablé de olmedo.", "Lanas Finas", "", "", "mixto", False, "olmedo"),
+    (2, 3, "planos", "Documentos Faros", "", "", "mixto", False, ""),
+    (2, 4, "", None, "", "", "mixto", False, ""),
+    (2, 5, "otro", "Documentos Faros", "", "", "mixto", True, ""),
+    (3, 0, "", None, "", "", "mixto", False, ""),
+    (3, 1, "definicion de oficio y del escrito", None, "", "", "mixto", False, ""),
+    (3, 2, "ver", "Inventada", "", "", "mixto", False, ""),
+    (3, 3, "todo de viento del norte y lanas finas", "Viento del Norte", "", "", "mixto", False, ""),
+    (4, 0, "mirá el depósito: y 733104", "Deposito", "73310", "", "mixto", False, ""),
+    (4, 1, "depositos", "Deposito", "73310", "", "mixto", False, ""),
+    (4, 2, "no pregunté por 73310, gracias", "Deposito", "", "", "mixto", False, "por 73310"),
+    (5, 0, "hola", None, "", "", "mixto", False, ""),
+    (5, 1, "", None, "", "", "mixto", False, ""),
+    (5, 2, "PARA TODOS QUIROGA", None, "", "QUIROGA", "mixto", False, ""),
+    (5, 3, "cual es el articulo 44", None, "", "QUIROGA", "concepto", False, ""),
+]
+
+
+@_query("SELECT * FROM (" + sql_values(_ANALYSED) + ") e(conv, turn, text_semantic, carpeta, expedientes, nombres, intent, follow_up, negations)")
+def analyze_query(spark, sf_dir):
+    """Whole conversations: what each turn says, its folder against the known ones, and what earlier turns hand on."""
+    turns, folders = spark_frame(spark, cases.TURNS, "conv int, turn int, text string"), spark_frame(spark, cases.FOLDERS, "folder string")
+    joined = {c: F.array_join(c, ",") for c in ("expedientes", "nombres", "negations")}
+    out = analysis.analyze_queries(turns, folders).withColumns(joined)
+    return out.select("conv", F.col("turn").cast("int").alias("turn"), "text_semantic", "carpeta", "expedientes", "nombres", "intent", "follow_up", "negations")
+
+
+_VAR = "asking(qid, text) AS (" + sql_values(cases.ASKING) + "), given(qid, ord, text) AS (" + sql_values(cases.VARIANTS) + "), usable AS (SELECT qid, ord, trim(trim(text, '-•* ')) AS text FROM given WHERE qid IN (SELECT qid FROM asking)), placed AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY ord) AS INT) AS variant, text FROM usable WHERE length(text) BETWEEN 3 AND 200), v AS (SELECT qid, 0 AS variant, text FROM asking UNION ALL SELECT * FROM placed WHERE variant <= 3)"
+
+
+def _variants(spark):
+    return ranking.with_variants(spark_frame(spark, cases.ASKING, "qid int, text string"), spark_frame(spark, cases.VARIANTS, "qid int, ord int, text string"))
+
+
+@_query("WITH " + _VAR + " SELECT qid, variant, text FROM v")
+def query_variants(spark, sf_dir):
+    return _variants(spark)
+
+
+@_query(
+    "WITH " + _VAR + ", w AS (SELECT qid, variant, list_filter(list_transform(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), lambda w: lower(trim(w, '.,;:¿?¡!\"''()'))), lambda w: length(w) >= 2 AND w NOT IN ("
+    + _STOP
+    + ") AND NOT regexp_full_match(w, '[0-9]+')) AS ks FROM v), u AS (SELECT qid, variant, unnest(ks) AS k, generate_subscripts(ks, 1) AS spot FROM w), f AS (SELECT qid, k, min(variant * 1000 + spot) AS place FROM u GROUP BY 1, 2) SELECT qid, string_agg(k, ' ' ORDER BY place) AS keywords FROM f GROUP BY 1"
+)
+def variant_keywords(spark, sf_dir):
+    """Keywords of a request and its variants in order, each once."""
+    return ranking.variant_keywords(_variants(spark)).select("qid", F.array_join("keywords", " ").alias("keywords"))
+
+
+# --- models, results as text -----------------------------------------------------------------------------------
+
+
+def _letter_model():
+    """A stand-in for an encoder: letters and digits counted in Python."""
+    import numpy as np
+
+    return lambda texts: np.array([[t.lower().count(c) for c in text.LETTERS] for t in texts], dtype=np.float32)
+
+
+@_query(_with(_CHUNKS, "counted AS (SELECT path, page, " + _COUNTS.format("snippet") + " AS c FROM chunks)", "u AS (SELECT path, page, " + _UNIT.format("c") + " AS v FROM counted)") + "SELECT path, page, round(v[1], 4) AS v_a, round(v[5], 4) AS v_e FROM u")
+def encoder_udf(spark, sf_dir):
+    """A pluggable encoder over all snippets."""
+    v = models.encoder(F.col("snippet"), "letters", _letter_model)
+    return _stored(spark, sf_dir).select("path", "page", v.alias("v")).select("path", "page", *(F.round(F.get("v", F.lit(i)).cast("double"), 4).alias(n) for i, n in ((0, "v_a"), (4, "v_e"))))
+
+
+def _overlap_model():
+    """A stand-in for a cross-encoder: distinct words of the query that the text has."""
+    return lambda pairs: [float(len(set(q.lower().split()) & set(t.lower().split()))) for q, t in pairs]
+
+
+@_query(
+    _with(_CHUNKS)
+    + f", h AS (SELECT page % 7 AS qid, row_number() OVER (PARTITION BY page % 7 ORDER BY point_id) AS rank, point_id, left(filename || ' ' || snippet, 2000) AS hit FROM chunks), s AS (SELECT *, CAST(len(list_intersect(list_distinct(string_split('{_QTEXT}', ' ')), list_distinct(string_split_regex(lower(hit), '\\s+')))) AS DOUBLE) AS ce_score FROM h) SELECT * FROM (SELECT qid, point_id, ce_score, CAST(row_number() OVER (PARTITION BY qid ORDER BY ce_score DESC, rank) AS INT) AS rank FROM s) WHERE rank <= 10"
+)
+def cross_encoder_rerank(spark, sf_dir):
+    """Each seventh of the pages as the pool of one query, reordered by a pluggable scorer."""
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("point_id"))
+    hits = _stored(spark, sf_dir).select((F.col("page") % 7).alias("qid"), F.lit(_QTEXT).alias("query"), "filename", "snippet", "point_id").withColumn("rank", rank)
+    scorer = models.pair_scorer(F.col("query"), F.col("hit_text"), "overlap", _overlap_model)
+    return ranking.rerank_pairs(hits, scorer, 10).select("qid", "point_id", "ce_score", "rank")
+
+
+@_query("SELECT vec_id, octet_length(b) AS bytes, ok FROM (SELECT vec_id, 4 * len(embedding) AS n, true AS ok, encode(repeat('x', CAST(4 * len(embedding) AS INT))) AS b FROM embeddings)")
+def vector_blobs(spark, sf_dir):
+    """Vectors as bytes and back."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", models.vector_bytes(F.col("embedding")).alias("b"))
+    return rows.select("vec_id", F.octet_length("b").cast("long").alias("bytes"), (models.vector_of_bytes(F.col("b")) == F.col("embedding")).alias("ok"))
+
+
+_HIT_ROWS = "h(qid, rank, filename, page, channel, snippet, path, score, context) AS (" + sql_values(cases.HITS) + ")"
+_HIT_KIND = "qid int, rank int, filename string, page int, channel string, snippet string, path string, score double, context string"
+
+
+@_query("WITH " + _HIT_ROWS + " SELECT qid, rank, '[' || rank || '] ' || coalesce(filename, '?') || CASE WHEN coalesce(page, 0) = 0 THEN ' (preview)' ELSE ' (pag. ' || page || ')' END || CASE WHEN coalesce(channel, 'semantic') = 'semantic' THEN '' ELSE ' [' || channel || ']' END || ' - ' || left(coalesce(snippet, ''), 300) || chr(10) || '    path: ' || coalesce(path, '?') AS line FROM h")
+def result_lines(spark, sf_dir):
+    return ranking.result_lines(spark_frame(spark, cases.HITS, _HIT_KIND))
+
+
+@_query("WITH " + _HIT_ROWS + " SELECT qid, '## CONTEXTO' || chr(10) || chr(10) || string_agg(chr(10) || '### [' || rank || '] ' || filename || ' — pag. ' || page || ' (score ' || format('{:,.2f}', score) || ')' || chr(10) || '_Ruta: ' || path || '_' || chr(10) || chr(10) || context || chr(10), chr(10) ORDER BY rank) || chr(10) || chr(10) || '---' || chr(10) AS block FROM h WHERE filename IS NOT NULL GROUP BY qid")
+def context_block(spark, sf_dir):
+    return ranking.context_block(spark_frame(spark, cases.HITS, _HIT_KIND).where("filename is not null"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, CAST(greatest(1, least(CAST(l_quantity AS INT) - 5, 10)) AS INT) AS top_k, CAST(greatest(greatest(1, least(CAST(l_quantity AS INT) - 5, 10)), 20) AS INT) AS pool FROM lineitem")
+def top_k_clamp(spark, sf_dir):
+    k = ranking.clamp_top_k(F.col("l_quantity").cast("int") - 5)
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", k.alias("top_k"), ranking.pool_size(k).alias("pool"))
+
+
+@_query(_with(_CHUNKS) + "SELECT count(*) AS points, count(DISTINCT path) AS files, CAST(36 AS BIGINT) AS vector_size FROM chunks")
+def collection_info(spark, sf_dir):
+    return store.collection_info(_stored(spark, sf_dir))
+
+
+@_query(_with(_CHUNKS) + "SELECT count(*) AS rows, count(*) FILTER (WHERE page <> 3) AS to_fix, count(*) FILTER (WHERE page <> 3 AND page % 2 = 0) AS empty FROM chunks")
+def backfill_counts(spark, sf_dir):
+    """What a dry run of the backfill says."""
+    old = F.when(F.col("page") == 3, F.col("carpeta_top")).when(F.col("page") % 2 == 0, F.lit(None)).otherwise(F.concat(F.lit("x"), "carpeta_top"))
+    return store.backfill_counts(_stored(spark, sf_dir).select("path", old.alias("stored")), "stored", text.folder_top(F.col("path")))
+
+
+@_query(_with(_CHUNKS) + "SELECT point_id, carpeta_top FROM chunks")
+def backfill_set(spark, sf_dir):
+    """The column that the backfill sets, after it, where it was wrong before."""
+    stored = _stored(spark, sf_dir).select("point_id", "path", F.lit("wrong").alias("carpeta_top"))
+    return store.set_column(stored, "carpeta_top", text.folder_top(F.col("path"))).select("point_id", "carpeta_top")
+
+
+@_query(_with(_CHUNKS) + "SELECT string_agg('[Pagina ' || page || ']' || chr(10) || snippet, chr(10) || chr(10) ORDER BY page) AS text FROM chunks WHERE path = (SELECT path FROM files ORDER BY size DESC, path LIMIT 1) AND page BETWEEN 2 AND 21")
+def read_range_marked(spark, sf_dir):
+    path = _files(spark, sf_dir).orderBy(F.desc("size"), "path").select("path").first()[0]
+    return store.read_marked(_stored(spark, sf_dir), path, 2, 60)
+
+
+@_query(_with(_FILES, "known AS (SELECT path, CASE WHEN doc_id % 4 = 0 THEN mtime ELSE mtime + 1 END AS mtime, size, doc_id % 3 <> 0 AS fully_extracted FROM files WHERE doc_id % 2 = 0)") + "SELECT f.path, CASE WHEN EXISTS (SELECT 1 FROM known k WHERE k.path = f.path AND fully_extracted AND k.size = f.size AND abs(k.mtime - f.mtime) < 0.001) THEN 'ya_estaba' ELSE 'pendiente' END AS state FROM files f")
+def promotion_state(spark, sf_dir):
+    return store.promotion_state(_files(spark, sf_dir), _known_full(spark, sf_dir))
+
+
+_FORWARDED = [(1, "text:hola::|image_url::" + cases.PNG + ":low"), (2, "image_url::https://x.example/a.png:"), (3, ""), (4, "image_url::" + cases.PNG + ":|text:::")]
+
+
+@_query("SELECT * FROM (" + sql_values(_FORWARDED) + ") e(mid, forwarded)")
+def forwarded_parts(spark, sf_dir):
+    """Parts of a message that are passed on: texts, and images at valid addresses with a known detail."""
+    rows = spark_frame(spark, cases.PARTS, "mid int, parts array<struct<type: string, text: string, url: string, detail: string>>")
+    nested = F.transform("parts", lambda p: F.struct(p["type"].alias("type"), p["text"].alias("text"), F.struct(p["url"].alias("url"), p["detail"].alias("detail")).alias("image_url")))
+    said = lambda p: F.concat_ws(":", *(F.coalesce(p[c], F.lit("")) for c in ("type", "text", "url", "detail")))
+    return rows.select("mid", F.array_join(F.transform(text.forwarded_parts(nested), said), "|").alias("forwarded"))
+
+
 # --- conversations and citations -------------------------------------------------------------------------------
 
 _TOK = "greatest(1, CAST(floor(length(coalesce(text, '')) / 4) AS BIGINT))"
@@ -631,7 +779,7 @@ def compact_tail4(spark, sf_dir):
     return conversation.compact(_table(spark, sf_dir, "conversations"), 500)
 
 
-_CITES = [(1, "contrato.pdf", 3, True), (1, "POLIZA (3).pdf", 12, True), (1, "otro.docx", 7, False), (3, "Informe Final.txt", 9, True), (3, "contrato.pdf", 4, False)]
+_CITES = [(1, "acuerdo.pdf", 3, True), (1, "PLANO (7).pdf", 12, True), (1, "ajeno.docx", 7, False), (3, "Informe Anual.txt", 9, True), (3, "acuerdo.pdf", 4, False), (5, "a.doc", 1, True), (5, "a.doc", 2, True), (5, "A.DOC", 3, True)]
 
 
 @_query("SELECT * FROM (" + sql_values(_CITES) + ") e(aid, filename, page, valid)")
@@ -647,7 +795,7 @@ def citation_tolerant(spark, sf_dir):
 
 @_query("SELECT filename, rank, case_file, CAST(row_number() OVER (ORDER BY case_file DESC, rank) AS INT) AS new_rank FROM (SELECT filename, rank, regexp_matches(filename, '(?i)(N[°º]?\\.?\\s*\\d|Expte|Exp\\.|FMZ|\\d{5,})|(\\bc/\\b)|(\\bvs?\\b)') AS case_file FROM (" + sql_values(cases.NAMED) + ") n(filename, rank))")
 def case_reorder(spark, sf_dir):
-    return ranking.case_first(spark_frame(spark, cases.NAMED, "filename string, rank int"))
+    return ranking.case_first(spark_frame(spark, cases.NAMED, "filename string, rank int").withColumn("qid", F.lit(0))).drop("qid")
 
 
 @_query(

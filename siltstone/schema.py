@@ -27,7 +27,7 @@ CHUNKS = T.StructType(
         T.StructField("snippet", T.StringType()),
         T.StructField("mtime", T.DoubleType()),
         T.StructField("size", T.LongType()),
-        T.StructField("vector", T.ArrayType(T.FloatType(), containsNull=False)),
+        T.StructField("vector", T.ArrayType(T.DoubleType())),
     ]
 )
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import io
 import os
+import shutil
+import subprocess
+import tempfile
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
@@ -40,8 +43,9 @@ class _Folder(InputPartition):
 
 
 class FolderListing(DataSource):
-    """``spark.read.format("folder_listing").load(root)``: one partition for each top folder. A folder that can't
-    be listed gives one row with an ``error`` and fails nothing."""
+    """``spark.read.format("folder_listing").load(root)``: one partition for each top folder. A folder or file that can't
+    be read gives one row with an ``error`` and fails nothing else. For mounted folders; ``walk`` lists any store that
+    Spark reads."""
 
     @classmethod
     def name(cls) -> str:
@@ -63,19 +67,22 @@ class _ListingReader(DataSourceReader):
         return [_Folder(self.root, False), *(_Folder(t, True) for t in tops)]
 
     def read(self, partition: _Folder) -> Iterator[tuple]:
-        try:
-            for folder, below, names in os.walk(partition.path, onerror=_fail):
-                for name in sorted(names):
-                    stat = os.stat(os.path.join(folder, name))
-                    yield (os.path.join(folder, name), stat.st_mtime, stat.st_size, None)
-                if not partition.deep:
-                    below.clear()
-        except OSError as err:
-            yield (partition.path, None, None, str(err)[:500])
-
-
-def _fail(err: OSError) -> None:
-    raise err
+        failed: list[OSError] = []
+        for folder, below, names in os.walk(partition.path, onerror=failed.append):
+            for name in sorted(names):
+                path = os.path.join(folder, name)
+                try:
+                    stat = os.stat(path)
+                    yield (path, stat.st_mtime, stat.st_size, None)
+                except OSError as err:
+                    failed.append(err)
+            for err in failed:
+                yield (err.filename or folder, None, None, str(err)[:500])
+            failed.clear()
+            if not partition.deep:
+                below.clear()
+        for err in failed:
+            yield (err.filename or partition.path, None, None, str(err)[:500])
 
 
 def decode_text(content: bytes) -> str:
@@ -120,12 +127,99 @@ def _word_pages(text: str) -> list[tuple[int, str]]:
     return [(i // WORDS_PER_CHUNK + 1, " ".join(words[i : i + WORDS_PER_CHUNK])) for i in range(0, len(words), WORDS_PER_CHUNK)]
 
 
-#: Extension -> function from content to pages. PDF and DOC need a library or program: add them here.
+def pdf_pages(content: bytes) -> list[tuple[int, str]]:
+    """Text of each page that has any, in visual order, with the rows of its tables behind. Needs PyMuPDF."""
+    import fitz
+
+    out = []
+    with fitz.open(stream=content, filetype="pdf") as pdf:
+        for number, page in enumerate(pdf, start=1):
+            rows = [" | ".join(str(c or "").strip() for c in row) for table in page.find_tables().tables for row in table.extract()]
+            body = "\n\n[TABLAS]\n".join(x for x in (page.get_text(sort=True).strip(), "\n".join(rows)) if x)
+            if body:
+                out.append((number, body))
+    return out
+
+
+def doc_text(content: bytes, programs: tuple[tuple[str, ...], ...] = (("antiword", "{file}"), ("catdoc", "{file}"))) -> str:
+    """Text of an old Word file by the first of the programs that is installed and succeeds."""
+    tried = []
+    with tempfile.NamedTemporaryFile(suffix=".doc") as f:
+        f.write(content)
+        f.flush()
+        for command in programs:
+            if shutil.which(command[0]):
+                done = subprocess.run([a.format(file=f.name) for a in command], capture_output=True, timeout=120, check=False)
+                if not done.returncode and done.stdout.strip():
+                    return decode_text(done.stdout)
+            tried.append(command[0])
+    raise RuntimeError(f"none of {', '.join(tried)} could read the file")
+
+
+#: Extension -> function from content to pages. PDF and DOC need a library or program that may be missing; then files
+#: of these kinds become rows with an error.
 EXTRACTORS: dict[str, Callable[[bytes], list[tuple[int, str]]]] = {
     ".txt": lambda content: _word_pages(decode_text(content)),
     ".docx": lambda content: _word_pages(docx_text(content)),
+    ".doc": lambda content: _word_pages(doc_text(content)),
+    ".pdf": pdf_pages,
 }
 
+
+def head_text(content: bytes, kind: str) -> str:
+    """Text from the beginning of a file that is enough for a preview: of a text file its first bytes, of a PDF its first
+    page with text, of other kinds their whole text."""
+    if kind == ".txt":
+        head = content[: 16 * PREVIEW_CHARS]
+        if len(head) < len(content) and head[:2] not in (b"\xff\xfe", b"\xfe\xff"):
+            head = head[: max(head.rfind(b" "), head.rfind(b"\n"))] or head
+        return decode_text(head)
+    pages = EXTRACTORS[kind](content)
+    return pages[0][1] if pages else ""
+
+
+PREVIEWED = "path string, mtime double, size long, status string, preview string"
+
+
+def extract_previews(files: DataFrame) -> DataFrame:
+    """One row for each of ``files (path, mtime, size, content)`` with its first characters; a file that fails has a status
+    that says why."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                try:
+                    preview = head_text(bytes(r.content), os.path.splitext(r.path)[1].lower()).strip()[:PREVIEW_CHARS]
+                    status = "ok" if preview else "sin_texto"
+                except Exception as err:  # noqa: BLE001  a bad file must not stop the others
+                    status, preview = f"error:{type(err).__name__}: {err}"[:50], ""
+                out.append((r.path, r.mtime, r.size, status, preview))
+            yield pd.DataFrame(out, columns=["path", "mtime", "size", "status", "preview"])
+
+    return files.select("path", "mtime", "size", "content").mapInPandas(run, PREVIEWED)
+
+
+def marked_text(extracted: DataFrame) -> DataFrame:
+    """``path, text, pages`` of what ``extract`` returns: the pages as one text, each under its number; empty and 0 where
+    extraction failed."""
+    block = F.transform("pages", lambda p: F.concat(F.lit("[Pag "), p["page"].cast("string"), F.lit("]\n"), p["text"]))
+    return extracted.select("path", F.array_join(block, "\n\n").alias("text"), F.size("pages").alias("pages"))
+
+
+def candidates(listing: DataFrame, limit: int | None = None) -> DataFrame:
+    """Supported files of a listing, at most ``limit`` of them, the first by path."""
+    found = listing.where(is_supported(F.col("path")))
+    return found if limit is None else found.orderBy("path").limit(limit)
+
+
+def write_checkpoint(spark: SparkSession, tally: DataFrame, path: str) -> dict:
+    """Counts of a run by status (``operators.store.run_tally``) as one JSON line at ``path``, in place of the last run's."""
+    row = tally.agg(F.map_from_entries(F.collect_list(F.struct("status", "files"))).alias("files"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"), F.current_timestamp().alias("at"))
+    row.coalesce(1).write.mode("overwrite").json(path)
+    done = spark.read.json(path).first()
+    return {"files": {k: v for k, v in done["files"].asDict().items() if v} if "files" in done and done["files"] else {}, "chunks": done["chunks"]}
+
 EXTRACTED = "path string, mtime double, size long, status string, error string, preview string, pages array<struct<page: int, text: string>>"
 
 

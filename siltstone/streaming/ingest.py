@@ -2,45 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-
-def _shared(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/") if folder else "file://" + tempfile.mkdtemp(prefix="siltstone-")
-
-
-class VersionedTable:
-    """A keyed Parquet table as a sequence of versions: each change writes a new folder and then moves on to it,
-    so that nothing is overwritten while it is read and a batch that is run again changes nothing."""
-
-    def __init__(self, spark: SparkSession, root: str, key: str):
-        self.spark, self.root, self.key, self.current = spark, root, key, None
-
-    def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.current) if self.current else None
-
-    def upsert(self, rows: DataFrame, version: int) -> None:
-        one = F.row_number().over(Window.partitionBy(self.key).orderBy(*(F.desc(c) for c in rows.columns if c != self.key)))
-        fresh = rows.withColumn("__one", one).where("__one = 1").drop("__one")
-        old = self.read()
-        out = fresh if old is None else old.join(fresh.select(self.key), self.key, "left_anti").select(*rows.columns).unionByName(fresh)
-        path = f"{self.root}/v{version}"
-        out.write.mode("overwrite").parquet(path)
-        self.current = path
+from siltstone.tables import VersionedTable, shared_dir
 
 
 def stream_ingest(spark: SparkSession, path: str, key: str, root: str | None = None) -> DataFrame:
-    """The table after all files at ``path`` that were not ingested yet have gone in, by ``key``."""
-    root = root or f"{_shared(spark)}/ingest-{uuid.uuid4().hex}"
-    folder, _, name = path.rpartition("/")
-    table = VersionedTable(spark, root, key)
-    source = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", name).parquet(folder)
+    """The table after all files at ``path`` that were not ingested yet have gone in, by ``key``.
+
+    ``root`` holds the stream's progress and the table's versions, one for each micro-batch under the batch's own
+    number. A later call goes on from both; a batch that runs again after a failure finds its version and changes
+    nothing. A call with nothing new returns the table as it is. Without ``root`` a new one is made.
+    """
+    root = root or f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    table = VersionedTable(spark, f"{root}/table", key)
+    schema = spark.read.parquet(path).schema
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    source = spark.readStream.schema(schema)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        source = source.parquet(path)
+    else:
+        source = source.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
     run = source.writeStream.foreachBatch(lambda rows, n: table.upsert(rows, n)).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
     run.awaitTermination()
     done = table.read()
-    return done if done is not None else spark.read.parquet(path).limit(0)
+    table.keep(newest=2)
+    return done if done is not None else spark.createDataFrame([], schema)

@@ -18,13 +18,13 @@ def test_every_hundredth_row_is_a_query_and_blocks_change_nothing(spark, tmp_pat
     run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
 
     want = {(q, i, -s, n) for q, found in order.items() for n, (s, i, _) in enumerate(found[:20], 1)}
-    assert {(r.qid, r.id, r.score, r.rank) for r in run("vector_topk_all")} == want
+    assert {(r.qid, r.id, r.score, r.rank) for r in run("vector_topk")} == want
     of = {(q, k): [x for x in found if x[2] == k] for q, found in order.items() for k in range(3)}
     want = {(q, i, -s, n) for q, _, k in asked for n, (s, i, _) in enumerate(of[q, k][:20], 1)}
-    assert {(r.qid, r.id, r.score, r.rank) for r in run("vector_topk_scoped_all")} == want
+    assert {(r.qid, r.id, r.score, r.rank) for r in run("vector_topk_scoped")} == want
     want = {(q, k, i, n) for (q, k), found in of.items() for n, (_, i, _) in enumerate(found[:3], 1)}
-    assert {(r.qid, r.label, r.id, r.rank) for r in run("topk_per_label_all")} == want
-    assert {(r.qid, r.id, r.rank) for r in run("rerank_pool_all")} == {(q, i, n) for q, found in order.items() for n, (_, i, _) in enumerate(found, 1)}
+    assert {(r.qid, r.label, r.id, r.rank) for r in run("topk_per_label")} == want
+    assert {(r.qid, r.id, r.rank) for r in run("rerank_pool")} == {(q, i, n) for q, found in order.items() for n, (_, i, _) in enumerate(found, 1)}
 
     queries = spark.createDataFrame([(q, v) for q, v, _ in asked], "qid long, q array<float>")
     vectors = spark.createDataFrame([(i, v) for i, v, _ in rows], "id long, vector array<float>")
@@ -49,7 +49,7 @@ def test_full_text_queries_ask_all_terms(spark, tmp_path):
     spark.createDataFrame([(i, ", ".join(w)) for i, w in items.items()], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     asked = {q: {t for t in w if len(t) >= 2} for q, w in items.items()}
     run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
-    assert {(r.qid, r.id) for r in run("fts_and_match_all")} == {(q, i) for q, t in asked.items() for i, w in docs.items() if t <= set(w)}
+    assert {(r.qid, r.id) for r in run("fts_and_match")} == {(q, i) for q, t in asked.items() for i, w in docs.items() if t <= set(w)}
 
     df, mean = Counter(t for w in docs.values() for t in set(w)), sum(map(len, docs.values())) / len(docs)
     idf = {t: max(math.log((len(docs) - n + 0.5) / (n + 0.5)), 0) or 1e-6 for t, n in df.items()}
@@ -58,14 +58,14 @@ def test_full_text_queries_ask_all_terms(spark, tmp_path):
     for q, terms in asked.items():
         found = sorted((-round(sum(part(t, w) for t in terms & set(w)), 6), i) for i, w in docs.items() if terms & set(w))
         want |= {(q, i, -s, n) for n, (s, i) in enumerate(found[:5], 1)}
-    assert {(r.qid, r.id, r.score, r.rank) for r in run("fts_bm25_all")} == want
+    assert {(r.qid, r.id, r.score, r.rank) for r in run("fts_bm25")} == want
 
 
 def test_each_page_is_a_hit(spark, tmp_path):
     words = [f"w{i}" for i in range(1201)]
     docs = [(1, " ".join(words)), (2, "one page")]
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.path, r.page): r.context for r in registry.queries()["context_window_all"](spark, str(tmp_path)).collect()}
+    got = {(r.path, r.page): r.context for r in registry.queries()["context_window"](spark, str(tmp_path)).collect()}
     marks = lambda p: [line for line in got[p].split("\n") if line.startswith("---")]
     long, short = "/s/en/doc_1.txt", "/s/en/doc_2.txt"
     assert set(got) == {(long, 1), (long, 2), (long, 3), (short, 1)}
