@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.schema import POINT_NAMESPACE, PREVIEW_CHARS, WORDS_PER_CHUNK
 
@@ -102,11 +105,16 @@ def point_id(path: Column, page: Column, chunk_idx: Column) -> Column:
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
 
 
+def word_slices(words: Column, size: int = WORDS_PER_CHUNK) -> Column:
+    """``array<string>`` of chunks of ``size`` words, joined by single spaces; no words, no chunks. ``words`` should be a
+    column of its own: a lambda works out anew what it is given as an expression."""
+    count = F.ceil(F.size(words) / size).cast("int")
+    return F.transform(F.slice(F.sequence(F.lit(0), F.greatest(count, F.lit(1))), F.lit(1), count), lambda k: F.array_join(F.slice(words, k * size + 1, F.lit(size)), " "))
+
+
 def word_chunks(text: Column, size: int = WORDS_PER_CHUNK) -> Column:
-    """``array<string>`` of chunks of ``size`` words, joined by single spaces; no words, no chunks."""
-    w = words(text)
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(size)), lambda s: s < F.size(w))
-    return F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, F.lit(size)), " "))
+    """``word_slices`` of a text's words."""
+    return word_slices(words(text), size)
 
 
 def preview(text: Column) -> Column:
@@ -114,17 +122,24 @@ def preview(text: Column) -> Column:
 
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+_CODES = np.frombuffer(LETTERS.encode(), dtype=np.uint8)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _char_vector(texts: pd.Series) -> pd.Series:
+    out = []
+    for t in texts:
+        counts = np.bincount(np.frombuffer((t or "").lower().encode(), dtype=np.uint8), minlength=256)[_CODES].astype(np.float64)
+        norm = np.sqrt(counts @ counts)
+        out.append(counts / norm if norm > 0 else counts)
+    return pd.Series(out, dtype="object")
 
 
 def with_char_vector(rows: DataFrame, text: Column, name: str = "vector") -> DataFrame:
     """``rows`` with the character vector of a text: how often each of 36 letters and digits stands in it, as a unit
-    vector. The lower-case text and the norm are worked out once a row."""
-    low = rows.withColumn("__low", F.lower(F.coalesce(text, F.lit(""))))
-    count = lambda c: (F.length("__low") - F.length(F.replace("__low", F.lit(c), F.lit("")))).cast("double")
-    counted = low.withColumn("__counts", F.array(*map(count, LETTERS)))
-    normed = counted.withColumn("__norm", F.sqrt(dot(F.col("__counts"), F.col("__counts"))))
-    scaled = F.transform("__counts", lambda x: x / F.when(F.col("__norm") > 0, F.col("__norm")).otherwise(1.0))
-    return normed.withColumn(name, scaled).drop("__low", "__counts", "__norm")
+    vector (zero for a text without any). One pass over Arrow batches: 36 built-in replacements of the same text took ten times
+    as long."""
+    return rows.withColumn(name, _char_vector(text))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.functions.text import extension, folder_top, point_id, word_chunks
+from siltstone.functions.text import extension, folder_top, point_id, word_slices, words
 from siltstone.schema import PREVIEW_CHARS, SNIPPET_STORED
 from siltstone.tables import Versions
 
 
 def chunk_table(files: DataFrame, text_of: str = "text") -> DataFrame:
     """Chunks of ``files (path, text, mtime, size)``: pages of 500 words with their keys."""
-    pages = files.select("path", "mtime", "size", F.posexplode(word_chunks(F.col(text_of))).alias("at", "text"))
+    split = files.select("path", "mtime", "size", words(F.col(text_of)).alias("words"))
+    pages = split.select("path", "mtime", "size", F.posexplode(word_slices(F.col("words"))).alias("at", "text"))
     return page_table(pages.withColumn("page", (F.col("at") + 1).cast("int")).withColumn("chunk_idx", F.lit(0)))
 
 

@@ -389,13 +389,13 @@ def context_window(spark, sf_dir):
 @_query(_with(_CHUNKS) + "SELECT page, snippet AS text FROM chunks WHERE path = (SELECT path FROM files ORDER BY size DESC, path LIMIT 1) AND page = 2")
 def read_page(spark, sf_dir):
     path = _files(spark, sf_dir).orderBy(F.desc("size"), "path").select("path").first()[0]
-    return store.read_pages(_chunks(spark, sf_dir), path, 2, 2)
+    return store.read_pages(_stored(spark, sf_dir), path, 2, 2)
 
 
 @_query(_with(_CHUNKS) + "SELECT page, snippet AS text FROM chunks WHERE path = (SELECT path FROM files ORDER BY size DESC, path LIMIT 1) AND page BETWEEN 2 AND 21")
 def read_range(spark, sf_dir):
     path = _files(spark, sf_dir).orderBy(F.desc("size"), "path").select("path").first()[0]
-    return store.read_pages(_chunks(spark, sf_dir), path, 2, 60)
+    return store.read_pages(_stored(spark, sf_dir), path, 2, 60)
 
 
 # --- the store -------------------------------------------------------------------------------------------------
@@ -434,7 +434,7 @@ def exists_path_mtime(spark, sf_dir):
     + "SELECT point_id, path, page, snippet FROM last UNION ALL SELECT point_id, path, page, snippet FROM chunks WHERE point_id NOT IN (SELECT point_id FROM last)"
 )
 def upsert_latest(spark, sf_dir):
-    stored = _chunks(spark, sf_dir).select("point_id", "path", "page", "snippet")
+    stored = _stored(spark, sf_dir).select("point_id", "path", "page", "snippet")
     first = stored.where("page = 1")
     new = first.withColumns({"snippet": F.lit("v1"), "seq": F.lit(1)}).unionAll(first.where(F.col("path").endswith("0.txt")).withColumns({"snippet": F.lit("v2"), "seq": F.lit(2)}))
     return store.upsert(stored, new)
@@ -443,20 +443,20 @@ def upsert_latest(spark, sf_dir):
 @_query(_with(_CHUNKS) + "SELECT point_id, path FROM chunks WHERE path <> (SELECT min(path) FROM files)")
 def delete_by_path(spark, sf_dir):
     path = _files(spark, sf_dir).agg(F.min("path")).first()[0]
-    return store.delete_path(_chunks(spark, sf_dir), path).select("point_id", "path")
+    return store.delete_path(_stored(spark, sf_dir), path).select("point_id", "path")
 
 
 @_query(_with(_CHUNKS, "new AS (SELECT path, page, snippet FROM chunks WHERE page = 1 AND carpeta_top = 'src1')") + "SELECT path, page, 'new' AS origin FROM new UNION ALL SELECT path, page, 'old' FROM chunks WHERE path NOT IN (SELECT path FROM new)")
 def replace_file(spark, sf_dir):
-    stored = _chunks(spark, sf_dir).select("path", "page", F.lit("old").alias("origin"))
-    new = _chunks(spark, sf_dir).where("page = 1 AND carpeta_top = 'src1'").select("path", "page", F.lit("new").alias("origin"))
+    stored = _stored(spark, sf_dir).select("path", "page", F.lit("old").alias("origin"))
+    new = _stored(spark, sf_dir).where("page = 1 AND carpeta_top = 'src1'").select("path", "page", F.lit("new").alias("origin"))
     return store.replace_file(stored, new)
 
 
 @_query(_with(_CHUNKS) + "SELECT point_id, CASE WHEN page % 2 = 0 THEN '' ELSE 'x' || carpeta_top END AS old, carpeta_top AS new FROM chunks WHERE page <> 3")
 def backfill_diff(spark, sf_dir):
     old = F.when(F.col("page") == 3, F.col("carpeta_top")).when(F.col("page") % 2 == 0, F.lit(None)).otherwise(F.concat(F.lit("x"), "carpeta_top"))
-    chunks = _chunks(spark, sf_dir).select("point_id", "path", old.alias("stored"))
+    chunks = _stored(spark, sf_dir).select("point_id", "path", old.alias("stored"))
     return store.backfill(chunks, "stored", text.folder_top(F.col("path")))
 
 
