@@ -18,6 +18,18 @@ from siltstone.llm.simhash import near_duplicates
 from siltstone.llm.toxicity import learn_from, toxicity
 
 
+#: Ids up to which the documents that go are broadcast; beyond, both sides are shuffled by id.
+BROADCAST_IDS = 1_000_000
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without those of the ids in ``gone``; documents without an id stay. The ids are written, so that they are
+    counted and joined as they are."""
+    ids = Scratch(docs.sparkSession, "gone").keep(gone.select(F.col("doc_id").alias("__gone_id")).where("__gone_id is not null").distinct())
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["__gone_id"], "left_anti")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents that score as toxic go.
 
@@ -53,8 +65,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     stay or go together, and those without an id stay. A text of any length is hashed whole; an empty table stays
     one. Other columns, whatever their names, pass through.
     """
-    copies = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct()
-    return docs.join(copies, docs["doc_id"] == copies["copy_id"], "left_anti")
+    return _without(docs, near_duplicates(docs).where("doc_id <> component_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +75,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     that overlaps would need one to be told, so they stay. A text of any length is compared whole; an empty table, of
     documents or of items, changes nothing. Other columns, whatever their names, pass through.
     """
-    found = find_overlaps(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(found, docs["doc_id"] == found["leak_id"], "left_anti")
+    return _without(docs, find_overlaps(docs, read_table(spark, sf_dir, "benchmark")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
