@@ -142,3 +142,33 @@ def test_prefix_keys_miss_no_pair_and_bands_few():
         (a, na), (b, nb) = prefix_keys(one, 0.8, own), prefix_keys(two, 0.8, own)
         ends_a, ends_b = np.cumsum(na), np.cumsum(nb)
         assert all(set(a[ends_a[i] - na[i] : ends_a[i]]) & set(b[ends_b[i] - nb[i] : ends_b[i]]) for i in similar)
+
+
+def test_lines_far_from_their_hub_meet_all_others(spark):
+    """A crowded key of several families, of which only the hub's own is similar to it."""
+    from siltstone.llm import line_dedup
+    from siltstone.llm.common import Scratch
+    from siltstone.llm.graph import components
+
+    lines = []
+    for _ in range(5):
+        base = draw.choices(VOCABULARY, k=30)
+        lines += [" ".join(base[:k] + [f"y{k}"] + base[k + 1 :]) for k in draw.sample(range(30), 8)]
+    rows = [(i, 7 * i, x) for i, x in enumerate(lines)]
+    texts = spark.createDataFrame(rows, "h long, g long, line string")
+    crowded = spark.createDataFrame([(1, h, len(x)) for h, _, x in rows] + [(2, h, len(x)) for h, _, x in rows if h % 2], "key long, h long, chars int")
+    scratch = Scratch(spark, "hubs")
+    edges, groups = line_dedup._around_hubs(scratch, crowded, texts, 0.8, crowd=6, crowd_chars=1 << 22)
+    sizes = [r["count"] for r in groups.distinct().groupBy("grp").count().collect()]
+    assert len(sizes) > 10 and max(sizes) < len(lines) / 2
+    joined = components(scratch, edges.unionAll(line_dedup._verified(groups.distinct(), texts, 0.8)))
+    number = {r.node: r.h for r in texts.select("h", line_dedup._node().alias("node")).collect()}
+    got = {number[r.node]: r.root for r in joined.collect()}
+    sets = _sets(lines)
+    want = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if _jaccard(sets[i], sets[j]) >= 0.8:
+                want = [want[i] if x == want[j] else x for x in want]
+    pairs = {(want[h], got.get(h, h)) for h in range(len(lines))}
+    assert len(pairs) == len(set(want)) == len({b for _, b in pairs}) and len(set(want)) < len(lines)

@@ -190,7 +190,7 @@ def test_packing(docs, none):
     for d, own in by_doc.items():
         raw = b"".join(bytes(p.ids) for p in sorted(own, key=lambda p: p.start))
         assert raw == b"".join(i.to_bytes(4, "little") for i in want[d]) and all(p.doc_tokens == len(want[d]) for p in own)
-        assert all(zlib.crc32(bytes(p.ids)) >= 0 and len(p.ids) == 4 * p.length for p in own)
+        assert all(len(p.ids) == 4 * p.length for p in own)
     assert set(by_doc) == set(want)
     for own in by_sequence.values():
         own.sort(key=lambda p: p.offset)
