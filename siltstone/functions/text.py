@@ -42,16 +42,19 @@ def strings(values: list[str]) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
 
-def normalize(text: Column) -> Column:
-    """Lower case, compatibility forms and accents of Latin letters undone, whether composed or not, white space as
-    single spaces, trimmed."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    flat = F.translate(low, _MARKED, _PLAIN)
+def fold(text: Column) -> Column:
+    """Lower case, compatibility forms and accents of Latin letters undone, whether composed or not."""
+    flat = F.translate(F.lower(F.coalesce(text, F.lit(""))), _MARKED, _PLAIN)
     odd = flat.rlike(r"[\p{M}\x{FB00}-\x{FB06}]")
     bare = F.regexp_replace(flat, r"\p{M}+", "")
     for sign, letters in _LIGATURES.items():
         bare = F.replace(bare, F.lit(sign), F.lit(letters))
-    return F.trim(F.regexp_replace(F.when(odd, bare).otherwise(flat), r"(?U)\s+", " "))
+    return F.when(odd, bare).otherwise(flat)
+
+
+def normalize(text: Column) -> Column:
+    """``fold`` with white space as single spaces, trimmed."""
+    return F.trim(F.regexp_replace(fold(text), r"(?U)\s+", " "))
 
 
 def words(text: Column) -> Column:

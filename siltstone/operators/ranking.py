@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.analysis import CITATION, is_case_file
-from siltstone.functions.text import dot, file_tokens, keywords, matches_all, normalize, words
+from siltstone.functions.text import dot, file_tokens, fold, keywords, matches_all, normalize
 from siltstone.schema import CONTEXT_CHARS
 
 
@@ -47,16 +47,18 @@ def rerank(queries: DataFrame, pool: DataFrame, block: int | None = None) -> Dat
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """``term, id, tf`` of ``chunks (id, text)``, the inverted index. The terms are those of ``terms_of``; only words with
-    other than ASCII characters are normalised."""
-    raw = chunks.select("id", F.explode(words(F.lower(F.col("text")))).alias("word"))
-    flat = F.when(F.col("word").rlike(r"[^\x00-\x7F]"), normalize(F.col("word"))).otherwise(F.col("word"))
-    terms = raw.select("id", F.split(flat, r"[^\p{L}\p{N}]+").alias("terms")).select("id", F.explode("terms").alias("term")).where("term <> ''")
+    """``term, id, tf`` of ``chunks (id, text)``, the inverted index."""
+    flat = chunks.select("id", fold(F.col("text")).alias("flat"))
+    terms = flat.select("id", F.explode(F.split("flat", _NO_TERM)).alias("term")).where("term <> ''")
     return terms.groupBy("term", "id").agg(F.count("*").alias("tf"))
 
 
+_NO_TERM = r"[^\p{L}\p{N}]+"
+
+
 def terms_of(text: Column) -> Column:
-    return F.array_remove(F.split(normalize(text), r"[^\p{L}\p{N}]+"), "")
+    """The terms of the inverted index in a text: folded runs of letters and digits."""
+    return F.array_remove(F.split(fold(text), _NO_TERM), "")
 
 
 def lengths(index: DataFrame) -> DataFrame:
