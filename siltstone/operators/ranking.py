@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.analysis import CITATION, is_case_file
 from siltstone.functions.text import dot, file_tokens, fold, keywords, matches_all, normalize
+from siltstone.operators.nearest import BLOCK_ROWS, nearest
 from siltstone.schema import CONTEXT_CHARS
 
 
@@ -14,26 +15,32 @@ from siltstone.schema import CONTEXT_CHARS
 FEW_QUERIES = 256
 
 
-def _met(queries: DataFrame, vectors: DataFrame, scope: Column | None, block: int | None) -> DataFrame:
-    """Each query with each row of ``vectors`` in its scope. At most ``FEW_QUERIES`` are broadcast; of more, ``block``
-    at a time meet a partition of ``vectors``, so that neither side has to fit in memory."""
-    on = scope if scope is not None else F.lit(True)
+def _met(queries: DataFrame, vectors: DataFrame, block: int | None) -> DataFrame:
+    """Each query with each row of ``vectors``. At most ``FEW_QUERIES`` are broadcast; of more, ``block`` at a time
+    meet a partition of ``vectors``, so that neither side has to fit in memory."""
     n = queries.count()
     if n <= FEW_QUERIES and block is None:
-        return vectors.join(F.broadcast(queries), on)
+        return vectors.join(F.broadcast(queries))
     blocks = max(1, -(-n // (block or FEW_QUERIES)))
-    return vectors.join(queries.repartition(blocks).hint("shuffle_replicate_nl"), on)
+    return vectors.join(queries.repartition(blocks).hint("shuffle_replicate_nl"))
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, scope: Column | None = None, per: str | None = None, block: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, same: tuple[str, str] | None = None, per: str | None = None, block: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """``qid, id, score, rank``: the k nearest by dot product of unit vectors, ties by id; with ``per``, a column
     of ``vectors``, also that column and the k nearest in each of its values; and the columns of ``carry``.
+    ``same (a, b)``: only rows of ``vectors`` whose ``a`` is the query's ``b``. What has no product is no candidate.
 
-    ``queries (qid, q)`` is broadcast if it is counted as small (a request's variants), else met in blocks of ``block``;
-    each row of ``vectors (id, vector, ...)`` is scored where it lies, and only k rows a task and query move.
+    ``queries (qid, q)`` is broadcast if it is counted as small (a request's variants), else, or with a ``block``, met in
+    blocks (``nearest``); each row of ``vectors (id, vector, ...)`` is scored where it lies, and only k rows a task and
+    query move.
     """
     extra = [per] if per else []
-    scored = _met(queries, vectors, scope, block).select("qid", *extra, "id", *carry, F.round(dot(F.col("q"), F.col("vector")), 6).alias("score"))
+    if block is None and queries.count() <= FEW_QUERIES:
+        on = F.col(same[0]) == F.col(same[1]) if same else F.lit(True)
+        met = vectors.join(F.broadcast(queries), on)
+        scored = met.select("qid", *extra, "id", *carry, F.round(dot(F.col("q"), F.col("vector")), 6).alias("score")).where("score is not null and not isnan(score)")
+    else:
+        scored = nearest(queries, vectors, k, same, per, carry, block or BLOCK_ROWS)
     rank = F.row_number().over(Window.partitionBy("qid", *extra).orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -41,7 +48,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, scope: Column | None =
 def rerank(queries: DataFrame, pool: DataFrame, block: int | None = None) -> DataFrame:
     """``qid, pos, id, score, rank`` of every row of ``pool (pos, id, vector)`` for each of ``queries (qid, q)``: by
     similarity, rows without a vector behind in the pool's order."""
-    scored = _met(queries, pool, None, block).select("qid", "pos", "id", F.round(dot(F.col("q"), F.col("vector")), 6).alias("score"))
+    scored = _met(queries, pool, block).select("qid", "pos", "id", F.round(dot(F.col("q"), F.col("vector")), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc_nulls_last(), "pos"))
     return scored.withColumn("rank", rank)
 

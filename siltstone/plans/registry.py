@@ -12,6 +12,7 @@ from siltstone.functions import analysis, models, text
 from siltstone.functions.text import strings
 from siltstone.operators import conversation, ranking, store
 from siltstone.operators.index import ChunkIndex
+from siltstone.operators.nearest import BLOCK_ROWS
 from siltstone.plans import cases
 from siltstone.plans.cases import spark_frame, sql_values
 from siltstone.streaming.ingest import stream_ingest
@@ -181,17 +182,17 @@ def _embedded(spark, sf_dir):
 
 @_query(_with(_SCORED) + _TOP.format(""))
 def vector_topk(spark, sf_dir):
-    return ranking.top_k(*_embedded(spark, sf_dir), 20, block=_BLOCK_QUERIES)
+    return ranking.top_k(*_embedded(spark, sf_dir), 20, block=BLOCK_ROWS)
 
 
 @_query(_with(_SCORED) + _TOP.format("WHERE label = q_label"))
 def vector_topk_scoped(spark, sf_dir):
-    return ranking.top_k(*_embedded(spark, sf_dir), 20, F.col("label") == F.col("q_label"), block=_BLOCK_QUERIES)
+    return ranking.top_k(*_embedded(spark, sf_dir), 20, same=("label", "q_label"), block=BLOCK_ROWS)
 
 
 @_query(_with(_SCORED) + "SELECT qid, label, id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 3")
 def topk_per_label(spark, sf_dir):
-    return ranking.top_k(*_embedded(spark, sf_dir), 3, per="label", block=_BLOCK_QUERIES)
+    return ranking.top_k(*_embedded(spark, sf_dir), 3, per="label", block=BLOCK_ROWS)
 
 
 @_query(_with(_SCORED) + "SELECT qid, id + 1 AS pos, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM s")

@@ -33,6 +33,40 @@ def test_every_hundredth_row_is_a_query_and_blocks_change_nothing(spark, tmp_pat
         assert {(r.qid, r.id, r.rank) for r in got.collect()} == {(q, i, n) for q, found in order.items() for n, (_, i, _) in enumerate(found[:7], 1)}
 
 
+def test_blocks_of_odd_rows(spark):
+    """Nulls, other lengths, equal vectors and text ids, against a plain loop; few rows a block and cell, and none."""
+    from siltstone.operators.nearest import nearest
+
+    rows = [(f"v{i}", [1.0, 0.0] if i % 3 else [0.5, float(i % 5)], None if i == 7 else i % 2) for i in range(40)]
+    rows += [("n", None, 0), ("short", [1.0], 1), ("hole", [1.0, None], 0), ("nan", [float("nan"), 1.0], 1), ("none", [], 0)]
+    asked = [(1, [1.0, 0.5], 0), (2, [-1.0, 0.0], 1), (3, None, 0), (4, [0.0, 1.0], None), (5, [2.0], 1)]
+    vectors = spark.createDataFrame(rows, "id string, vector array<double>, kind int")
+    queries = spark.createDataFrame(asked, "qid long, q array<double>, q_kind int")
+
+    def plain(k, same, per):
+        out = set()
+        for q, a, own in asked:
+            met = []
+            for i, v, kind in rows:
+                if a is None or v is None or len(a) != len(v) or None in v or (same and (own is None or own != kind)):
+                    continue
+                s = round(sum(x * y for x, y in zip(a, v, strict=True)), 6)
+                if s == s:
+                    met.append((-s, i, kind))
+            for part in {m[2] for m in met} if per else {None}:
+                own_part = sorted((m[:2] for m in met if not per or m[2] == part))
+                out |= {(q, part, i, -s, n) for n, (s, i) in enumerate(own_part[:k], 1)}
+        return out
+
+    for same, per in ((None, None), (("kind", "q_kind"), None), (None, "kind")):
+        for block in (None, 2):
+            got = ranking.top_k(queries, vectors, 4, same=same, per=per, block=block).collect()
+            assert {(r.qid, r.kind if per else None, r.id, r.score, r.rank) for r in got} == plain(4, same, per)
+    small = nearest(queries, vectors, 4, block_rows=2, cell_rows=7)
+    assert {(r.qid, r.id, r.score) for r in small.collect()} >= {(q, i, s) for q, _, i, s, _ in plain(4, None, None)}
+    assert nearest(queries, vectors.limit(0), 4).count() == 0 and nearest(queries.limit(0), vectors, 4).count() == 0
+
+
 def test_rerank_keeps_rows_without_a_vector_behind(spark):
     pool = spark.createDataFrame([(1, 10, None), (2, 11, [0.0, 1.0]), (3, 12, None), (4, 13, [1.0, 0.0])], "pos long, id long, vector array<float>")
     queries = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "qid long, q array<float>")
