@@ -46,9 +46,9 @@ class ChunkIndex:
             add = vectors or (lambda rows: with_char_vector(rows, F.col("text")))
             chunks = store.chunk_table(files).repartitionByRange("carpeta_top", "path").sortWithinPartitions("carpeta_top", "path", "page")
             self._next("chunks", add(chunks))
-        for name, text in (("", F.col("text")), ("_named", F.concat_ws(" ", F.substring_index("path", "/", -1), "text"))):
+        for name in ("", "_named"):
             if only in (None, f"postings{name}"):
-                self._next(f"postings{name}", ranking.postings(files.select(F.col("doc_id").alias("id"), text.alias("text"))))
+                self._next(f"postings{name}", self._postings(files, name))
             if only in (None, f"lengths{name}"):
                 self._next(f"lengths{name}", ranking.lengths(self.table(f"postings{name}")))
         return self
@@ -58,10 +58,37 @@ class ChunkIndex:
         done = own.done()
         own.write(rows, done[-1] + 1 if done else 0)
 
-    def replace(self, files: DataFrame) -> None:
-        """Chunks of these files in place of those that the index has of them; the inverted index is left as it is."""
-        new = with_char_vector(store.chunk_table(files), F.col("text"))
-        self._next("chunks", store.replace_file(self.table("chunks"), new))
+    @staticmethod
+    def _postings(files: DataFrame, name: str) -> DataFrame:
+        text = F.concat_ws(" ", F.substring_index("path", "/", -1), "text") if name else F.col("text")
+        return ranking.postings(files.select(F.col("doc_id").alias("id"), text.alias("text")))
+
+    def replace(self, files: DataFrame, vectors: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """What the index has of these files goes, chunks and postings, and what they are now comes in; a file that lost
+        its text leaves nothing behind. Tables that were never built stay so."""
+        add = vectors or (lambda rows: with_char_vector(rows, F.col("text")))
+        if self.versions("chunks").done():
+            self._next("chunks", store.replace_file(self.table("chunks"), add(store.chunk_table(files)), files))
+        self._repost(files, files)
+
+    def remove(self, files: DataFrame) -> None:
+        """What the index has of ``files (doc_id, path)`` goes, chunks and postings."""
+        if self.versions("chunks").done():
+            self._next("chunks", self.table("chunks").join(files.select("path").distinct(), "path", "left_anti"))
+        self._repost(files, None)
+
+    def _repost(self, gone: DataFrame, files: DataFrame | None) -> None:
+        ids = gone.select(F.col("doc_id").alias("id")).distinct()
+        for name in ("", "_named"):
+            for table in (f"postings{name}", f"lengths{name}"):
+                if not self.versions(table).done():
+                    continue
+                old = self.table(table)
+                kept = old.join(ids, "id", "left_anti").select(*old.columns)
+                if files is not None:
+                    new = self._postings(files, name)
+                    kept = kept.unionByName(new if table.startswith("postings") else ranking.lengths(new))
+                self._next(table, kept)
 
 
 class FolderCache:

@@ -51,9 +51,11 @@ def upsert(stored: DataFrame, new: DataFrame, key: str = "point_id", seq: str =
     return stored.join(fresh.select(key), key, "left_anti").select(*stored.columns).unionByName(fresh)
 
 
-def replace_file(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """All chunks of the files in ``new`` are replaced, so that a shorter file leaves none behind."""
-    return stored.join(new.select("path").distinct(), "path", "left_anti").select(*stored.columns).unionByName(new.select(*stored.columns))
+def replace_file(stored: DataFrame, new: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """All chunks of the files in ``new`` are replaced, so that a shorter file leaves none behind; with ``files (path)``
+    those of all these files, also of one that has no chunk any more."""
+    gone = (new if files is None else files).select("path").distinct()
+    return stored.join(gone, "path", "left_anti").select(*stored.columns).unionByName(new.select(*stored.columns))
 
 
 def delete_path(stored: DataFrame, path: str) -> DataFrame:

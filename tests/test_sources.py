@@ -138,12 +138,29 @@ def test_index_is_built_read_and_changed(spark, tmp_path):
     index.replace(files.where("doc_id = 1").withColumn("text", F.lit("corto")))
     assert {(r.path, r.page) for r in index.table("chunks").collect()} == {("/a/x.txt", 1), ("/b/y.txt", 1)}
     assert store.collection_info(index.table("chunks")).first().asDict() == {"points": 2, "files": 2, "vector_size": 36}
+    assert {(r.term, r.id): r.tf for r in index.table("postings").collect()} == {("corto", 1): 1, ("tres", 2): 1}
+    assert {r.id: r.dl for r in index.table("lengths_named").collect()} == {1: 3, 2: 3, 3: 2}
     now, asked = [0.0], []
     cache = FolderCache(lambda: asked.append(1) or index.table("chunks"), 60, lambda: now[0])
     assert {r[0] for r in cache.folders().collect()} == {"a", "b"} and cache.folders() is cache.folders() and len(asked) == 1
     now[0] = 61.0
     cache.folders()
     assert len(asked) == 2
+    index.replace(files.where("doc_id = 2").withColumn("text", F.lit("")))
+    assert [r.path for r in index.table("chunks").collect()] == ["/a/x.txt"] and {r.id for r in index.table("lengths").collect()} == {1}
+    index.remove(files.where("doc_id = 1"))
+    assert not index.table("chunks").count() and not index.table("postings").count() and {r.id for r in index.table("lengths_named").collect()} == {2, 3}
+
+
+def test_index_changes_only_tables_it_has(spark, tmp_path):
+    from siltstone.operators.index import ChunkIndex
+
+    files = spark.createDataFrame([(1, "/a/x.txt", "uno", 1.0, 3)], "doc_id long, path string, text string, mtime double, size long")
+    index = ChunkIndex(spark, f"file://{tmp_path}/index")
+    index.build(files, only="postings")
+    index.replace(files.withColumn("text", F.lit("dos dos")))
+    assert [tuple(r) for r in index.table("postings").select("term", "id", "tf").collect()] == [("dos", 1, 2)]
+    assert not index.versions("chunks").done() and not index.versions("lengths").done()
 
 
 def test_backfill_writes_a_snapshot_and_a_version(spark, tmp_path):
