@@ -44,7 +44,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(read_table(spark, sf_dir, "documents"))
+    return quality(read_table(spark, sf_dir, "documents")).drop("text")
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

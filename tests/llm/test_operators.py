@@ -155,6 +155,16 @@ def test_quality_removes_frequent_lines(spark):
     assert out[100].removed_chars == out[101].removed_chars == 0 and out[100].kept
 
 
+def test_quality_texts_lose_the_frequent_lines(spark):
+    own = [f"Own {a}{b} line" for a in VOCABULARY[:8] for b in VOCABULARY[:5]]
+    rows = [(i, f" Page {i} OF 12\r\n\n{x}\nMENU  \n\nmenu\n{x}\n", "h") for i, x in enumerate(own)]
+    rows += [(50, "MENU\npage 3 of 4\r", "h"), (50, "MENU\npage 3 of 4\r", "h"), (51, "only this", "h"), (52, None, "h"), (53, "", "h"), (54, "MENU\nb", "other"), (55, "menu\n" * 3000 + "last", "h"), (56, "7 MENU", "h")]
+    got = sorted((r.doc_id, r.text or "", r.text is None, r.removed_chars) for r in quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    want = [(i, f"\n{x}\n\n{x}\n", False, 12 + 4 + 4) for i, x in enumerate(own)]
+    want += [(50, "", False, 4 + 12)] * 2 + [(51, "only this", False, 0), (52, "", True, 0), (53, "", False, 0), (54, "MENU\nb", False, 0), (55, "last", False, 12000), (56, "7 MENU", False, 0)]
+    assert got == want
+
+
 def test_secrets(spark, docs, none):
     ratio = learn([" ".join(VOCABULARY)])
     got = docs.select("doc_id", secret_spans(docs, ratio).alias("s")).collect()
