@@ -34,6 +34,11 @@ _CELLS = 1 << 20
 _EMPTY = 0xFFFFFFFF
 #: Characters that are hashed at a time.
 _STEP = 1 << 18
+#: Lines of a group up to which each is compared with each.
+_PAIRWISE = 24
+#: A key of a line as it is shuffled, and how many of them a task gathers before it lets crowded ones go.
+_MET = np.dtype([("key", "<i8"), ("h", "<i8"), ("chars", "<i4")])
+_HELD = 4_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -166,7 +171,10 @@ class _Group:
         self.kinds = len(often)
         rank = np.empty(self.kinds, dtype=np.int64)
         rank[np.argsort(often, kind="stable")] = np.arange(self.kinds)
-        code = np.unique(owner * self.kinds + rank[number])
+        code = np.sort(owner * self.kinds + rank[number])  # np.unique would hash, which is slower here
+        once = np.ones(len(code), dtype=bool)
+        once[1:] = code[1:] != code[:-1]
+        code = code[once]
         self.flat, owner = code % self.kinds, code // self.kinds
         self.size = np.bincount(owner, minlength=len(lines))
         self.begin = np.cumsum(self.size) - self.size
@@ -201,19 +209,34 @@ def _similar_rows(a: int, b: np.ndarray, common: np.ndarray, similarity: float)
     return common >= similarity * (a + b - common) - 1e-9
 
 
-def group_edges(lines: list[str], similarity: float) -> list[tuple[int, int]]:
+def _sorted_sets(lines: list[str]) -> list[np.ndarray]:
+    """The shingles of each line, sorted, each once."""
+    windows, ends, _ = _windows(lines)
+    out = []
+    for t, e in zip(lines, ends.tolist(), strict=True):
+        own = np.sort(windows[e - len(t) : max(e - _SHINGLE + 1, e - len(t))])
+        out.append(own[np.concatenate(([True], own[1:] != own[:-1]))] if len(own) else own)
+    return out
+
+
+def group_edges(lines: list[str], similarity: float, known: list[int] | None = None) -> list[tuple[int, int]]:
     """Edges (by place) that join whatever links among the lines: each line that nothing has reached yet is
-    compared with all others, and then each line outside of the largest cluster with those of other clusters."""
+    compared with all others, and then each line outside of the largest cluster with those of other clusters.
+    Lines with the same number in ``known`` are joined already."""
     n = len(lines)
-    if n <= 6:
-        sets, edges, label = _shingle_sets(lines), [], list(range(n))
+    if n <= _PAIRWISE:
+        sets, edges, label = _sorted_sets(lines), [], list(known or range(n))
         for i in range(n):
             for j in range(i + 1, n):
-                if label[i] != label[j] and _similar(len(sets[i]), len(sets[j]), len(sets[i] & sets[j]), similarity):
+                a, b = len(sets[i]), len(sets[j])
+                if label[i] == label[j] or not _similar(a, b, min(a, b), similarity):
+                    continue
+                both = np.sort(np.concatenate((sets[i], sets[j])))
+                if _similar(a, b, int(np.count_nonzero(both[1:] == both[:-1])), similarity):
                     edges.append((i, j))
                     label = [label[i] if x == label[j] else x for x in label]
         return edges
-    group, edges, label = _Group(lines, similarity), [], np.arange(n)
+    group, edges, label = _Group(lines, similarity), [], np.array(known or range(n))
     reached, asked = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
 
     def compare(i: int) -> None:
@@ -305,48 +328,97 @@ def _signed(bodies: DataFrame, min_chars: int, similarity: float, remember: int)
     return bodies.mapInArrow(run, "doc long, text_hash long, at int, h long, g long, chars int, bands array<bigint>")
 
 
-def _met(rows: DataFrame, crowd: int, crowd_chars: int) -> DataFrame:
-    """``grp, h, chars, key`` of lines that share a key of ``rows (key, h, chars)``. Groups with the same lines have
-    the same ``grp``. Rows of a key with over ``crowd`` lines or ``crowd_chars`` characters have it as ``key``."""
-    kinds = {"grp": pa.int64(), "h": pa.int64(), "chars": pa.int32(), "key": pa.int64()}
+def _met(rows: DataFrame, n_keys: int, crowd: int, crowd_chars: int) -> DataFrame:
+    """``grp, least, h, chars, key`` of lines that share one of their keys, of ``rows (keys, h, chars)`` with about ``n_keys``
+    keys in all. Groups with the same lines have the same ``grp``; ``least`` is the least ``h`` of the group. Rows of a key with over ``crowd`` lines or ``crowd_chars``
+    characters have it as ``key``, and a few of them may come twice.
+
+    Keys go to buckets, of which there are as many as keep them small, and are shuffled as packed values, a few for each
+    task and bucket; a bucket is sorted in one piece. What it holds of crowded keys leaves it whenever it grows beyond
+    ``_HELD`` keys, so that a key of any number of lines passes through.
+    """
+    buckets = max(256, n_keys // 250_000)
+    kinds = {"grp": pa.int64(), "least": pa.int64(), "h": pa.int64(), "chars": pa.int32(), "key": pa.int64()}
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def packed() -> pa.RecordBatch:
+            own = np.concatenate(held) if held else np.zeros(0, _MET)
+            held.clear()
+            bucket = ((own["key"].view(_U) >> _U(32)) * _U(buckets) >> _U(32)).astype(np.uint16 if buckets <= 1 << 16 else np.int32)
+            own = own[np.argsort(bucket, kind="stable")]
+            size = np.bincount(bucket, minlength=buckets)
+            some = np.flatnonzero(size)
+            ends = np.concatenate(([0], np.cumsum(size[some]) * _MET.itemsize)).astype(np.int32)
+            data = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(own.tobytes())])
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), data], names=["bucket", "data"])
+
+        for batch in batches:
+            keys = batch.column(0)
+            per = keys.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            own = np.empty(int(per.sum()), _MET)
+            own["key"], own["h"], own["chars"] = keys.flatten().to_numpy(), np.repeat(batch.column(1).to_numpy(), per), np.repeat(batch.column(2).to_numpy(), per)
+            held.append(own)
+            if sum(map(len, held)) > 1 << 20:
+                yield packed()
+        yield packed()
+
+    def settle(own: np.ndarray, hot: set[int], last: bool) -> tuple[np.ndarray, pa.RecordBatch]:
+        """What stays in the bucket, and the rows that leave it; the ``hot`` are keys known to be crowded."""
+        keys = np.ascontiguousarray(own["key"])
+        order = np.argsort(keys)
+        keys = keys[order]
+        same = keys[1:] == keys[:-1]
+        several = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        if hot:
+            several |= np.isin(keys, np.array(list(hot)))
+        alone, own = own[order[~several]] if not last else own[:0], own[order[several]]
+        own = own[np.lexsort((own["h"], own["key"]))]
+        first = np.ones(len(own), dtype=bool)
+        first[1:] = (own["key"][1:] != own["key"][:-1]) | (own["h"][1:] != own["h"][:-1])
+        own = own[first]
+        begin = np.flatnonzero(np.concatenate(([True], own["key"][1:] != own["key"][:-1]))) if len(own) else np.zeros(0, np.int64)
+        size = np.diff(begin, append=len(own))
+        total = np.add.reduceat(own["chars"].astype(np.int64), begin) if len(own) else size
+        crowded = (size > crowd) | ((size > 1) & (total > crowd_chars))
+        if hot:
+            crowded |= np.isin(own["key"][begin], np.array(list(hot)))
+        hot.update(own["key"][begin[crowded]].tolist())
+        group = _mix(np.add.reduceat(_mix(own["h"].view(_U)), begin) + size.astype(_U)).view(np.int64) if len(own) else size
+        of_crowded, grp = np.repeat(crowded, size), np.repeat(np.where(crowded, 0, group), size)
+        leaves = of_crowded | (np.repeat(size > 1, size) if last else False)
+        gone = own[leaves]
+        columns = [grp[leaves], np.repeat(own["h"][begin], size)[leaves], gone["h"], gone["chars"], pa.array(gone["key"], mask=~of_crowded[leaves])]
+        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+        return np.concatenate((alone, own[~leaves])), out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last, crowded, total = None, None, False, 0
-        own: list[tuple[int, int]] = []
-        out: dict[str, list] = {k: [] for k in kinds}
-
-        def close() -> None:
-            if len(own) > 1 or crowded:
-                hs = [h for h, _ in own]
-                out["grp"].extend([0 if crowded else hash(tuple(hs))] * len(own))
-                out["h"].extend(hs)
-                out["chars"].extend(c for _, c in own)
-                out["key"].extend([key if crowded else None] * len(own))
-            own.clear()
+        bucket, held, n, limit, hot = None, [], 0, _HELD, set()
+
+        def leave(last: bool) -> Iterator[pa.RecordBatch]:
+            rest, out = settle(np.concatenate(held), hot, last)
+            held[:] = [] if last else [rest]
+            for i in range(0, len(out), 1 << 16):
+                yield out.slice(i, 1 << 16)
 
         for batch in batches:
-            k, h, c = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            # All but a few rows are alone with their key: look only at runs, and at the ends of the batch.
-            same = np.flatnonzero(np.diff(k) == 0)
-            rows = np.unique(np.concatenate((same, same + 1, [0, len(k) - 1]))).tolist() if len(k) else []
-            for i in rows:
-                if k[i] != key:
-                    close()
-                    key, last, crowded, total = int(k[i]), None, False, 0
-                if h[i] != last:
-                    last = int(h[i])
-                    own.append((last, int(c[i])))
-                    total += int(c[i])
-                    crowded = crowded or len(own) > crowd or (len(own) > 1 and total > crowd_chars)
-                    if crowded:
-                        close()
-            if len(out["h"]) > 20_000:
-                yield _arrow(kinds, out)
-                out = {k: [] for k in kinds}
-        close()
-        yield _arrow(kinds, out)
-
-    return rows.select("key", "h", "chars").repartition("key").sortWithinPartitions("key", "h").mapInArrow(run, "grp long, h long, chars int, key long")
+            for this, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if this != bucket:
+                    if held:
+                        yield from leave(True)
+                    bucket, n, limit, hot = this, 0, _HELD, set()
+                held.append(np.frombuffer(data.as_py(), _MET))
+                n += len(held[-1])
+                if n > limit:
+                    yield from leave(False)
+                    n = len(held[0])
+                    limit = max(_HELD, 2 * n)
+        if held:
+            yield from leave(True)
+
+    packs = rows.select("keys", "h", "chars").mapInArrow(pack, "bucket int, data binary")
+    return packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "grp long, least long, h long, chars int, key long")
 
 
 def _texts(bodies: DataFrame, signed: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -378,7 +450,7 @@ def _texts(bodies: DataFrame, signed: DataFrame, wanted: DataFrame, broadcast_ro
 
 
 def _prefixed(spark_rows: DataFrame, similarity: float) -> DataFrame:
-    """``key, h, chars`` of crowded lines ``(h, line)`` by their rarest shingles. How often shingles are is counted
+    """``keys, h, chars`` of crowded lines ``(h, line)`` by their rarest shingles. How often shingles are is counted
     over all of these lines, in a table of counters of one size whatever the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,22 +466,20 @@ def _prefixed(spark_rows: DataFrame, similarity: float) -> DataFrame:
     for r in spark_rows.select("h", "line").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r.cell] = r.n
     held = spark_rows.sparkSession.sparkContext.broadcast(counts)
-    kinds = {"key": pa.int64(), "h": pa.int64(), "chars": pa.int32()}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hs, lines = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for part in _parts(lines):
                 keys, per = prefix_keys(lines[part], similarity, held.value)
-                columns = [keys, np.repeat(hs[part], per), np.repeat([len(t) for t in lines[part]], per)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+                own = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per))), pa.int32()), pa.array(keys))
+                yield pa.RecordBatch.from_arrays([own, pa.array(hs[part], pa.int64()), pa.array([len(t) for t in lines[part]], pa.int32())], names=["keys", "h", "chars"])
 
-    return spark_rows.select("h", "line").mapInArrow(run, "key long, h long, chars int")
+    return spark_rows.select("h", "line").mapInArrow(run, "keys array<bigint>, h long, chars int")
 
 
 def _around_hubs(scratch: Scratch, crowded: DataFrame, texts: DataFrame, similarity: float, crowd: int, crowd_chars: int) -> tuple[DataFrame, DataFrame]:
     """Of keys that stay crowded: edges of their lines with the key's hub, the line of least hash, and groups
-    ``(grp, h)`` of those that are not similar to it, in blocks, with all others of the hub, in blocks."""
+    ``(grp, least, h)`` of those that are not similar to it, in blocks, with all others of the hub, in blocks."""
     hubs = scratch.keep(crowded.groupBy("key").agg(F.min("h").alias("hub")).withColumnRenamed("key", "of"))
     members = scratch.keep(crowded.join(hubs, F.col("key") == F.col("of")).select("hub", "h", "chars").distinct())
     hub_texts = scratch.keep(texts.select(F.col("h").alias("hub_h"), F.col("g").alias("hub_g"), F.col("line").alias("hub_line")).join(hubs.select(F.col("hub").alias("is_hub")).distinct(), F.col("hub_h") == F.col("is_hub"), "left_semi"))
@@ -437,7 +507,8 @@ def _around_hubs(scratch: Scratch, crowded: DataFrame, texts: DataFrame, similar
     dealt = compared.join(sizes, F.col("hub") == F.col("of")).withColumn("spot", F.xxhash64("h", F.lit(7)))
     dealt = dealt.withColumn("block", F.when(far, F.pmod("spot", F.col("n_far"))).otherwise(F.col("n_far") + F.pmod("spot", F.greatest("n_near", F.lit(1)))))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(far, F.col("n_far") + F.col("n_near")).otherwise(F.col("n_far")) - 1)))
-    groups = dealt.select(F.xxhash64("hub", F.least("block", "other"), F.greatest("block", "other")).alias("grp"), "h")
+    grp = F.xxhash64("hub", F.least("block", "other"), F.greatest("block", "other"))
+    groups = dealt.select(grp.alias("grp"), grp.alias("least"), "h")
     return compared.where("a is not null and a <> b").select("a", "b"), groups
 
 
@@ -470,16 +541,21 @@ class _Forest(dict):
 
 
 def _verified(groups: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    rows = groups.join(texts.select(F.col("h").alias("text_of"), _node().alias("node"), "line"), F.col("h") == F.col("text_of")).select("grp", "node", "line")
+    """Edges of the lines of each of the ``groups (grp, least, h)``. Groups with the same ``least`` meet in a task, which
+    compares no lines again that it has joined."""
+    rows = groups.join(texts.select(F.col("h").alias("text_of"), _node().alias("node"), "line"), F.col("h") == F.col("text_of")).select("grp", "node", "line", "least")
     kinds = {"a": pa.binary(), "b": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own, forest = None, {}, _Forest(200_000)
 
         def edges(out: dict[str, list]) -> None:
-            if len(own) > 1:
-                names = list(own)
-                for i, j in group_edges(list(own.values()), similarity):
+            if len(forest) > forest.limit:
+                forest.clear()
+            names, number = list(own), {}
+            known = [number.setdefault(forest.top(x), len(number)) for x in names]
+            if len(number) > 1:
+                for i, j in group_edges(list(own.values()), similarity, known):
                     if forest.join(names[i], names[j]):
                         out["a"].append(names[i])
                         out["b"].append(names[j])
@@ -496,19 +572,21 @@ def _verified(groups: DataFrame, texts: DataFrame, similarity: float) -> DataFra
         edges(last)
         yield _arrow(kinds, last)
 
-    return rows.repartition("grp").sortWithinPartitions("grp", "node").mapInArrow(run, "a binary, b binary")
+    return rows.repartition("least").sortWithinPartitions("least", "grp", "node").mapInArrow(run, "a binary, b binary")
 
 
 def line_links(scratch: Scratch, bodies: DataFrame, signed: DataFrame, similarity: float, crowd: int, crowd_chars: int, broadcast_rows: int) -> DataFrame:
     """Edges ``(a, b)`` of distinct lines, enough to join whatever links among those that share a key."""
-    met = scratch.keep(_met(signed.select(F.explode("bands").alias("key"), "h", "chars"), crowd, crowd_chars))
+    met = scratch.keep(_met(signed.select(F.col("bands").alias("keys"), "h", "chars"), BANDS * signed.count(), crowd, crowd_chars))
     texts = scratch.keep(_texts(bodies, signed, scratch.keep(met.select("h").distinct()), broadcast_rows))
-    groups, edges = met.where("key is null").select("grp", "h"), None
+    groups, edges = met.where("key is null").select("grp", "least", "h"), None
     many = met.where("key is not null").select(F.col("h").alias("many_h")).distinct()
     if not many.isEmpty():
         again = texts.join(many, F.col("h") == F.col("many_h"), "left_semi")
-        met_again = scratch.keep(_met(_prefixed(scratch.keep(again), similarity), crowd, crowd_chars))
-        groups = groups.unionAll(met_again.where("key is null").select("grp", "h"))
+        again = scratch.keep(again)
+        n_keys = again.agg(F.count("*") + (1 - similarity) * F.sum(F.length("line"))).first()[0]
+        met_again = scratch.keep(_met(_prefixed(again, similarity), int(n_keys), crowd, crowd_chars))
+        groups = groups.unionAll(met_again.where("key is null").select("grp", "least", "h"))
         crowded = met_again.where("key is not null").select("key", "h", "chars")
         if not crowded.isEmpty():
             edges, more = _around_hubs(scratch, crowded, texts, similarity, crowd, crowd_chars)

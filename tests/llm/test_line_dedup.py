@@ -172,3 +172,32 @@ def test_lines_far_from_their_hub_meet_all_others(spark):
                 want = [want[i] if x == want[j] else x for x in want]
     pairs = {(want[h], got.get(h, h)) for h in range(len(lines))}
     assert len(pairs) == len(set(want)) == len({b for _, b in pairs}) and len(set(want)) < len(lines)
+
+
+def test_lines_meet_by_key_whatever_a_task_holds(spark, monkeypatch):
+    from siltstone.llm import line_dedup
+
+    some = random.Random(3)
+    keys = [some.getrandbits(64) - (1 << 63) for _ in range(800)]
+    rows = [([*some.choices(keys, k=some.randint(0, 4)), *([keys[0]] if h % 4 == 0 else [])] or None, h, 8 + h % 90) for h in range(600)] * 2
+    want: dict = {}
+    for own, h, _ in rows:
+        for k in own or []:
+            want.setdefault(k, set()).add(h)
+    for held in (line_dedup._HELD, 40):
+        monkeypatch.setattr(line_dedup, "_HELD", held)
+        got = line_dedup._met(spark.createDataFrame(rows, "keys array<bigint>, h long, chars int").repartition(5), 10, 30, 4000).collect()
+        assert {(x.key, x.h) for x in got if x.key is not None} == {(keys[0], h) for h in want[keys[0]]}
+        groups: dict = {}
+        for x in got:
+            if x.key is None:
+                groups.setdefault((x.grp, x.least), set()).add(x.h)
+        assert {frozenset(g) for g in groups.values()} == {frozenset(g) for k, g in want.items() if k != keys[0] and len(g) > 1}
+        assert all(least == min(g) for (_, least), g in groups.items())
+
+
+def test_joined_lines_are_not_compared_again():
+    lines = [f"{'some line that is long enough ' * 3}{i % 5}" for i in range(40)]
+    for few in (lines[:5], lines):
+        assert len(group_edges(few, 0.8)) == len(few) - 1 and group_edges(few, 0.8, [0] * len(few)) == []
+        assert len(group_edges(few, 0.8, [0, 0, 1, *[0] * (len(few) - 3)])) == 1
