@@ -36,6 +36,8 @@ _EMPTY = 0xFFFFFFFF
 _STEP = 1 << 18
 #: Lines of a group up to which each is compared with each.
 _PAIRWISE = 24
+#: Lines of a group beyond which it is compared apart from those with the same least line.
+_APART = 200
 #: A key of a line as it is shuffled, and how many of them a task gathers before it lets crowded ones go.
 _MET = np.dtype([("key", "<i8"), ("h", "<i8"), ("chars", "<i4")])
 _HELD = 4_000_000
@@ -330,7 +332,8 @@ def _signed(bodies: DataFrame, min_chars: int, similarity: float, remember: int)
 
 def _met(rows: DataFrame, n_keys: int, crowd: int, crowd_chars: int) -> DataFrame:
     """``grp, least, h, chars, key`` of lines that share one of their keys, of ``rows (keys, h, chars)`` with about ``n_keys``
-    keys in all. Groups with the same lines have the same ``grp``; ``least`` is the least ``h`` of the group. Rows of a key with over ``crowd`` lines or ``crowd_chars``
+    keys in all. Groups with the same lines have the same ``grp``; ``least`` is the least ``h`` of the group, and ``grp`` itself
+    for one of over ``_APART`` lines, so that large groups don't gather in a task. Rows of a key with over ``crowd`` lines or ``crowd_chars``
     characters have it as ``key``, and a few of them may come twice.
 
     Keys go to buckets, of which there are as many as keep them small, and are shuffled as packed values, a few for each
@@ -389,7 +392,7 @@ def _met(rows: DataFrame, n_keys: int, crowd: int, crowd_chars: int) -> DataFram
         of_crowded, grp = np.repeat(crowded, size), np.repeat(np.where(crowded, 0, group), size)
         leaves = of_crowded | (np.repeat(size > 1, size) if last else False)
         gone = own[leaves]
-        columns = [grp[leaves], np.repeat(own["h"][begin], size)[leaves], gone["h"], gone["chars"], pa.array(gone["key"], mask=~of_crowded[leaves])]
+        columns = [grp[leaves], np.repeat(np.where(size > _APART, group, own["h"][begin]), size)[leaves], gone["h"], gone["chars"], pa.array(gone["key"], mask=~of_crowded[leaves])]
         out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
         return np.concatenate((alone, own[~leaves])), out
 
@@ -542,7 +545,7 @@ class _Forest(dict):
 
 def _verified(groups: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Edges of the lines of each of the ``groups (grp, least, h)``. Groups with the same ``least`` meet in a task, which
-    compares no lines again that it has joined."""
+    compares no lines again that it has joined; any value will do there that a group's lines share."""
     rows = groups.join(texts.select(F.col("h").alias("text_of"), _node().alias("node"), "line"), F.col("h") == F.col("text_of")).select("grp", "node", "line", "least")
     kinds = {"a": pa.binary(), "b": pa.binary()}
 
@@ -586,7 +589,8 @@ def line_links(scratch: Scratch, bodies: DataFrame, signed: DataFrame, similarit
         again = scratch.keep(again)
         n_keys = again.agg(F.count("*") + (1 - similarity) * F.sum(F.length("line"))).first()[0]
         met_again = scratch.keep(_met(_prefixed(again, similarity), int(n_keys), crowd, crowd_chars))
-        groups = groups.unionAll(met_again.where("key is null").select("grp", "least", "h"))
+        # A crowded line has many more keys: its groups are spread by themselves.
+        groups = groups.unionAll(met_again.where("key is null").select("grp", F.col("grp").alias("least"), "h"))
         crowded = met_again.where("key is not null").select("key", "h", "chars")
         if not crowded.isEmpty():
             edges, more = _around_hubs(scratch, crowded, texts, similarity, crowd, crowd_chars)
